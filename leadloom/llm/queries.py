@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, media, mixing, url_filter
+from leadloom.llm import exact_dedup, media, mixing, packing, sharding, simhash, url_filter
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(sharding.write_shards(_table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,7 +48,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op8_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_simhash, op5_sharding, op8_mixing, op9_url_filter, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
