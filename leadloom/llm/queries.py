@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, media, mixing, packing, sharding, simhash, url_filter
+from leadloom.llm import exact_dedup, license_scan, line_dedup, media, mixing, packing, quality, sharding, simhash, url_filter
 
 
 def tokenizer_path() -> str:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,6 +39,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(sharding.write_shards(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents")).select("doc_id", "score", "keep")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "removed_chunks", "removed_lines", "text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,8 +61,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_simhash, op5_sharding, op8_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_simhash, op5_sharding, op6_quality, op7_line_dedup, op8_mixing, op9_url_filter, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
