@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import scratch, ship
+from leadloom.llm.common import checked_broadcast, scratch, ship
 from leadloom.llm.components import connected_components
 from leadloom.llm.media import _parts
 
@@ -138,3 +138,21 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest id.
+
+    Of rows that share the staying id one stays. Documents without an id can't
+    be named and stay. Texts are shuffled only where the ids to drop are too
+    many to broadcast.
+    """
+    groups = simhash_groups(docs, text, doc_id, words).where("doc_id IS NOT NULL")
+    drop = scratch(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    again = scratch(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated")
+    stay = docs.join(checked_broadcast(drop), docs[doc_id] == F.col("__id"), "left_anti")
+    if again.isEmpty():
+        return stay
+    again = checked_broadcast(again)
+    once = stay.join(again, stay[doc_id] == F.col("__id"), "left_anti")
+    return once.unionByName(stay.join(again, stay[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
