@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS: list[str] = []
+GROUPS = ["identity", "texts"]
 
 
 def _modules():
