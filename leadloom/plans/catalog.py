@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["identity", "texts"]
+GROUPS = ["identity", "texts", "joining"]
 
 
 def _modules():
