@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["identity", "texts", "joining", "changes", "ranking"]
+GROUPS = ["identity", "texts", "joining", "changes", "ranking", "reviewing"]
 
 
 def _modules():
