@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import board, merge
+from leadloom.operators import board, export, merge
 from leadloom.plans.base import table
 from leadloom.plans.ranking import QUEUE, queue
 from leadloom.plans.texts import SCORED, scored
@@ -171,14 +171,14 @@ H3 = f"WITH {SCORED} SELECT count(*) AS queue_estimate FROM scored WHERE len(lis
 
 
 def h4_generation_digest(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_orderkey") % 64).alias("part"), F.concat_ws("|", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)")).alias("line"), "o_orderkey")
-    # digests of bounded parts, then one over them: no task gathers the whole table
-    parts = o.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).getField("line"), "\n"), 256).alias("digest"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("part", "digest"))).getField("digest"), "\n"), 256).alias("generation_id"))
+    line = F.concat_ws("|", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), line.alias("h"))
+    return export.tree_digest(rows, "k", "h").withColumnRenamed("digest", "generation_id")
 
 
-H4 = """WITH p AS (SELECT o_orderkey % 64 AS part, sha256(string_agg(o_orderkey || '|' || o_orderstatus || '|' || o_totalprice::DECIMAL(18,2), chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1)
-SELECT sha256(string_agg(digest, chr(10) ORDER BY part)) AS generation_id FROM p"""
+H4 = """WITH a AS (SELECT o_orderkey // 1024 AS k, sha256(string_agg(o_orderkey || '|' || o_orderstatus || '|' || o_totalprice::DECIMAL(18,2), chr(10) ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1
+), b AS (SELECT k // 1024 AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h FROM a GROUP BY k // 1024), c AS (SELECT k // 1024 AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h FROM b GROUP BY k // 1024
+), e AS (SELECT k // 1024 AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h FROM c GROUP BY k // 1024) SELECT sha256(string_agg(h, chr(10) ORDER BY k)) AS generation_id FROM e"""
 
 
 def i1_history_union(spark, d):
