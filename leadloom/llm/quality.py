@@ -59,6 +59,18 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def _slices(column: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of a string column of about ``most`` bytes each: working memory is a multiple of that, or of one text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    at = _bytes(column)[1]
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+        yield column.slice(start, stop - start)
+        start = stop
+
+
 def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     run = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
     return run[at[1:]] - run[at[:-1]]
@@ -215,8 +227,8 @@ def classify(docs: DataFrame, settings: Settings = Settings(), text: str = "text
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 4 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(code(votes(part.column(1))))], ["doc_id", "votes"])
+            found = [code(votes(part)) for part in _slices(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["doc_id", "votes"])
 
     told = scratch(docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(vote, f"doc_id {kind}, votes long"), "votes")
     table = told.groupBy("votes").count().orderBy("votes").collect()
@@ -252,7 +264,7 @@ def classify(docs: DataFrame, settings: Settings = Settings(), text: str = "text
 
     @F.arrow_udf("double")
     def judge(column: pa.Array) -> pa.Array:
-        return pa.array(probabilities(column, *model.value, bits, soften))
+        return pa.array(np.concatenate([np.zeros(0), *(probabilities(part, *model.value, bits, soften) for part in _slices(column))]))
 
     out = docs.drop("score", "keep").withColumn("score", judge(F.col(text)))
     return out.withColumn("keep", F.col("score") >= settings.threshold)
