@@ -128,22 +128,25 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity
     return counts
 
 
-def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, sharpness: float = 40.0) -> dict[tuple, float]:
-    """A fractional cover of the demand: configuration -> how often, by multiplicative weights."""
+def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, power: float, sharpness: float = 0.5) -> dict[tuple, float]:
+    """A fractional cover of the demand, configuration -> how often, by multiplicative weights.
+
+    A length's price starts as its share of a sequence, raised to ``power``
+    (over 1, long pieces come first), and falls as its demand is covered; each
+    round adds the configuration of the highest price, to a ``rounds``-th of
+    the sequences that are needed at least.
+    """
     step = max(1.0, float((lengths * demand).sum()) / capacity / rounds)
     covered, found = np.zeros(len(lengths)), defaultdict(float)
-    for _ in range(rounds):
+    for _ in range(rounds + rounds // 3):
         part = covered / demand
-        if part.min() >= 1:
+        open_ = np.flatnonzero(part < 1 - 1e-9)
+        if not len(open_):
             break
-        weight = np.exp(-sharpness * (part - part.min()))
-        weight[part >= 1] = 0
-        open_ = np.flatnonzero(weight > 1e-12)
-        most = np.ceil((demand[open_] - covered[open_]) / step).astype(np.int64)
-        # lengths near full cover count by what is left of them; longer pieces win ties
-        value = weight[open_] * np.minimum(step, demand[open_]) / demand[open_] * (1 + lengths[open_] / capacity)
+        price = (lengths[open_] / capacity) ** power * np.exp(-sharpness * (part[open_] - part[open_].min()))
+        most = np.maximum(1, np.floor((demand[open_] - covered[open_]) / step + 1e-9)).astype(np.int64)
         counts = np.zeros(len(lengths), np.int64)
-        counts[open_] = knapsack(lengths[open_], value, np.maximum(1, most), capacity)
+        counts[open_] = knapsack(lengths[open_], price, most, capacity)
         found[tuple((int(lengths[i]), int(counts[i])) for i in np.flatnonzero(counts)[::-1])] += step
         covered += counts * step
     return found
@@ -185,14 +188,14 @@ def _rounded(found: dict[tuple, float], demand: dict[int, int], capacity: int, p
     done, rest = [], dict(demand)
     for content, often in sorted(found.items(), key=lambda x: -x[1]):
         copies = min([int(often * part), *(rest[x] // k for x, k in content)])
-        if copies and sum(x * k for x, k in content) >= 0.99 * capacity:
+        if copies > 0:
             done.append((content, copies))
             for x, k in content:
                 rest[x] -= k * copies
     return done + best_fit(rest, capacity)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 160) -> list[tuple[tuple, int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100) -> list[tuple[tuple, int]]:
     """[(((length, times), ...), copies), ...]: a packing of all pieces of the histogram."""
     done: list[tuple[tuple, int]] = []
     rest = {x: n for x, n in histogram.items() if n}
@@ -200,9 +203,10 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 160
         done.append((((capacity, 1),), rest.pop(capacity)))
     if rest:
         lengths = np.array(sorted(rest), np.int64)
-        found = configurations(lengths, np.array([rest[x] for x in lengths.tolist()], np.float64), capacity, rounds)
-        # the less is rounded off, the more choice best fit has for the rest: take the best of a few parts
-        tried = [_rounded(found, rest, capacity, part) for part in (1.0, 0.95, 0.8, 0.5, 0.2)]
+        demand = np.array([rest[x] for x in lengths.tolist()], np.float64)
+        # the less of a solution is rounded off, the more choice best fit has for the rest: take the best of a few
+        found = [configurations(lengths, demand, capacity, rounds, power) for power in (1.0, 1.05)]
+        tried = [_rounded(f, rest, capacity, part) for f in found for part in (1.0, 0.8, 0.5, 0.2)]
         done += min(tried, key=lambda plan: sum(copies for _, copies in plan))
     return done
 
@@ -220,7 +224,7 @@ def _places(plan: list[tuple[tuple, int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 160) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ...) with sequence_id and offset.
 
     Every sequence holds at most ``capacity`` tokens without a gap. Ranks among
