@@ -19,7 +19,7 @@ UNDER = r"(licensed|released|distributed|available|provided|published|covered|sh
 #: (identifier, pattern on the normalised sentence); the first that fits counts.
 #: ``{}`` in an identifier stands for the first group of the pattern.
 SENTENCES = (
-    ("spdx:{}", r"spdx license identifier ([a-z0-9.+-]+)"),
+    ("spdx:{}", r"spdx-license-identifier ([a-z0-9.+-]+)"),
     ("mitPermit", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mitNotice", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("asIs", r"the software is provided as is without warranty of any kind"),
@@ -103,7 +103,8 @@ NEUTRAL = r"<(copyright|allRights|asIs|orLater|seeLicense|mitNotice|bsdSource|bs
 
 def sentences(text: Column) -> Column:
     """Normalised sentences: cut after ``.!?;:`` before white space, and where a line begins with a capital or is empty."""
-    marks = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n[ \t*#/;-]*\n|\n[ \t*#/;-]*([A-Z])", "\u0001$1")
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?i)(spdx-license-identifier):", "$1")
+    marks = F.regexp_replace(lines, r"\n[ \t*#/;-]*\n|\n[ \t*#/;-]*([A-Z])", "\u0001$1")
     parts = F.split(F.regexp_replace(marks, r"([.!?;:])[ \t\n]+", "$1\u0001"), "\u0001")
     return F.transform(parts, normalised)
 
@@ -166,7 +167,7 @@ def oracle() -> str:
 WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), m AS (
   SELECT doc_id, t, CASE WHEN regexp_matches(translate(t, '{UPPER}', '{LOWER}'), {q(HINT)}) THEN
-    string_split(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '\n[ \t*#/;-]*\n|\n[ \t*#/;-]*([A-Z])', chr(1) || '\1', 'g'), '([.!?;:])[ \t\n]+', '\1' || chr(1), 'g'), chr(1))
+    string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '(?i)(spdx-license-identifier):', '\1', 'g'), '\n[ \t*#/;-]*\n|\n[ \t*#/;-]*([A-Z])', chr(1) || '\1', 'g'), '([.!?;:])[ \t\n]+', '\1' || chr(1), 'g'), chr(1))
     ELSE [] END AS parts FROM b
 ), n AS (
   SELECT doc_id, list_transform(parts, lambda x: regexp_replace(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .+-]+|[ .+-]+$', '', 'g')) AS parts FROM m
