@@ -86,10 +86,10 @@ def _repeats(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins = np.flatnonzero(edge & ~space)
     words = np.searchsorted(begins, at[1:]) - np.searchsorted(begins, at[:-1])
     stops = np.union1d(np.flatnonzero(space), at[1:])
-    ends = stops[np.searchsorted(stops, begins)]
+    ends = stops[np.searchsorted(stops, begins, "right")]
     # a word's mark: its length, and a sum over its bytes, each mixed with the one before
-    pair = raw.astype(np.uint64)
-    pair[1:] = pair[1:] * np.uint64(257) + np.where(space[:-1], 0, raw[:-1]).astype(np.uint64)
+    pair = raw.astype(np.uint64) * np.uint64(257)
+    pair[1:] += np.where(edge[1:], 0, raw[:-1]).astype(np.uint64)
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(pair * np.uint64(0x9E3779B97F4A7C15) ^ pair << np.uint64(21))))
     mark = run[ends] - run[begins]
     same = np.zeros(len(begins), np.int64)
