@@ -43,7 +43,7 @@ def statements(text: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def clause_modality(clause: Column, inherited: str = "unspecified") -> Column:
+def clause_modality(clause: Column, inherited: Column | str = "unspecified") -> Column:
     """required, preferred, not-required, unspecified: negation, then mixed, then optional, then mandatory."""
     negated = (
         r"(?i)\bnot\s+(?:(?:strictly|necessarily|a|an)\s+)?(?:required|necessary|mandatory|needed)"
