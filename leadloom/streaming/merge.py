@@ -44,10 +44,11 @@ def miss_counters(runs: DataFrame, timeout_ms: int = 0) -> DataFrame:
 
         misses, last = state.get if state.exists else (0, -1)
         out = []
-        for row in pd.concat(list(frames)).sort_values("run").itertuples():
-            if row.run <= last:
+        # within a run a sighting wins
+        for run, seen in pd.concat(list(frames)).groupby("run")["seen"].max().sort_index().items():
+            if run <= last:
                 continue  # late or repeated: the state has moved on
-            misses, last = (0 if row.seen else misses + 1), int(row.run)
+            misses, last = (0 if seen else misses + 1), int(run)
             out.append((key[0], key[1], last, misses))
         state.update((misses, last))
         yield pd.DataFrame(out, columns=["entity", "source", "run", "misses"])
