@@ -78,7 +78,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     chunks = scratch(docs.where(body.contains("\n")).select(*me, F.explode(digests).alias("c")).select("id", "mark", "c.*"), "chunks")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")).alias("first")
     repeated = chunks.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
-    candidates = chunks.join(repeated, ["digest", "size"]).select("id", "mark", "place", "digest", "size", "first")
+    # from a table of its own both sides shuffle for this join alone, so a hot digest's partition can be split
+    candidates = chunks.join(scratch(repeated, "repeated"), ["digest", "size"]).select("id", "mark", "place", "digest", "size", "first")
     own = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")
     candidates = candidates.withColumn("is_first", own.eqNullSafe(F.col("first")))
     wanted = candidates.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "digest", "size", "is_first")).alias("wanted"))
