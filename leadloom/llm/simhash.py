@@ -133,7 +133,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lowest = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = members.join(lowest, "component").select("fp", "component_id")
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    # from a table of its own both sides shuffle for this join alone, so a hot fingerprint's partition can be split
+    return rows.join(scratch(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
