@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 STUDENT_KINDS = ("internship", "co-op", "research", "fellowship", "program", "event")
-WAITING_STATES = ("applied", "interviewing", "assessment")
+WAITING_STATES = ("submitted", "interviewing")
 OUTCOME_STATES = ("offer", "rejected", "withdrawn")
 PIPELINE_STATES = ("not-started", "preparing", *WAITING_STATES, *OUTCOME_STATES)
 MEANINGFUL = ("source-facts-changed", "deadline-approaching", "stale-official-check")

@@ -14,7 +14,7 @@ from leadloom.operators import rank
 SCHEMA_VERSION = "1.0"
 # Changes that a delta exports.
 EXPORTABLE = (
-    "new", "material-change", "deadline-change", "requirements-change", "dates-change", "location-change", "application-opened", "application-closed", "reopened",
+    "new", "materially-changed", "deadline-changed", "requirements-changed", "dates-changed", "location-changed", "application-opened", "application-closed", "reopened",
 )
 
 

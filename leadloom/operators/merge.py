@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
+# Fixed value: the state of a listing that takes applications.
+OPEN = "application-open"
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -81,10 +83,10 @@ def field_diff(old: Mapping[str, Column], new: Mapping[str, Column], clearable:
 #: Events in order with the fields that trigger them (fixed values).
 REQUIREMENT_FIELDS = ("requirements_text", "class_year_language", "graduation_window_language", "major_language", "work_auth_language", "source_constraints_json")
 CATEGORIES = (
-    ("deadline-change", ("deadline", "deadline_tz"), ("deadline", "deadline_tz")),
-    ("requirements-change", REQUIREMENT_FIELDS, (*REQUIREMENT_FIELDS, "description")),
-    ("dates-change", ("event_start_date", "event_end_date"), ("event_start_date", "event_end_date")),
-    ("location-change", ("location_text",), ("location_text",)),
+    ("deadline-changed", ("deadline", "deadline_tz"), ("deadline", "deadline_tz")),
+    ("requirements-changed", REQUIREMENT_FIELDS, (*REQUIREMENT_FIELDS, "description")),
+    ("dates-changed", ("event_start_date", "event_end_date"), ("event_start_date", "event_end_date")),
+    ("location-changed", ("location_text",), ("location_text",)),
 )
 
 
@@ -95,15 +97,15 @@ def change_events(changed: Column, was_active: Column, old_state: Column, new_st
         return F.arrays_overlap(changed, F.array(*(F.lit(f) for f in fields)))
 
     state = F.array_contains(changed, "application_state")
-    opened = state & (new_state == "open") & ~F.coalesce(old_state == "open", F.lit(False))
-    closed = state & (old_state == "open") & new_state.isin("closed", "notification-only")
+    opened = state & (new_state == OPEN) & ~F.coalesce(old_state == OPEN, F.lit(False))
+    closed = state & (old_state == OPEN) & new_state.isin("closed", "notification-only")
     rest, events = F.array_except(changed, F.array(F.lit("application_state"))), [F.when(opened, "application-opened").when(closed, "application-closed")]
     for name, triggers, covered in CATEGORIES:
         hit = any_of(triggers)
         events.append(F.when(hit, name))
         rest = F.when(hit, F.array_except(rest, F.array(*(F.lit(f) for f in covered)))).otherwise(rest)
     named = F.array_compact(F.array(*events))
-    granular = F.when((F.size(rest) > 0) | (F.size(named) == 0), F.concat(named, F.array(F.lit("material-change")))).otherwise(named)
+    granular = F.when((F.size(rest) > 0) | (F.size(named) == 0), F.concat(named, F.array(F.lit("materially-changed")))).otherwise(named)
     return F.when(~was_active, F.array(F.lit("reopened"))).when(F.size(changed) > 0, granular).otherwise(F.array().cast("array<string>"))
 
 
@@ -115,7 +117,7 @@ def event_fields(event: Column, changed: Column) -> Column:
         out = F.when(event == name, F.array_intersect(changed, F.array(*(F.lit(f) for f in fields)))).otherwise(out)
     every = F.array(*(F.lit(f) for f in dict.fromkeys(f for c in covered.values() for f in c)))
     left = F.array_except(changed, every)
-    return F.when(event == "material-change", F.when(F.size(left) > 0, left).otherwise(changed)).when(event == "reopened", F.array(F.lit("reactivated"))).otherwise(out)
+    return F.when(event == "materially-changed", F.when(F.size(left) > 0, left).otherwise(changed)).when(event == "reopened", F.array(F.lit("reactivated"))).otherwise(out)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -31,8 +31,8 @@ def e2_change_classification(spark, d):
     changed = F.array_compact(
         F.array(pick(1, "application_state"), pick(2, "deadline"), pick(4, "description"), pick(8, "requirements_text"), pick(16, "location_text"), pick(32, "event_start_date"), pick(64, "title"))
     )
-    old = F.when(F.col("o_orderkey") % 2 == 0, "open").otherwise("unknown")
-    new = F.when(F.col("o_orderkey") % 3 == 0, "open").when(F.col("o_orderkey") % 3 == 1, "closed").otherwise("unknown")
+    old = F.when(F.col("o_orderkey") % 2 == 0, "application-open").otherwise("unknown")
+    new = F.when(F.col("o_orderkey") % 3 == 0, "application-open").when(F.col("o_orderkey") % 3 == 1, "closed").otherwise("unknown")
     events = merge.change_events(changed, F.col("o_orderstatus") != "P", old, new)
     first = F.get(events, 0)
     return o.select("o_orderkey", F.array_join(events, ",").alias("events"), F.array_join(merge.event_fields(first, changed), ",").alias("first_fields"))
@@ -41,12 +41,12 @@ def e2_change_classification(spark, d):
 E2 = """
 WITH o AS (SELECT o_orderkey, o_orderstatus <> 'P' AS act, o_orderkey % 2 = 0 AS was_open, o_orderkey % 3 AS s, (o_custkey & 1) <> 0 AS st, (o_custkey & 2) <> 0 AS dl, (o_custkey & 4) <> 0 AS de, (o_custkey & 8) <> 0 AS rq,
   (o_custkey & 16) <> 0 AS lo, (o_custkey & 32) <> 0 AS da, (o_custkey & 64) <> 0 AS ti FROM orders
-), n AS (SELECT *, list_filter([CASE WHEN st AND s = 0 AND NOT was_open THEN 'application-opened' WHEN st AND was_open AND s = 1 THEN 'application-closed' END, CASE WHEN dl THEN 'deadline-change' END,
-  CASE WHEN rq THEN 'requirements-change' END, CASE WHEN da THEN 'dates-change' END, CASE WHEN lo THEN 'location-change' END], lambda x: x IS NOT NULL) AS named FROM o
-), e AS (SELECT *, CASE WHEN NOT act THEN ['reopened'] WHEN NOT (st OR dl OR de OR rq OR lo OR da OR ti) THEN []::VARCHAR[] WHEN ti OR (de AND NOT rq) OR len(named) = 0 THEN list_append(named, 'material-change') ELSE named END AS ev FROM n)
-SELECT o_orderkey, coalesce(array_to_string(ev, ','), '') AS events, CASE ev[1] WHEN 'reopened' THEN 'reactivated' WHEN 'application-opened' THEN 'application_state' WHEN 'application-closed' THEN 'application_state' WHEN 'deadline-change' THEN 'deadline'
-  WHEN 'requirements-change' THEN CASE WHEN de THEN 'description,requirements_text' ELSE 'requirements_text' END WHEN 'dates-change' THEN 'event_start_date' WHEN 'location-change' THEN 'location_text'
-  WHEN 'material-change' THEN CASE WHEN ti THEN 'title' ELSE array_to_string(list_filter([CASE WHEN st THEN 'application_state' END, CASE WHEN de THEN 'description' END], lambda x: x IS NOT NULL), ',') END END AS first_fields FROM e
+), n AS (SELECT *, list_filter([CASE WHEN st AND s = 0 AND NOT was_open THEN 'application-opened' WHEN st AND was_open AND s = 1 THEN 'application-closed' END, CASE WHEN dl THEN 'deadline-changed' END,
+  CASE WHEN rq THEN 'requirements-changed' END, CASE WHEN da THEN 'dates-changed' END, CASE WHEN lo THEN 'location-changed' END], lambda x: x IS NOT NULL) AS named FROM o
+), e AS (SELECT *, CASE WHEN NOT act THEN ['reopened'] WHEN NOT (st OR dl OR de OR rq OR lo OR da OR ti) THEN []::VARCHAR[] WHEN ti OR (de AND NOT rq) OR len(named) = 0 THEN list_append(named, 'materially-changed') ELSE named END AS ev FROM n)
+SELECT o_orderkey, coalesce(array_to_string(ev, ','), '') AS events, CASE ev[1] WHEN 'reopened' THEN 'reactivated' WHEN 'application-opened' THEN 'application_state' WHEN 'application-closed' THEN 'application_state' WHEN 'deadline-changed' THEN 'deadline'
+  WHEN 'requirements-changed' THEN CASE WHEN de THEN 'description,requirements_text' ELSE 'requirements_text' END WHEN 'dates-changed' THEN 'event_start_date' WHEN 'location-changed' THEN 'location_text'
+  WHEN 'materially-changed' THEN CASE WHEN ti THEN 'title' ELSE array_to_string(list_filter([CASE WHEN st THEN 'application_state' END, CASE WHEN de THEN 'description' END], lambda x: x IS NOT NULL), ',') END END AS first_fields FROM e
 """
 
 

@@ -116,7 +116,7 @@ WITH o AS (SELECT o_orderkey, o_orderstatus = 'P' AS done, {_nth_sql(("worth-inv
 SELECT o_orderkey, starts_with(a, '+') AS selected, ltrim(a, '+') AS action FROM c
 """
 
-_STATUSES = ("unreviewed", "done", "delete", "applied", "offer", "saved")
+_STATUSES = ("unreviewed", "done", "delete", "submitted", "offer", "saved")
 
 
 def g6_board_lane(spark, d):
@@ -127,8 +127,8 @@ def g6_board_lane(spark, d):
 
 
 G6 = f"""WITH o AS (SELECT o_orderkey, {_nth_sql(_STATUSES, 'o_custkey')} AS u, {_nth_sql(("active", "dismissed", "research_needed", "duplicate", "active"), 'o_orderkey')} AS s, o_orderkey % 11 = 0 AS w,
-  CASE o_custkey % 7 WHEN 0 THEN 'interviewing' WHEN 1 THEN 'rejected' WHEN 2 THEN 'preparing' END AS st FROM orders), p AS (SELECT *, coalesce(st, CASE WHEN u IN ('applied', 'offer') THEN u END, 'unknown') AS pipeline FROM o)
-SELECT o_orderkey, pipeline, CASE WHEN u = 'delete' OR s IN ('dismissed', 'duplicate') THEN 'dismissed' WHEN u = 'done' THEN 'history' WHEN w OR pipeline IN ('applied', 'interviewing') THEN 'waiting' WHEN pipeline IN ('offer', 'rejected') THEN 'history' ELSE 'active' END AS lane FROM p"""
+  CASE o_custkey % 7 WHEN 0 THEN 'interviewing' WHEN 1 THEN 'rejected' WHEN 2 THEN 'preparing' END AS st FROM orders), p AS (SELECT *, coalesce(st, CASE WHEN u IN ('submitted', 'offer') THEN u END, 'unknown') AS pipeline FROM o)
+SELECT o_orderkey, pipeline, CASE WHEN u = 'delete' OR s IN ('dismissed', 'duplicate') THEN 'dismissed' WHEN u = 'done' THEN 'history' WHEN w OR pipeline IN ('submitted', 'interviewing') THEN 'waiting' WHEN pipeline IN ('offer', 'rejected') THEN 'history' ELSE 'active' END AS lane FROM p"""
 
 
 def g7_region_match(spark, d):

@@ -243,7 +243,7 @@ def dotted(value, path: str | None) -> str | None:
 
 PROGRAM_FIELDS = ("title", "location_text", "deadline", "event_start_date", "event_end_date", "application_state", "requirements_text", "description")
 # Fixed values.
-APPLICATION_STATES = ("not-open", "open", "notification-only", "closed", "rolling", "future-cycle", "unknown")
+APPLICATION_STATES = ("application-open", "notification-only", "closed", "unknown")
 
 
 def program_records(config: dict, url: str, body: str) -> Rows:

@@ -86,12 +86,14 @@ def greenhouse(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = pages.groupBy("source_id").agg(F.max("doc.meta.total").alias("reported_total"))
     stat = totals.join(stat, "source_id", "left").fillna(0, ["n", "d", "nolink"])
     bad = bad.unionByName(_problem(stat, F.col("reported_total").isNotNull() & (F.col("reported_total") != F.col("n")), "coverage-warning", F.concat(F.lit("board reported "), "reported_total", F.lit(" jobs but returned "), "n"), True))
+    large = pages.where(setting("max_response_bytes").isNotNull()).select("source_id").distinct().join(totals.where("reported_total IS NOT NULL"), "source_id", "left_anti")
+    bad = bad.unionByName(_problem(large, F.lit(True), "coverage-warning", "large board response lacks meta.total", True))
     bad = bad.unionByName(_problem(stat, (F.col("d") != F.col("n")) | (F.col("nolink") > 0), "format-changed", "board jobs require unique posting IDs and URLs", True))
     place = F.coalesce(F.nullif(F.array_join(F.filter(F.col("x.offices.name"), lambda n: n != ""), ", "), F.lit("")), F.col("x.location.name"), description_location(F.col("x.content")))
     rows, said = _said(rows, F.col("x.content"))
     posted = F.coalesce(F.date_format(F.to_utc_timestamp(F.try_to_timestamp("x.updated_at"), F.lit("UTC")), "yyyy-MM-dd"), F.substring("x.updated_at", 1, 10))
     rows = observe(
-        rows, title=F.trim("x.title"), canonical_url=F.col("x.absolute_url"), organization=titled(F.coalesce(setting("org"), "organization")), provider="greenhouse", provider_req_id=F.col("x.id"),
+        rows, title=F.trim("x.title"), canonical_url=F.col("x.absolute_url"), organization=titled(F.coalesce(setting("board"), setting("org"), "organization")), provider="greenhouse", provider_req_id=F.col("x.id"),
         location_text=place, remote_signal=_remote(place), posted_date=posted, employment_type=F.when(F.col("x.title").rlike(INTERN), "internship"),
         description=bounded_excerpt(F.coalesce(said["requirements_text"], decoded_text(F.col("x.content"))), EXCERPT), **said,
     )
@@ -116,7 +118,7 @@ def lever(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("x.text").rlike(INTERN), "internship").otherwise(F.lower("x.categories.commitment"))
     place = F.lower("x.workplaceType")
     rows = observe(
-        rows, title=F.trim("x.text"), canonical_url=F.col("x.hostedUrl"), organization=titled(F.coalesce(setting("org"), "organization")), provider="lever", provider_req_id=F.col("x.id"),
+        rows, title=F.trim("x.text"), canonical_url=F.col("x.hostedUrl"), organization=titled(F.coalesce(setting("board"), setting("org"), "organization")), provider="lever", provider_req_id=F.col("x.id"),
         location_text=F.coalesce("x.categories.location", description_location(content)), remote_signal=F.when(place.isin("remote", "hybrid"), place),
         posted_date=F.date_format(F.timestamp_millis("x.createdAt"), "yyyy-MM-dd"), employment_type=kind, description=bounded_excerpt(F.coalesce(said["requirements_text"], decoded_text(content)), EXCERPT), **said,
     )
@@ -131,7 +133,7 @@ def ashby(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, said = _said(rows, content)
     place = F.coalesce("x.location", description_location(content))
     rows = observe(
-        rows, title=F.trim("x.title"), canonical_url=F.coalesce("x.jobUrl", "x.applyUrl"), organization=titled(F.coalesce(setting("org"), "organization")), provider="ashby", provider_req_id=F.col("x.id"),
+        rows, title=F.trim("x.title"), canonical_url=F.coalesce("x.jobUrl", "x.applyUrl"), organization=titled(F.coalesce(setting("board"), setting("org"), "organization")), provider="ashby", provider_req_id=F.col("x.id"),
         location_text=place, remote_signal=F.when(F.lower(place).contains("remote"), "remote"), posted_date=F.substring("x.publishedAt", 1, 10), employment_type=F.lower("x.employmentType"),
         description=bounded_excerpt(F.coalesce(said["requirements_text"], decoded_text(content)), EXCERPT), **said,
     )
@@ -155,7 +157,7 @@ def smartrecruiters(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     content = F.concat_ws("\n", "x.mission", F.array_join(F.transform(F.map_values("x.jobAd.sections"), lambda s: s["text"]), "\n"))
     rows, said = _said(rows, content)
     said["compensation_text"] = F.coalesce("x.compensation.description", said["compensation_text"])
-    company = F.coalesce(setting("company"), "organization")
+    company = F.coalesce(setting("company"), setting("org"), "organization")
     rows = observe(
         rows, title=F.trim("x.name"), canonical_url=F.concat(F.lit("https://careers.smartrecruiters.com/"), company, F.lit("/"), "x.id"), organization=titled(company), provider="smartrecruiters",
         provider_req_id=F.col("x.id"), location_text=F.coalesce(place, description_location(content)), remote_signal=F.when(F.lower(F.concat_ws(" ", "x.name", place)).contains("remote"), "remote"),
@@ -170,7 +172,7 @@ def workday(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     item = "struct<title: string, locationsText: string, location: string, externalPath: string, bulletFields: array<string>, postedOn: string>"
     pages, rows, bad = _items(responses, "jobPostings", item, "total: bigint")
     totals, short = _incomplete(pages, "doc.total")
-    base = F.regexp_replace(F.coalesce(setting("base"), "url"), "/+$", "")
+    base = F.regexp_replace(F.coalesce(setting("url"), "url"), "/+$", "")
     place, path = F.coalesce("x.locationsText", "x.location"), F.coalesce("x.externalPath", F.lit(""))
     req = F.coalesce(F.try_element_at("x.bulletFields", F.lit(-1)), F.nullif(F.substring_index(path, "/", -1), F.lit("")))
     rows = observe(
@@ -182,7 +184,7 @@ def workday(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Where a feed has each field unless its settings say otherwise.
 JSON_FIELDS = {
-    "title": "title", "canonical_url": "url", "organization": "company", "provider_req_id": "id", "location_text": "location", "remote_signal": "remote", "posted_date": "posted", "deadline": "deadline",
+    "title": "title", "canonical_url": "url", "organization": "organization", "provider_req_id": "id", "location_text": "location", "remote_signal": "remote", "posted_date": "posted", "deadline": "deadline",
     "compensation_text": "compensation", "relocation_text": "relocation", "description": "description", "season": "season", "employment_type": "type", "engagement_type": "engagement_type",
     "career_stage": "career_stage", "required_degree": "required_degree", "preferred_degree": "preferred_degree", "experience_requirement_text": "experience_requirement",
 }
@@ -211,18 +213,17 @@ def jsonfeed(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return check(responses, observe(rows, **cells).where("title IS NOT NULL AND canonical_url IS NOT NULL"), bad)
 
 
-CSV_COLUMNS = {
-    "title": "title", "canonical_url": "url", "organization": "company", "provider_req_id": "id", "location_text": "location", "posted_date": "posted", "deadline": "deadline", "compensation_text": "salary",
-    "relocation_text": "relocation", "description": "description", "season": "season", "employment_type": "type",
-}
+#: Headers unless the settings say otherwise; the others are read only where the settings name them.
+CSV_COLUMNS = {"title": "title", "canonical_url": "url", "organization": "company", "location_text": "location", "season": "season", "deadline": "deadline", "compensation_text": "compensation"}
+CSV_NAMED = ("provider_req_id", "posted_date", "relocation_text", "description", "employment_type")
 
 
 @reader("csvfeed")
 def csvfeed(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CSV with any delimiter; headers match without regard to case; rows but no record are format drift."""
     rows = html.table_rows(_read(responses), html.csv_rows)
-    name = lambda c: F.lower(F.trim(F.coalesce(F.get_json_object("config", f"$.columns.{c}"), F.lit(CSV_COLUMNS[c]))))
-    cells = {c: F.nullif(F.trim(F.try_element_at("cells", name(c))), F.lit("")) for c in CSV_COLUMNS}
+    name = lambda c: F.lower(F.trim(F.coalesce(F.get_json_object("config", f"$.columns.{c}"), F.lit(CSV_COLUMNS.get(c, "")))))
+    cells = {c: F.nullif(F.trim(F.try_element_at("cells", name(c))), F.lit("")) for c in (*CSV_COLUMNS, *CSV_NAMED)}
     cells["description"] = bounded_excerpt(cells["description"], EXCERPT)
     found = observe(rows, **cells).where("title IS NOT NULL AND canonical_url IS NOT NULL")
     seen = rows.groupBy("source_id").count().join(found.select("source_id").distinct(), "source_id", "left_anti")

@@ -119,3 +119,22 @@ def test_audit(spark):
 @pytest.mark.parametrize("slug,title", [("data-lab__intern", "Data Lab Intern"), ("x", "X")])
 def test_slug(spark, slug, title):
     assert run(spark, [slug], urls.humanize_slug) == [title]
+
+
+def test_classify(spark):
+    from leadloom.functions.families import FAMILIES, classify
+
+    assert len(FAMILIES) == 17
+    rows = [
+        ("Firmware Intern", "rtos and pcb work", None, "$30/hr", "2027-01-01", "remote"), ("Co-op, Fall 2026", "software engineer", None, None, None, None), ("Online Hackathon", "fun", None, None, None, None),
+        ("Career fair", "registration fee of $400", None, None, None, None), ("Undergraduate research", None, "resume and cover letter", None, None, None), ("Cook", None, None, None, None, None), ("Online Hackathon", "recruiters interview", None, "stipend", None, "hybrid"),
+    ]
+    df = spark.createDataFrame(rows, "title string, description string, requirements_text string, compensation_text string, deadline string, remote_signal string")
+    got = classify(df).collect()
+    assert [sorted(r["tags"]) for r in got] == [["ee-hardware", "embedded-firmware"], ["software"], [], ["recruiting-event"], ["technical-research"], [], []]
+    assert [float(r["score"]) for r in got] == [4.0, 0.5, 0.0, -0.5, 1.0, 0.0, 4.25]
+    assert [r["reasons"] for r in got] == [
+        ["include:broad-relevance"], ["exclude:school-term-coop", "downrank:unpaid-generic", "include:broad-relevance"], ["exclude:online-hackathon-low-value", "downrank:unpaid-generic"],
+        ["downrank:unfunded-distant-event", "downrank:unpaid-generic", "include:broad-relevance"], ["include:broad-relevance"], ["downrank:unpaid-generic"], [],
+    ]
+    assert got[4]["requested"] == ["resume", "cover-letter"] and got[4]["effort"] == "moderate"

@@ -39,8 +39,8 @@ def test_resolve_prefers_url(spark):
 
 def test_events(spark):
     cases = [
-        (["application_state"], True, "unknown", "open", ["application-opened"]), (["application_state"], True, "open", "closed", ["application-closed"]), (["application_state"], True, "closed", "unknown", ["material-change"]),
-        (["deadline", "title"], True, None, None, ["deadline-change", "material-change"]), (["description"], True, None, None, ["material-change"]), (["description", "requirements_text"], True, None, None, ["requirements-change"]),
+        (["application_state"], True, "unknown", "application-open", ["application-opened"]), (["application_state"], True, "application-open", "closed", ["application-closed"]), (["application_state"], True, "closed", "unknown", ["materially-changed"]),
+        (["deadline", "title"], True, None, None, ["deadline-changed", "materially-changed"]), (["description"], True, None, None, ["materially-changed"]), (["description", "requirements_text"], True, None, None, ["requirements-changed"]),
         (["title"], False, None, None, ["reopened"]), ([], True, None, None, []), ([], False, None, None, ["reopened"]),
     ]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, c array<string>, a boolean, o string, n string, want array<string>")

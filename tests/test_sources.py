@@ -32,6 +32,7 @@ def result(spark):
     rows = [
         page("gh", "greenhouse", BOARD, org="north-lab"),
         page("gh-part", "greenhouse", BOARD | {"meta": {"total": 2}}),
+        page("gh-big", "greenhouse", {"jobs": []}, max_response_bytes=9),
         page("gh-dup", "greenhouse", {"jobs": BOARD["jobs"] * 2}),
         page("gh-empty", "greenhouse", {"jobs": [], "meta": {"total": 0}}),
         page("gh-bad", "greenhouse", "{not json"),
@@ -44,7 +45,7 @@ def result(spark):
         page("lv-full", "lever", [POSTING], page_size=1),
         page("as", "ashby", {"jobs": [{"id": "a", "title": "X", "jobUrl": "https://as/a", "location": "Remote EU", "publishedAt": "2026-01-05T00:00:00Z", "employmentType": "Intern", "descriptionPlain": "text"}]}),
         page("sr", "smartrecruiters", {"totalFound": 3, "content": [{"id": "s1", "name": "Remote Tester", "releasedDate": "2026-01-07T10:00", "location": {"city": "Kiel", "country": "de"}, "mission": "m", "compensation": {"description": "$20/hr"}}]}, company="Acme"),
-        page("wd", "workday", {"total": 1, "jobPostings": [{"title": "Lab Internship", "locationsText": "Turin", "externalPath": "/job/x_R-9", "bulletFields": ["a", "R-9"]}]}, base="https://w/Ext/", tenant="acme"),
+        page("wd", "workday", {"total": 1, "jobPostings": [{"title": "Lab Internship", "locationsText": "Turin", "externalPath": "/job/x_R-9", "bulletFields": ["a", "R-9"]}]}, url="https://w/Ext/", tenant="acme"),
         page("jf", "jsonfeed", {"data": {"rows": [{"title": "T1", "url": "https://j/1", "meta": {"who": "Org"}, "deadline": "2026-03-04T00:00"}, {"title": "no url"}]}}, records_path="data.rows", fields={"organization": "meta.who"}),
         page("jf-bad", "jsonfeed", {"data": 5}, records_path="data"),
         page("cv", "csvfeed", 'ID;Company;TITLE;URL;Salary\n1;"A; B";Dev;https://c/1;\n2;;NoUrl;;\n', delimiter=";"),
@@ -54,7 +55,7 @@ def result(spark):
         page("md", "githublist", TABLE), page("ht", "githublist", HTML_TABLE, format="html_table"), page("bl", "githublist", BULLETS, format="bullets", link_regex="^apply$"), page("md-drift", "githublist", "| a | b |\n|--|--|\n| 1 | 2 |"),
         page("hl", "htmllist", LIST, item_selector="ul.programs li", title_selector="h3", deadline_selector="span.deadline"), page("hl-none", "htmllist", LIST, item_selector="div.x"),
         page("pp", "program-page", PROGRAM, url="https://p/apply", application_url="https://p/apply", overview_url="https://p", program_family_id="harbor", programs=[{"cycle_id": "2027", "deadline": "2027-01-15"}],
-             jsonld_fields={"title": "name", "event_start_date": "startDate", "location_text": "location.name"}, selectors={"application_state": "p.status"}, state_rules=[{"state": "open", "pattern": "are open"}], coverage={"expected_url_patterns": ["apply$"]}),
+             jsonld_fields={"title": "name", "event_start_date": "startDate", "location_text": "location.name"}, selectors={"application_state": "p.status"}, state_rules=[{"state": "application-open", "pattern": "are open"}], coverage={"expected_url_patterns": ["apply$"]}),
         page("pp-low", "program-page", PROGRAM, url="https://p", programs=[{"overview_url": "https://p", "title": "X"}], coverage={"min_results": 2}),
         page("odd", "no-such", "x"),
     ]
@@ -69,7 +70,7 @@ def test_states(result):
     _, checks = result
     states = {s: c["state"] for s, c in checks.items()}
     assert states == {
-        "gh": "healthy", "gh-part": "coverage-warning", "gh-dup": "format-changed", "gh-empty": "valid-empty", "gh-bad": "format-changed", "gh-lost": "format-changed", "gh-304": "healthy", "gh-429": "rate-limited",
+        "gh": "healthy", "gh-part": "coverage-warning", "gh-big": "coverage-warning", "gh-dup": "format-changed", "gh-empty": "valid-empty", "gh-bad": "format-changed", "gh-lost": "format-changed", "gh-304": "healthy", "gh-429": "rate-limited",
         "gh-404": "format-changed", "lv": "healthy", "lv-dup": "coverage-warning", "lv-full": "coverage-warning", "as": "healthy", "sr": "healthy", "wd": "healthy", "jf": "healthy", "jf-bad": "format-changed", "cv": "healthy",
         "cv-drift": "format-changed", "cv-empty": "valid-empty", "rs": "healthy", "at": "healthy", "rs-bad": "format-changed", "sm": "healthy", "md": "healthy", "ht": "healthy", "bl": "healthy", "md-drift": "format-changed",
         "hl": "healthy", "hl-none": "format-changed", "pp": "healthy", "pp-low": "coverage-warning", "odd": "check-failed",
@@ -116,7 +117,7 @@ def test_lists(result):
     assert [(r["title"], r["canonical_url"]) for r in found["bl"]] == [("Robotics Summer", "https://b/1"), ("Named", "https://b/2")]
     assert [(r["title"], r["canonical_url"], r["deadline"]) for r in found["hl"]] == [("Camp", "https://example.org/p/1", "2026-05-01")]
     p = found["pp"][0]
-    assert (p["title"], p["deadline"], p["event_start_date"], p["location_text"], p["application_state"], p["provider_req_id"]) == ("Harbor", "2027-01-15", "2027-06-01", "Bergen", "open", "harbor:2027")
+    assert (p["title"], p["deadline"], p["event_start_date"], p["location_text"], p["application_state"], p["provider_req_id"]) == ("Harbor", "2027-01-15", "2027-06-01", "Bergen", "application-open", "harbor:2027")
 
 
 def test_selectors():
