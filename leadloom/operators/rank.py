@@ -63,21 +63,30 @@ def budget_prefix(rows: DataFrame, size: Column, order: Sequence[Column], limit:
 def greedy_pages(rows: DataFrame, key: str, size: Column, limit: int, overhead: int, group: Sequence[str] = ()) -> DataFrame:
     """Adds ``page`` and ``used``: items in the order of key fill a page until the next would pass the limit.
 
-    The fold is sequential within a group; groups run in parallel. An item
-    above the limit has a page of its own.
+    Where a page ends depends on all before it, so a group is filled in one
+    pass over its keys and sizes (not its rows); groups run in parallel. An
+    item above the limit has a page of its own.
     """
-    item = F.struct(F.col(key).alias("k"), size.cast("long").alias("s"))
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.struct(F.array().cast("array<struct<k:bigint,s:bigint,page:bigint,used:bigint>>").alias("out"), F.lit(1).cast("long").alias("page"), F.lit(overhead).cast("long").alias("used"))
-
-    def add(state: Column, x: Column) -> Column:
-        turn = (state["used"] + x["s"] > limit) & (state["used"] > overhead)
-        page = state["page"] + F.when(turn, 1).otherwise(0)
-        used = F.when(turn, F.lit(overhead)).otherwise(state["used"]) + x["s"]
-        row = F.struct(x["k"].cast("bigint").alias("k"), x["s"].alias("s"), page.alias("page"), used.alias("used"))
-        return F.struct(F.concat(state["out"], F.array(row)).alias("out"), page.alias("page"), used.alias("used"))
-
-    return listed.select(*group, F.explode(F.aggregate("items", empty, add)["out"]).alias("o")).select(*group, F.col("o.k").alias(key), F.col("o.page").alias("page"), F.col("o.used").alias("used"))
+    sized = rows.select(*group, key, size.cast("long").alias("__size"))
+
+    def fill(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, [(key, "ascending")]))
+        sizes = table.column("__size").to_pylist()
+        pages, filled = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        page, used = 1, overhead
+        for i, s in enumerate(sizes):
+            if used + s > limit and used > overhead:
+                page, used = page + 1, overhead
+            used += s
+            pages[i], filled[i] = page, used
+        return table.drop_columns(["__size"]).append_column("page", pa.array(pages)).append_column("used", pa.array(filled))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema if f.name != "__size") + ", page long, used long"
+    return sized.groupBy(*group).applyInArrow(fill, schema)
 
 
 def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
