@@ -19,6 +19,12 @@ DEGREES = (
 RESET = r"(?i)^(?:benefits|responsibilities|compensation|about us|what you.ll do):?$"
 NUMBERS = (("one", 1), ("two", 2), ("three", 3), ("six", 6), ("twelve", 12))
 _TOKEN = r"(?:(" + "|".join(MONTHS) + r"|spring|summer|fall|autumn|winter)\s+(?:of\s+)?)?(20\d{2})"
+# Clauses on who may work, and those that only sound like it.
+UNRESTRICTED = r"(?i)equal (?:employment )?opportunity|without regard|regardless of|executive sponsorship|we (?:do )?sponsor visas|visa sponsorship (?:is )?(?:available|provided)|immigration lawyer"
+RESTRICTED = (
+    r"(?i)(?:must|required|only|eligible|authorized|authorised|authorization|regulations|cannot|do not|unable).{0,100}(?:citizen|resident|U\.?S\.? person|visa|sponsor)|"
+    r"(?:citizen|resident|U\.?S\.? person|work authori\w*).{0,100}(?:required|only|must)|(?:right|authorization|authorisation|authorized|authorised) to work"
+)
 KINDS = (
     "graduation", "education", "professional-enrollment", "work-authorization", "travel-funding", "security-clearance", "institution-region", "duration",
 )
@@ -67,12 +73,7 @@ def degree_operator(clause: Column, named: Column, state: Column) -> Column:
 
 def authorization_requirement(clause: Column) -> Column:
     """Whether a clause restricts who may work; benefits and boilerplate don't."""
-    no = r"(?i)equal (?:employment )?opportunity|without regard|regardless of|executive sponsorship|we (?:do )?sponsor visas|visa sponsorship (?:is )?(?:available|provided)|immigration lawyer"
-    yes = (
-        r"(?i)(?:must|required|only|eligible|authorized|authorised|authorization|regulations|cannot|do not|unable).{0,100}(?:citizen|resident|U\.?S\.? person|visa|sponsor)|"
-        r"(?:citizen|resident|U\.?S\.? person|work authori\w*).{0,100}(?:required|only|must)|(?:right|authorization|authorisation|authorized|authorised) to work"
-    )
-    return ~clause.rlike(no) & clause.rlike(yes)
+    return ~clause.rlike(UNRESTRICTED) & clause.rlike(RESTRICTED)
 
 
 def staff_role(title: Column) -> Column:

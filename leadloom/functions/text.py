@@ -11,6 +11,26 @@ from pyspark.sql import functions as F
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 # Abbreviations after which a full stop ends no statement.
 ABBREVIATIONS = r"\b(U\.S|B\.S|B\.A|M\.S|Ph\.D|Dr|Mr|Ms|e\.g|i\.e)\."
+# How a clause negates, wishes or demands.
+NEGATED = (
+    r"(?i)\bnot\s+(?:(?:strictly|necessarily|a|an)\s+)?(?:required|necessary|mandatory|needed)"
+    r"|\bno\b.{0,60}\b(?:required|necessary|needed)|\bwithout\b.{0,45}\b(?:degree|GPA)"
+)
+OPTIONAL = r"(?i)\b(?:preferred|nice.to.have|desirable|desired|bonus|a plus)\b"
+MANDATORY = r"(?i)\b(?:must|required|minimum|at least|eligible|eligibility)\b"
+STILL_MANDATORY = r"(?i)\b(?:must|required|minimum)\b"
+# Who pays for travel.
+UNCOVERED = (
+    r"(?i)\bnot (?:covered|reimbursed|paid|provided)|\bno (?:travel|funding)|own expense|self.funded|responsible for|"
+    r"(?:paid|covered|funded|arranged) by (?:the )?(?:participants?|students?|attendees?|applicants?)|"
+    r"(?:participants?|students?|attendees?|applicants?).{0,20}(?:must|will|shall) (?:pay|cover|fund)"
+)
+CONDITIONAL = (
+    r"(?i)\b(?:may|might|could|eligible|conditional|partial(?:ly)?|limited|up to|toward|towards)\b|"
+    r"subject to|depending on|not guaranteed|(?:pay|cover).{0,20}own"
+)
+COVERED = r"(?i)\bcover(?:ed|s)?\b|reimburse|arranged|paid|provided"
+
 
 
 def bounded_excerpt(text: Column, limit: int) -> Column:
@@ -45,15 +65,10 @@ def statements(text: Column) -> Column:
 
 def clause_modality(clause: Column, inherited: Column | str = "unspecified") -> Column:
     """required, preferred, not-required, unspecified: negation, then mixed, then optional, then mandatory."""
-    negated = (
-        r"(?i)\bnot\s+(?:(?:strictly|necessarily|a|an)\s+)?(?:required|necessary|mandatory|needed)"
-        r"|\bno\b.{0,60}\b(?:required|necessary|needed)|\bwithout\b.{0,45}\b(?:degree|GPA)"
-    )
-    rest = F.concat(F.regexp_extract(clause, r"(?s)^(.*?)(?:" + negated + r")", 1), F.regexp_extract(clause, r"(?s)^.*?(?:" + negated + r")(.*)$", 1))
-    optional = clause.rlike(r"(?i)\b(?:preferred|nice.to.have|desirable|desired|bonus|a plus)\b")
-    mandatory = clause.rlike(r"(?i)\b(?:must|required|minimum|at least|eligible|eligibility)\b")
+    rest = F.concat(F.regexp_extract(clause, r"(?s)^(.*?)(?:" + NEGATED + r")", 1), F.regexp_extract(clause, r"(?s)^.*?(?:" + NEGATED + r")(.*)$", 1))
+    optional, mandatory = clause.rlike(OPTIONAL), clause.rlike(MANDATORY)
     return (
-        F.when(clause.rlike(negated), F.when(rest.rlike(r"(?i)\b(?:must|required|minimum)\b"), "unspecified").otherwise("not-required"))
+        F.when(clause.rlike(NEGATED), F.when(rest.rlike(STILL_MANDATORY), "unspecified").otherwise("not-required"))
         .when(optional & mandatory, "unspecified")
         .when(optional, "preferred")
         .when(mandatory, "required")
@@ -63,17 +78,7 @@ def clause_modality(clause: Column, inherited: Column | str = "unspecified") ->
 
 def travel_funding(clause: Column) -> Column:
     """uncovered, unknown (conditional or unsaid) or covered."""
-    uncovered = (
-        r"(?i)\bnot (?:covered|reimbursed|paid|provided)|\bno (?:travel|funding)|own expense|self.funded|responsible for|"
-        r"(?:paid|covered|funded|arranged) by (?:the )?(?:participants?|students?|attendees?|applicants?)|"
-        r"(?:participants?|students?|attendees?|applicants?).{0,20}(?:must|will|shall) (?:pay|cover|fund)"
-    )
-    maybe = (
-        r"(?i)\b(?:may|might|could|eligible|conditional|partial(?:ly)?|limited|up to|toward|towards)\b|"
-        r"subject to|depending on|not guaranteed|(?:pay|cover).{0,20}own"
-    )
-    covered = r"(?i)\bcover(?:ed|s)?\b|reimburse|arranged|paid|provided"
-    return F.when(clause.rlike(uncovered), "uncovered").when(clause.rlike(maybe), "unknown").when(clause.rlike(covered), "covered").otherwise("unknown")
+    return F.when(clause.rlike(UNCOVERED), "uncovered").when(clause.rlike(CONDITIONAL), "unknown").when(clause.rlike(COVERED), "covered").otherwise("unknown")
 
 
 def match_family(title: Column, excerpt: Column, patterns: Sequence[str]) -> Column:

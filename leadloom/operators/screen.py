@@ -172,6 +172,7 @@ def screen(rows: DataFrame, p: Profile) -> DataFrame:
         ("opportunity-focus-match", c("focus.match") == "preferred", title), ("student-language", F.lit(p.student_status == "undergraduate") & standing.rlike("(?i)undergrad|enrolled|pursuing"), standing),
         ("program-year-match", known_year & F.array_contains(years, F.lit(p.year_in_program or 0)), standing), ("major-mentioned", (major != "") & studied, major), ("location-match", local, place), ("interest-match", F.size(hits) > 0, F.array_join(hits, ", ")),
     ]
+    # fixed values: the wording of questions
     questions = [
         (old & intern, "The experienced-role label conflicts with the title; confirm the role level."), (known_year & F.lit(p.year_in_program is None), "Confirm whether class standing means units or years in program."),
         ((major != "") & ~studied, "Check whether your major satisfies the source's rule."), (experience.isNotNull() & F.lit(limit is None), "Confirm experience requirement and your qualifying experience."),
