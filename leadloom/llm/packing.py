@@ -236,7 +236,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> Data
     pieces = scratch(pieces, "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(_places(solve(histogram, capacity, rounds)))
-    total, most = sum(histogram.values()), capacity + 1
+    total = sum(histogram.values())
+    if capacity >= 1 << 13:
+        raise ValueError("length and rank share 63 bits: the capacity must be below 8192")
     group = min(65536, max(256, total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     salts = F.lit(-(-max([1, *histogram.values()]) // group)).cast("long")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
@@ -258,7 +260,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> Data
                 [*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sequence + nth // times), pa.array(offset + nth % times * length)], [*columns, "sequence_id", "offset"]
             )
 
-    assert most < 1 << 13, "lengths and ranks share 63 bits"
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     return ranked.select(*columns, "rank").mapInArrow(place, schema)
 
