@@ -142,13 +142,18 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id.
+    """``docs`` with one document of each SimHash group, as in ``keep_one``."""
+    return keep_one(docs, simhash_groups(docs, text, doc_id, words), doc_id)
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each of ``groups`` (doc_id, component_id), the one with the smallest id.
 
     Of rows that share the staying id one stays. Documents without an id can't
     be named and stay. Texts are shuffled only where the ids to drop are too
     many to broadcast.
     """
-    groups = simhash_groups(docs, text, doc_id, words).where("doc_id IS NOT NULL")
+    groups = groups.where("doc_id IS NOT NULL")
     drop = scratch(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
     again = scratch(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated")
     stay = docs.join(checked_broadcast(drop), docs[doc_id] == F.col("__id"), "left_anti")
