@@ -8,6 +8,11 @@ every other equal occurrence is removed.
 
 First only (document, chunk, digest) moves. Texts move twice: to fetch the
 bytes of candidates, and to take out what was verified.
+
+Chunks miss a passage that no two boundaries enclose. ``passage_dedup``, which
+the query and the pipeline use, takes no boundaries: every two neighbouring
+lines are a candidate, and so is every long line by itself. A repeated run of
+lines is repeated in all of its pairs, so it goes from its first line to its last.
 """
 
 from __future__ import annotations
@@ -106,3 +111,85 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     fields = [clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
     chunks_gone, lines_gone = (F.when(F.col("gone").isNull(), 0).otherwise(x) for x in (F.size("gone"), lines))
     return joined.select(*fields, chunks_gone.alias("removed_chunks"), lines_gone.alias("removed_lines"))
+
+
+#: A line of more words than this is a passage by itself.
+WORDS = 50
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _passages(text: Column) -> Column:
+    """(place, span, digest, size) of every two neighbouring lines that aren't both blank, and of every long line."""
+
+    def of(lines: Column, hashes: Column) -> Column:
+        octets = lambda i: F.octet_length(F.get(lines, i))
+        blank = lambda i: ~F.get(lines, i).rlike(r"\S")
+        # so many words have so many bytes at least
+        long = lambda x: (F.octet_length(x) > 2 * WORDS) & (F.size(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")) > WORDS)
+        both = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i < F.size(lines) - 1) & ~(blank(i) & blank(i + 1)))
+        alone = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: long(F.get(lines, i)))
+        unit = lambda i, span, digest, size: F.struct(i.alias("place"), F.lit(span).alias("span"), digest.alias("digest"), size.alias("size"))
+        return F.concat(
+            F.transform(both, lambda i: unit(i, 2, F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)), octets(i) + octets(i + 1) + 1)),
+            F.transform(alone, lambda i: unit(i, 1, F.get(hashes, i), octets(i))),
+        )
+
+    pair = _let(_lines(text), lambda lines: F.struct(lines.alias("l"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h")))
+    return _let(pair, lambda p: of(p["l"], p["h"]))
+
+
+def passage_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with the text cleaned, and removed_chunks, removed_lines.
+
+    Removed is every run of two or more lines that aren't all blank, and every
+    single line of more than ``WORDS`` words, where equal bytes come earlier in
+    the corpus, by (doc_id, place), without overlap; the first occurrence of a
+    line always stays. removed_chunks counts runs of removed lines. Null texts
+    stay null; a text all of whose lines go is left empty. Null ids come last.
+    Rows that share id and text are one document given twice and fare alike.
+    Input columns named removed_chunks and removed_lines are replaced; an empty
+    table gives an empty result.
+    """
+    docs = docs.drop("removed_chunks", "removed_lines")
+    body, number = F.col(text), F.col(doc_id)
+    # rows are told apart by id and text
+    me = [number.alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("mark")]
+    kind = ["digest", "size", "span"]
+    units = scratch(docs.select(*me, F.explode(_passages(body)).alias("c")).select("id", "mark", "c.*"), "passages")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")
+    repeated = units.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first")).where("n > 1").drop("n")
+    # from a table of its own both sides shuffle for this join alone, so a hot digest's partition can be split
+    candidates = units.join(scratch(repeated, "repeated"), kind).withColumn("is_first", own.eqNullSafe(F.col("first")))
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("place") < F.col("first.place") + F.col("span"))
+    candidates = candidates.where(F.col("is_first") | ~overlaps)
+    wanted = candidates.groupBy("id", "mark").agg(F.collect_set(F.struct("place", *kind, "is_first")).alias("wanted"))
+
+    # the bytes of the candidates
+    keyed = docs.select(*me, body.alias("text"))
+    same_row = lambda a, b: a.id.eqNullSafe(b.id) & (a.mark == b.mark)
+    held = keyed.join(wanted, same_row(keyed, wanted)).select(keyed.id, keyed.mark, "text", "wanted")
+    cut = lambda lines, w: F.struct(w.alias("w"), F.array_join(F.slice(lines, w["place"] + 1, w["span"]), "\n").alias("bytes"))
+    held = held.select("id", "mark", F.explode(_let(_lines(F.col("text")), lambda lines: F.transform("wanted", lambda w: cut(lines, w)))).alias("c"))
+    held = scratch(held.select("id", "mark", "c.w.*", "c.bytes"), "candidates")
+    kept = held.where("is_first").select(*kind, F.col("bytes").alias("first_bytes")).dropDuplicates(kind)
+    verified = held.where("NOT is_first").join(kept, kind).where("bytes = first_bytes")
+    gone = verified.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("place", F.col("place") + F.col("span") - 1)))).alias("gone"))
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(*me, row)
+    joined = rows.join(gone, same_row(rows, gone), "left").select("row", "gone")
+
+    def rest(lines: Column) -> Column:
+        # array_except hashes, so long texts stay linear
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    whole = F.col("row").getField(text)
+    clean = F.when(F.col("gone").isNull(), whole).otherwise(_let(_lines(whole), rest))
+    fields = [clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    begins = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
+    runs, lines_gone = (F.when(F.col("gone").isNull(), 0).otherwise(x) for x in (begins, F.size("gone")))
+    return joined.select(*fields, runs.alias("removed_chunks"), lines_gone.alias("removed_lines"))

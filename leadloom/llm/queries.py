@@ -44,7 +44,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    found = line_dedup.passage_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "removed_chunks", "removed_lines", "text")
 
 
