@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A text without one of these has no licence sentence. In lower case.
+#: The SQL's first look at a text, in lower case. It misses texts; the operator has ``ANY`` instead.
 HINT = r"licen[sc]e|copyright|spdx|public domain|permission|redistribut|warrant|rights reserved|creative commons|cc[ -]?by|cc0|copying"
 UNDER = r"(licensed|released|distributed|available|provided|published|covered|shared|made available|is|are) under (a |an |the )?(terms of |conditions of )*(the |a |an )?"
 
@@ -101,6 +101,10 @@ RULES = (
 NEUTRAL = r"<(copyright|allRights|asIs|orLater|seeLicense|mitNotice|bsdSource|bsdBinary|bsdEndorse|bsdAsIs|bsdAdvert|gplNoWarranty|gplCopy|apacheCopy|apacheAsIs|zlibAltered)>"
 
 
+#: A text without a match of this has no licence sentence; for texts in the normal form of sentences.
+ANY = "|".join(f"(?:{pattern})" for _, pattern in SENTENCES)
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences: cut after ``.!?;:`` before white space, and where a line begins with a capital or is empty."""
     lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?i)(spdx-license-identifier):", "$1")
@@ -136,7 +140,8 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     body = F.coalesce(F.col(text), F.lit(""))
     ids = F.filter(F.transform(sentences(body), identifier), lambda x: x.isNotNull())
     sequence = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-    hinted = F.when(F.translate(body, UPPER, LOWER).rlike(HINT), sequence).otherwise("")
+    read = F.regexp_replace(body, r"(?i)(spdx-license-identifier):", "$1")
+    hinted = F.when(normalised(read).rlike(ANY), sequence).otherwise("")
     rules = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(name).cast("string").alias("name")) for p, name in RULES))
     start = F.struct(F.col("sentence_ids").alias("rest"), F.array().cast("array<string>").alias("found"))
 
