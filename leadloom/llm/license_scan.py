@@ -103,14 +103,22 @@ NEUTRAL = r"<(copyright|allRights|asIs|orLater|seeLicense|mitNotice|bsdSource|bs
 
 #: A text without a match of this has no licence sentence; for texts in the normal form of sentences.
 ANY = "|".join(f"(?:{pattern})" for _, pattern in SENTENCES)
+#: Pieces of a sentence that are read together at most.
+WIDEST = 4
+#: (identifier, beginning of those that name the same licence better).
+GENERAL = (("gplAny", "GPL-"), ("gplAny", "gplCopy"), ("lgplAny", "LGPL-"), ("agplAny", "AGPL-"))
+NO_RANK = len(SENTENCES)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut after ``.!?;:`` before white space, and where a line begins with a capital or is empty."""
+def marked(text: Column) -> Column:
+    """``text`` with \\u0001 where a sentence ends and \\u0002 where one may end.
+
+    Sentences end after ``.!?`` before white space and at empty lines, and may
+    end after ``;:`` and where a line begins with a capital.
+    """
     lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?i)(spdx-license-identifier):", "$1")
-    marks = F.regexp_replace(lines, r"\n[ \t*#/;-]*\n|\n[ \t*#/;-]*([A-Z])", "\u0001$1")
-    parts = F.split(F.regexp_replace(marks, r"([.!?;:])[ \t\n]+", "$1\u0001"), "\u0001")
-    return F.transform(parts, normalised)
+    ends = F.regexp_replace(F.regexp_replace(lines, r"\n[ \t*#/;-]*\n", "\u0001"), r"\n[ \t*#/;-]*([A-Z])", "\u0002$1")
+    return F.regexp_replace(F.regexp_replace(ends, r"([.!?])[ \t\n]+", "$1\u0001"), r"([;:])[ \t\n]+", "$1\u0002")
 
 
 def normalised(sentence: Column) -> Column:
@@ -118,15 +126,47 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(plain, r"^[ .+-]+|[ .+-]+$", "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, or null."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
+    """(rank, name): the identifier of a normalised sentence and its place in the table; name is null where none fits."""
+    out = F.struct(F.lit(NO_RANK).alias("rank"), F.lit(None).cast("string").alias("name"))
+    for rank, (name, pattern) in reversed(list(enumerate(SENTENCES))):
         named = F.concat(F.lit(name.removesuffix("{}")), F.regexp_extract(sentence, pattern, 1)) if "{}" in name else F.lit(name)
-        out = F.when(sentence.rlike(pattern), F.regexp_replace(named, r"-$", "")).otherwise(out)
+        out = F.when(sentence.rlike(pattern), F.struct(F.lit(rank).alias("rank"), F.regexp_replace(named, r"-$", "").alias("name"))).otherwise(out)
     return out
 
 
+def _names(pieces: Column) -> Column:
+    """The identifiers in a sentence of one or more pieces: those of the pieces, and those that neighbouring pieces have only together."""
+
+    def of(windows: Column) -> Column:
+        def spanning(i: Column, k: int) -> Column:
+            shorter = F.get(windows, F.lit(k - 2))
+            better = F.get(F.get(windows, F.lit(k - 1)), i)
+            return F.when(better["rank"] < F.least(F.get(shorter, i)["rank"], F.coalesce(F.get(shorter, i + 1)["rank"], F.lit(NO_RANK))), better["name"])
+
+        places = F.sequence(F.lit(0), F.size(F.get(windows, F.lit(0))) - 1)
+        spans = F.transform(places, lambda i: F.array(*(spanning(i, k) for k in range(2, WIDEST + 1))))
+        found = F.flatten(F.zip_with(F.get(windows, F.lit(0)), spans, lambda own, more: F.concat(F.array(own["name"]), more)))
+        better = lambda start: F.exists(F.flatten(spans), lambda y: F.coalesce(y.startswith(start), F.lit(False)))
+        general = lambda x: _any((x == name) & better(start) for name, start in GENERAL)
+        return F.filter(found, lambda x: x.isNotNull() & ~general(x))
+
+    windows = F.transform(F.sequence(F.lit(1), F.lit(WIDEST)), lambda k: F.transform(pieces, lambda x, i: identifier(F.array_join(F.slice(pieces, i + 1, k), " "))))
+    return F.when(F.size(pieces) > 1, _let(windows, of)).otherwise(F.filter(F.transform(pieces, lambda x: identifier(x)["name"]), lambda x: x.isNotNull()))
+
+
+def _any(conditions) -> Column:
+    first, *rest = conditions
+    for c in rest:
+        first = first | c
+    return first
+
+
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, sentence_ids, licenses.
 
@@ -138,10 +178,14 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     nothing but itself: no shuffle.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    ids = F.filter(F.transform(sentences(body), identifier), lambda x: x.isNotNull())
-    sequence = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-    read = F.regexp_replace(body, r"(?i)(spdx-license-identifier):", "$1")
-    hinted = F.when(normalised(read).rlike(ANY), sequence).otherwise("")
+    pieces = lambda sentence: F.transform(F.split(sentence, "\u0002"), normalised)
+
+    def read(text: Column) -> Column:
+        ids = F.flatten(F.transform(F.split(text, "\u0001"), lambda sentence: _let(pieces(sentence), _names)))
+        sequence = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
+        return F.when(normalised(F.translate(text, "\u0001\u0002", "  ")).rlike(ANY), sequence).otherwise("")
+
+    hinted = _let(marked(body), read)
     rules = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(name).cast("string").alias("name")) for p, name in RULES))
     start = F.struct(F.col("sentence_ids").alias("rest"), F.array().cast("array<string>").alias("found"))
 

@@ -4,11 +4,23 @@ import re
 
 from leadloom.llm import license_scan
 
+GPL = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version.\n"
+APACHE = "Licensed under the Apache\nLicense, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
 TEXTS = [
     ("Unauthorized use of this file is strictly prohibited.", "proprietary"),
     ("The origin of this software must not be misrepresented.", "Zlib"),
     ("All advertising materials mentioning features or use of this software.", "NONE"),
     ("It was given into the public\ndomain.", "public-domain"),
+    ("# Under Creative\n# Commons BY 4.0", "CC-BY-4.0"),
+    (GPL.format("", "2"), "GPL-2"),
+    (GPL.format("Affero ", "3"), "AGPL-3.0"),
+    (GPL.format("Lesser ", "2.1"), "LGPL-2.1"),
+    ("/*\n * " + GPL.format("", "3").replace("\n", "\n * ") + "/", "GPL-3"),
+    (GPL.format("", "2") + "\nYou should have received a copy of the\nGNU General Public License along with this program.", "GPL-2"),
+    ("under the GNU\nGeneral Public License as published by the\nFree Software Foundation; either version 3", "GPL-3"),
+    (APACHE, "Apache-2.0"),
+    ("Released under the MIT License\nCopyright 2020 Someone", "MIT"),
+    ("GNU General Public License; and also the GNU Lesser General Public License", "LGPL AND GPL"),
     ("A plain text: it has; no licence.\nNone at all", "NONE"),
 ]
 
