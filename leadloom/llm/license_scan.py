@@ -12,14 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The SQL's first look at a text, in lower case. It misses texts; the operator has ``ANY`` instead.
-HINT = r"licen[sc]e|copyright|spdx|public domain|permission|redistribut|warrant|rights reserved|creative commons|cc[ -]?by|cc0|copying"
-UNDER = r"(licensed|released|distributed|available|provided|published|covered|shared|made available|is|are) under (a |an |the )?(terms of |conditions of )*(the |a |an )?"
+UNDER = r"(licensed|released|distributed|available|provided|published|covered|shared|made available|is|are) under (a |an |the )?(terms of |terms and conditions of |conditions of )*(the |a |an )?"
 
-#: (identifier, pattern on the normalised sentence); the first that fits counts.
+#: (identifier, pattern on the normalised sentence); of those that fit at one place the first counts.
 #: ``{}`` in an identifier stands for the first group of the pattern.
 SENTENCES = (
-    ("spdx:{}", r"spdx-license-identifier ([a-z0-9.+-]+)"),
+    ("spdx:{}", r"spdx-license-identifier ([a-z0-9.+-]*[a-z0-9+])"),
     ("mitPermit", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mitNotice", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("asIs", r"the software is provided as is without warranty of any kind"),
@@ -28,24 +26,24 @@ SENTENCES = (
     ("bsdSource", r"redistributions of source code must retain the above copyright notice"),
     ("bsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsdAdvert", r"all advertising materials mentioning features or use of this software"),
-    ("bsdEndorse", r"neither the names? of .* (may|nor) .*"),
-    ("bsdAsIs", r"this software is provided by .* as is and any express or implied warranties"),
+    ("bsdEndorse", r"neither the names? of .{1,300}? (may|nor)"),
+    ("bsdAsIs", r"this software is provided by .{1,300}? as is and any express or implied warranties"),
     ("apacheUse", r"you may not use this (file|work) except in compliance with the license"),
     ("apacheCopy", r"you may obtain a copy of the license at"),
     ("apacheAsIs", r"software distributed under the license is distributed on an as is basis"),
-    ("Apache-2.0", UNDER + r"apache (software )?license,? (version |v)?2(\.0)?"),
-    ("Apache-1.1", UNDER + r"apache (software )?license,? (version |v)?1\.1"),
-    ("AGPL-3.0", r"gnu affero general public license,? (as published by the free software foundation )?(either )?(version |v)3"),
+    ("Apache-2.0", UNDER + r"apache (software )?license (version |v)?2(\.0)?"),
+    ("Apache-1.1", UNDER + r"apache (software )?license (version |v)?1\.1"),
+    ("AGPL-{}", r"gnu affero general public license (?:as published by the free software foundation )?(?:either )?(?:version |v)([0-9.]*[0-9])"),
     ("agplAny", r"gnu affero general public license"),
-    ("LGPL-{}", r"gnu (?:lesser|library) general public license,? (?:as published by the free software foundation )?(?:either )?(?:version |v)([0-9.]*[0-9])"),
+    ("LGPL-{}", r"gnu (?:lesser|library) general public license (?:as published by the free software foundation )?(?:either )?(?:version |v)([0-9.]*[0-9])"),
     ("lgplAny", r"gnu (lesser|library) general public license"),
-    ("GPL-{}", r"gnu general public license,? (?:as published by the free software foundation )?(?:either )?(?:version |v)([0-9.]*[0-9])"),
+    ("GPL-{}", r"gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v)([0-9.]*[0-9])"),
     ("gplCopy", r"you should have received a copy of the gnu general public license"),
     ("gplNoWarranty", r"this program is distributed in the hope that it will be useful but without any warranty"),
     ("gplAny", r"gnu general public license"),
     ("orLater", r"any later version"),
-    ("MPL-{}", r"mozilla public license,? (?:version |v\. ?|v)([0-9.]*[0-9])"),
-    ("EPL-{}", r"eclipse public license,? (?:version |v\. ?|v|- v ?)([0-9.]*[0-9])"),
+    ("MPL-{}", r"mozilla public license (?:version |v\.? ?)([0-9.]*[0-9])"),
+    ("EPL-{}", r"eclipse public license (?:version |v\.? ?)([0-9.]*[0-9])"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("cc0", r"(creative commons zero|cc0)"),
     ("CC-BY-NC-SA-{}", r"(?:creative commons|cc) (?:by-nc-sa|attribution-noncommercial-sharealike)(?: license)?(?: version| v)? ?([0-9.]*[0-9])?"),
@@ -68,7 +66,7 @@ SENTENCES = (
     ("publicDomain", r"(in|into|to) the public domain"),
     ("noCopying", r"unauthorized (copying|use|distribution)"),
     ("allRights", r"all rights reserved"),
-    ("copyright", r"copyright (c |\(c\) )?[0-9]{4}"),
+    ("copyright", r"copyright (c )?[0-9]{4}"),
     ("seeLicense", r"(see|read) (the )?(file )?license"),
 )
 
@@ -81,19 +79,19 @@ RULES = (
     (r"<bsdRedist>(<bsdSource>)?(<bsdBinary>)?<bsdEndorse>(<bsdAsIs>)?", "BSD-3-Clause"),
     (r"<bsdRedist>(<bsdSource>)?(<bsdBinary>)?(<bsdAsIs>)?", "BSD-2-Clause"),
     (r"(<Apache-2.0>)?<apacheUse>(<apacheCopy>)?(<apacheAsIs>)?", "Apache-2.0"),
-    (r"<AGPL-3.0>(<orLater>)?(<gplNoWarranty>)?(<agplAny>)*", "AGPL-3.0"),
     (r"<zlibOrigin>(<zlibAltered>)?", "Zlib"),
     (r"<cc0>", "CC0-1.0"),
     (r"<bsl>", "BSL-1.0"),
     (r"<wtfpl>", "WTFPL"),
-    (r"<(LGPL-[0-9.]+)>(<orLater>)?(<gplNoWarranty>)?(<lgplAny>)*", None),
-    (r"<(GPL-[0-9.]+)>(<orLater>)?(<gplNoWarranty>)?(<gplCopy>)?", None),
+    (r"<(AGPL-[0-9.]+(?:-or-later)?)>(<gplNoWarranty>|<agplAny>)*", None),
+    (r"<(LGPL-[0-9.]+(?:-or-later)?)>(<gplNoWarranty>|<lgplAny>)*", None),
+    (r"<(GPL-[0-9.]+(?:-or-later)?)>(<gplNoWarranty>|<gplAny>|<gplCopy>)*", None),
     (r"<((?:Apache|MPL|EPL|CC|BSD)-[A-Za-z0-9.-]+)>", None),
     (r"<(MIT|ISC|Unlicense)>", None),
     (r"<bsdAny>", "BSD"),
     (r"<agplAny>", "AGPL"),
     (r"<lgplAny>", "LGPL"),
-    (r"<gplAny>(<gplNoWarranty>)?(<gplCopy>)?", "GPL"),
+    (r"<gplAny>(<gplNoWarranty>|<gplAny>|<gplCopy>)*", "GPL"),
     (r"<publicDomain>", "public-domain"),
     (r"<noCopying>(<allRights>)?", "proprietary"),
 )
@@ -101,29 +99,26 @@ RULES = (
 NEUTRAL = r"<(copyright|allRights|asIs|orLater|seeLicense|mitNotice|bsdSource|bsdBinary|bsdEndorse|bsdAsIs|bsdAdvert|gplNoWarranty|gplCopy|apacheCopy|apacheAsIs|zlibAltered)>"
 
 
-#: A text without a match of this has no licence sentence; for texts in the normal form of sentences.
-ANY = "|".join(f"(?:{pattern})" for _, pattern in SENTENCES)
-#: Pieces of a sentence that are read together at most.
-WIDEST = 4
+#: A version that a later one may stand for, in a sequence of identifiers.
+OR_LATER = r"<([AL]?GPL-[0-9.]+)><orLater>"
+#: What each sentence pattern needs, in lower case: one of these parts of words, or one of these pairs of words, whatever is between the two.
+PARTS = ("licen", "copyright", "spdx", "permission", "redistribution", "warrant", "advertising", "neither", "unencumbered", "commons", "cc0", "plainly", "misrepresented", "unauthorized", "bsd")
+PAIRS = ("cc[^a-z0-9]+(?:by|attribution)", "public[^a-z0-9]+domain", "rights[^a-z0-9]+reserved", "later[^a-z0-9]+version")
 #: (identifier, beginning of those that name the same licence better).
 GENERAL = (("gplAny", "GPL-"), ("gplAny", "gplCopy"), ("lgplAny", "LGPL-"), ("agplAny", "AGPL-"))
-NO_RANK = len(SENTENCES)
-
-
-def marked(text: Column) -> Column:
-    """``text`` with \\u0001 where a sentence ends and \\u0002 where one may end.
-
-    Sentences end after ``.!?`` before white space and at empty lines, and may
-    end after ``;:`` and where a line begins with a capital.
-    """
-    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?i)(spdx-license-identifier):", "$1")
-    ends = F.regexp_replace(F.regexp_replace(lines, r"\n[ \t*#/;-]*\n", "\u0001"), r"\n[ \t*#/;-]*([A-Z])", "\u0002$1")
-    return F.regexp_replace(F.regexp_replace(ends, r"([.!?])[ \t\n]+", "$1\u0001"), r"([;:])[ \t\n]+", "$1\u0002")
 
 
 def normalised(sentence: Column) -> Column:
+    """Lower-case words with one space between them; what stands alone between words (bullets, marks of comments) goes."""
     plain = F.regexp_replace(F.translate(sentence, UPPER, LOWER), r"[^a-z0-9.+-]+", " ")
-    return F.regexp_replace(plain, r"^[ .+-]+|[ .+-]+$", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?: [.+-]+)+ ", " "), r"^[ .+-]+|[ .+-]+$", "")
+
+
+def sentences(text: Column) -> Column:
+    """The normalised sentences of a text, in order. A sentence ends after ``.!?`` before white space and at an empty line."""
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\b([vV])\.[ \t\n]+([0-9])", "$1.$2")
+    ends = F.regexp_replace(F.regexp_replace(lines, r"\n[ \t*#/;-]*\n", "\u0001"), r"([.!?])[ \t\n]+", "$1\u0001")
+    return F.transform(F.split(ends, "\u0001"), normalised)
 
 
 def _let(value: Column, body) -> Column:
@@ -131,40 +126,44 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
-def identifier(sentence: Column) -> Column:
-    """(rank, name): the identifier of a normalised sentence and its place in the table; name is null where none fits."""
-    out = F.struct(F.lit(NO_RANK).alias("rank"), F.lit(None).cast("string").alias("name"))
-    for rank, (name, pattern) in reversed(list(enumerate(SENTENCES))):
-        named = F.concat(F.lit(name.removesuffix("{}")), F.regexp_extract(sentence, pattern, 1)) if "{}" in name else F.lit(name)
-        out = F.when(sentence.rlike(pattern), F.struct(F.lit(rank).alias("rank"), F.regexp_replace(named, r"-$", "").alias("name"))).otherwise(out)
-    return out
+def _any(conditions) -> Column:
+    first, *rest = conditions
+    for c in rest:
+        first = first | c
+    return first
 
 
-def _names(pieces: Column) -> Column:
-    """The identifiers in a sentence of one or more pieces: those of the pieces, and those that neighbouring pieces have only together."""
+def hinted(lower: Column) -> Column:
+    """Whether a lower-cased text has what some sentence pattern needs. Literals are looked for one by one, which is far quicker than one alternation."""
+    return _any([*(F.contains(lower, F.lit(x)) for x in PARTS), *(lower.rlike(x) for x in PAIRS)])
 
-    def of(windows: Column) -> Column:
-        def spanning(i: Column, k: int) -> Column:
-            shorter = F.get(windows, F.lit(k - 2))
-            better = F.get(F.get(windows, F.lit(k - 1)), i)
-            return F.when(better["rank"] < F.least(F.get(shorter, i)["rank"], F.coalesce(F.get(shorter, i + 1)["rank"], F.lit(NO_RANK))), better["name"])
 
-        places = F.sequence(F.lit(0), F.size(F.get(windows, F.lit(0))) - 1)
-        spans = F.transform(places, lambda i: F.array(*(spanning(i, k) for k in range(2, WIDEST + 1))))
-        found = F.flatten(F.zip_with(F.get(windows, F.lit(0)), spans, lambda own, more: F.concat(F.array(own["name"]), more)))
-        better = lambda start: F.exists(F.flatten(spans), lambda y: F.coalesce(y.startswith(start), F.lit(False)))
-        general = lambda x: _any((x == name) & better(start) for name, start in GENERAL)
-        return F.filter(found, lambda x: x.isNotNull() & ~general(x))
+def identifiers(sentence: Column) -> Column:
+    """The identifiers of a normalised sentence, in the order of their first places.
 
-    windows = F.transform(F.sequence(F.lit(1), F.lit(WIDEST)), lambda k: F.transform(pieces, lambda x, i: identifier(F.array_join(F.slice(pieces, i + 1, k), " "))))
-    return F.when(F.size(pieces) > 1, _let(windows, of)).otherwise(F.filter(F.transform(pieces, lambda x: identifier(x)["name"]), lambda x: x.isNotNull()))
+    A sentence may hold several (a notice and, after it, a permission); of
+    those at one place the first of the table counts, and a general one goes
+    where a better one of the same licence is in the sentence.
+    """
 
+    def hit(rank: int, name: str, pattern: str) -> Column:
+        names, head = F.array(F.lit(name)), F.lit(name.removesuffix("{}"))
+        if "{}" in name:
+            names = F.transform(F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(F.concat(head, x), "-$", ""))
+        place = F.regexp_instr(sentence, F.lit(pattern))
+        return F.when(sentence.rlike(pattern), F.struct(place.alias("place"), F.lit(rank).alias("rank"), names.alias("names")))
 
-def _any(conditions) -> Column:
-    first, *rest = conditions
-    for c in rest:
-        first = first | c
-    return first
+    tried = [hit(rank, *row) for rank, row in enumerate(SENTENCES)]
+
+    def chosen(hits: Column) -> Column:
+        first = F.filter(hits, lambda x: ~F.exists(hits, lambda y: (y["place"] == x["place"]) & (y["rank"] < x["rank"])))
+        return _let(F.flatten(F.transform(F.array_sort(first), lambda x: x["names"])), better)
+
+    def better(names: Column) -> Column:
+        among = lambda start: F.exists(names, lambda y: y.startswith(start))
+        return F.filter(names, lambda x: ~_any((x == name) & among(start) for name, start in GENERAL))
+
+    return _let(F.filter(F.array(*tried), lambda x: x.isNotNull()), chosen)
 
 
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -175,58 +174,63 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     " AND ", ``UNKNOWN`` where licence sentences fit no rule, and ``NONE``
     where there is no licence sentence. Null and empty texts have none.
     Repeated rows get one answer each. Extra columns are ignored. A row needs
-    nothing but itself: no shuffle.
+    nothing but itself: no shuffle. Texts, and then sentences, without any word
+    that a pattern needs (``PARTS``, ``PAIRS``) are not looked at further; no pattern fits them.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    pieces = lambda sentence: F.transform(F.split(sentence, "\u0002"), normalised)
-
-    def read(text: Column) -> Column:
-        ids = F.flatten(F.transform(F.split(text, "\u0001"), lambda sentence: _let(pieces(sentence), _names)))
-        sequence = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-        return F.when(normalised(F.translate(text, "\u0001\u0002", "  ")).rlike(ANY), sequence).otherwise("")
-
-    hinted = _let(marked(body), read)
+    known = F.filter(sentences(body), hinted)
+    sequence = F.array_join(F.transform(F.flatten(F.transform(known, identifiers)), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
+    ids = F.when(_let(F.lower(body), hinted), sequence).otherwise("")
     rules = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(name).cast("string").alias("name")) for p, name in RULES))
-    start = F.struct(F.col("sentence_ids").alias("rest"), F.array().cast("array<string>").alias("found"))
+    start = F.struct(F.regexp_replace("sentence_ids", OR_LATER, "<$1-or-later>").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def use(state: Column, rule: Column) -> Column:
-        names = F.when(rule["name"].isNotNull(), F.array(rule["name"])).otherwise(F.array_distinct(F.regexp_extract_all(state["rest"], rule["p"], F.lit(1))))
+        names = F.when(rule["name"].isNotNull(), F.array(rule["name"])).otherwise(F.regexp_extract_all(state["rest"], rule["p"], F.lit(1)))
         return F.when(
             F.rlike(state["rest"], rule["p"]),
             F.struct(F.regexp_replace(state["rest"], rule["p"], F.lit("|")).alias("rest"), F.concat(state["found"], names).alias("found")),
         ).otherwise(state)
 
     matched = F.when(F.col("sentence_ids") != "", F.aggregate(rules, start, use)).alias("matched")
-    scanned = docs.select(F.col(doc_id).alias("doc_id"), hinted.alias("sentence_ids")).select("doc_id", "sentence_ids", matched)
+    scanned = docs.select(F.col(doc_id).alias("doc_id"), ids.alias("sentence_ids")).select("doc_id", "sentence_ids", matched)
     left = F.regexp_replace("matched.rest", NEUTRAL + r"|\|", "")
     found = F.when(F.size("matched.found") > 0, F.array_join(F.array_distinct("matched.found"), " AND "))
     return scanned.select("doc_id", "sentence_ids", F.coalesce(found, F.when(left != "", "UNKNOWN"), F.lit("NONE")).alias("licenses"))
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL; rules are common table expressions, one after another."""
+    """The same in DuckDB SQL, with every sentence of every text tried on every pattern; rules are common table expressions, one after another."""
 
     def q(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    cases = " ".join(
-        f"WHEN regexp_matches(s, {q(p)}) THEN " + (f"regexp_replace({q(name.removesuffix('{}'))} || regexp_extract(s, {q(p)}, 1), '-$', '')" if "{}" in name else q(name)) for name, p in SENTENCES
-    )
+    def named(name: str, p: str) -> str:
+        if "{}" not in name:
+            return f"[{q(name)}]"
+        return f"list_transform(regexp_extract_all(s, {q(p)}, 1), lambda x: regexp_replace({q(name.removesuffix('{}'))} || x, '-$', ''))"
+
+    hits = ", ".join(f"CASE WHEN regexp_matches(s, {q(p)}) THEN {{'place': strpos(s, regexp_extract(s, {q(p)}, 0)), 'rank': {k}, 'names': {named(name, p)}}} END" for k, (name, p) in enumerate(SENTENCES))
+    general = " OR ".join(f"(x = {q(name)} AND len(list_filter(names, lambda y: starts_with(y, {q(start)}))) > 0)" for name, start in GENERAL)
     sql = rf"""
-WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+WITH b AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS t FROM documents
 ), m AS (
-  SELECT doc_id, t, CASE WHEN regexp_matches(translate(t, '{UPPER}', '{LOWER}'), {q(HINT)}) THEN
-    string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '(?i)(spdx-license-identifier):', '\1', 'g'), '\n[ \t*#/;-]*\n|\n[ \t*#/;-]*([A-Z])', chr(1) || '\1', 'g'), '([.!?;:])[ \t\n]+', '\1' || chr(1), 'g'), chr(1))
-    ELSE [] END AS parts FROM b
-), n AS (
-  SELECT doc_id, list_transform(parts, lambda x: regexp_replace(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .+-]+|[ .+-]+$', '', 'g')) AS parts FROM m
-), i AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM n
-), r0 AS (SELECT doc_id, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS sentence_ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest, ''::VARCHAR AS found FROM i
+  SELECT doc_id, n, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '\b([vV])\.[ \t\n]+([0-9])', '\1.\2', 'g'), '\n[ \t*#/;-]*\n', chr(1), 'g'), '([.!?])[ \t\n]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM b
+), e AS (SELECT n, generate_subscripts(parts, 1) AS k, unnest(parts) AS x FROM m
+), s AS (
+  SELECT n, k, regexp_replace(regexp_replace(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9.+-]+', ' ', 'g'), '(?: [.+-]+)+ ', ' ', 'g'), '^[ .+-]+|[ .+-]+$', '', 'g') AS s FROM e
+), h AS (SELECT n, k, list_filter([{hits}], lambda x: x IS NOT NULL) AS hits FROM s
+), c AS (
+  SELECT n, k, flatten(list_transform(list_sort(list_filter(hits, lambda x: len(list_filter(hits, lambda y: y.place = x.place AND y.rank < x.rank)) = 0)), lambda x: x.names)) AS names FROM h WHERE len(hits) > 0
+), i AS (
+  SELECT n, string_agg(array_to_string(list_transform(list_filter(names, lambda x: NOT ({general})), lambda x: '<' || x || '>'), ''), '' ORDER BY k) AS sentence_ids FROM c GROUP BY n
+), r0 AS (
+  SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, regexp_replace(coalesce(sentence_ids, ''), {q(OR_LATER)}, '<\1-or-later>', 'g') AS rest, []::VARCHAR[] AS found FROM b LEFT JOIN i USING (n)
 )"""
     for k, (p, name) in enumerate(RULES):
-        new = q(name) if name else f"array_to_string(regexp_extract_all(rest, {q(p)}, 1), ' AND ')"
+        new = f"[{q(name)}]" if name else f"regexp_extract_all(rest, {q(p)}, 1)"
         sql += rf""", r{k + 1} AS (SELECT doc_id, sentence_ids, CASE WHEN regexp_matches(rest, {q(p)}) THEN regexp_replace(rest, {q(p)}, '|', 'g') ELSE rest END AS rest,
-  CASE WHEN regexp_matches(rest, {q(p)}) THEN found || ' AND ' || {new} ELSE found END AS found FROM r{k})"""
+  CASE WHEN regexp_matches(rest, {q(p)}) THEN list_concat(found, {new}) ELSE found END AS found FROM r{k})"""
     return sql + rf"""
-SELECT doc_id, sentence_ids, CASE WHEN found <> '' THEN substr(found, 6) WHEN regexp_replace(rest, {q(NEUTRAL + '|[|]')}, '', 'g') <> '' THEN 'UNKNOWN' ELSE 'NONE' END AS licenses FROM r{len(RULES)}
+SELECT doc_id, sentence_ids, CASE WHEN len(found) > 0 THEN array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ' AND ')
+  WHEN regexp_replace(rest, {q(NEUTRAL + '|[|]')}, '', 'g') <> '' THEN 'UNKNOWN' ELSE 'NONE' END AS licenses FROM r{len(RULES)}
 """

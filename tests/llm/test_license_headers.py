@@ -12,15 +12,23 @@ TEXTS = [
     ("All advertising materials mentioning features or use of this software.", "NONE"),
     ("It was given into the public\ndomain.", "public-domain"),
     ("# Under Creative\n# Commons BY 4.0", "CC-BY-4.0"),
-    (GPL.format("", "2"), "GPL-2"),
-    (GPL.format("Affero ", "3"), "AGPL-3.0"),
-    (GPL.format("Lesser ", "2.1"), "LGPL-2.1"),
-    ("/*\n * " + GPL.format("", "3").replace("\n", "\n * ") + "/", "GPL-3"),
-    (GPL.format("", "2") + "\nYou should have received a copy of the\nGNU General Public License along with this program.", "GPL-2"),
+    (GPL.format("", "2"), "GPL-2-or-later"),
+    (GPL.format("Affero ", "3"), "AGPL-3-or-later"),
+    (GPL.format("Lesser ", "2.1"), "LGPL-2.1-or-later"),
+    ("/*\n * " + GPL.format("", "3").replace("\n", "\n * ") + "/", "GPL-3-or-later"),
+    (GPL.format("", "2") + "\nYou should have received a copy of the\nGNU General Public License along with this program.", "GPL-2-or-later"),
     ("under the GNU\nGeneral Public License as published by the\nFree Software Foundation; either version 3", "GPL-3"),
     (APACHE, "Apache-2.0"),
     ("Released under the MIT License\nCopyright 2020 Someone", "MIT"),
     ("GNU General Public License; and also the GNU Lesser General Public License", "LGPL AND GPL"),
+    ("-- under the GNU\n-- General Public License,\n-- version 2", "GPL-2"),
+    ("Mozilla Public License v. 2.0 applies", "MPL-2.0"),
+    ("Creative\nCommons Attribution 4.0", "CC-BY-4.0"),
+    ("Released under CC  BY 4.0", "CC-BY-4.0"),
+    ("Eclipse Public License - v 2.0", "EPL-2.0"),
+    ("MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software", "MIT"),
+    ("GNU General Public License version 2 or GNU General Public License version 3", "GPL-2 AND GPL-3"),
+    ("x " * 400_000 + "\nlicensed under the MIT License", "MIT"),
     ("A plain text: it has; no licence.\nNone at all", "NONE"),
 ]
 
@@ -40,7 +48,7 @@ def example(pattern):
         if new == pattern:
             break
         pattern = new
-    for old, text in ((r"[a-z0-9.+-]+", "mit"), ("[0-9.]*[0-9]", "2"), ("[0-9]{4}", "2020"), ("[a-z*]+", "x"), (r"\.", "."), (".*", "x")):
+    for old, text in ((r"[a-z0-9.+-]*[a-z0-9+]", "mit"), (".{1,300}?", "x"), ("[0-9.]*[0-9]", "2"), ("[0-9]{4}", "2020"), ("[a-z*]+", "x"), (r"\.", "."), (".*", "x")):
         pattern = pattern.replace(old, text)
     return re.sub(r".\?", "", pattern)
 
@@ -50,7 +58,14 @@ def test_every_sentence_passes_alone_and_wrapped(spark):
     for _, pattern in license_scan.SENTENCES:
         text = example(pattern)
         assert re.search(pattern, text), (pattern, text)
-        rows += [text, text.replace(" ", "\n"), text.replace(" ", "\n# ")]
+        assert any(x in text for x in license_scan.PARTS) or any(re.search(x, text) for x in license_scan.PAIRS), text
+        rows += [text, text.replace(" ", "\n"), text.replace(" ", " - ;\n# ").upper()]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: r["sentence_ids"] for r in license_scan.license_scan(df).collect()}
     assert all(got.values()) and all(got[i] == got[i + 1] == got[i + 2] for i in range(0, len(rows), 3))
+
+
+def test_repeated_rows_and_nothing(spark):
+    df = spark.createDataFrame([(1, TEXTS[0][0]), (1, TEXTS[0][0]), (None, None), (2, "")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["licenses"]) for r in license_scan.license_scan(df).collect()))
+    assert got == [(0, "NONE"), (1, "proprietary"), (1, "proprietary"), (2, "NONE")]
