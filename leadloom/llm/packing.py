@@ -5,15 +5,16 @@ numbers up to it, so a corpus of any size is a histogram of at most
 ``capacity`` counts. Over that histogram the configuration linear program
 (how often to use each way of filling a sequence) is solved by multiplicative
 weights: lengths that are covered least weigh most, and a knapsack dynamic
-program prices the best configuration. The solution is rounded down, and what
-it leaves is packed by best fit, in groups of equal bins, so that the work and
-the plan depend on the capacity and not on the corpus. Pieces then find their
-places by their rank among those of equal length.
+program prices the best configuration. Amounts are rounded down to whole
+sequences, and what is left is packed by best fit, in groups of equal bins, so
+that the work and the plan depend on the capacity and not on the corpus. Pieces
+then find their places by their rank among those of equal length.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,12 +34,21 @@ CAPACITY = 2048
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: A run of white space (of any kind that a pattern's ``\s`` means) too long for the pattern's look-ahead.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0  -     　]{500,}")
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes, by a file of ``tokenizers``.
+    """Token ids of whole texts, as little-endian 32-bit bytes: those of ``tokenizers`` with its defaults and no special tokens added.
 
     A plain byte-level BPE file is run by tiktoken, which takes its vocabulary
     as ranks and gives the same ids in a quarter of the time; any other file by
-    ``tokenizers`` itself. Special tokens in a text are ordinary text.
+    ``tokenizers`` itself. Two things are done before tiktoken reads a text.
+    Added tokens are cut out, as ``tokenizers`` does. And a long run of white
+    space goes to ``tokenizers``, because tiktoken can't look ahead over it: no
+    word of the pattern ends in white space, so one always ends where the run
+    begins, and the next ends before the run's last character if text follows,
+    else at the run's end. Cutting there changes no word.
     """
 
     def __init__(self, path: str):
@@ -46,21 +56,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        first, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        first, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
         plain = model["type"] == "BPE" and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not spec.get("normalizer")
-        self.fast = None
+        plain = plain and not any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip"))
+        self.fast, self.added = None, {}
         if plain:
-            special = {t["content"] for t in spec.get("added_tokens", [])}
+            self.added = {t["content"]: t["id"] for t in added}
+            self.marks = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) or r"(?!)")
             printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte = {chr(b): b for b in printed} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printed)}
-            ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+            ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
             self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
+    def _ids(self, text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            a, b = run.span()
+            b -= b < len(text)
+            ids += self.fast.encode_ordinary(text[at:a]) if a > at else []
+            ids += self.tokenizer.encode(text[a:b], add_special_tokens=False).ids
+            at = b
+        return ids + self.fast.encode_ordinary(text[at:]) if at else self.fast.encode_ordinary(text)
+
     def encode(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        if self.fast is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids, at = [], 0
+            for mark in self.marks.finditer(text):
+                ids += [*self._ids(text[at : mark.start()]), self.added[mark.group()]]
+                at = mark.end()
+            ids = ids + self._ids(text[at:]) if at else self._ids(text)
         return np.array(ids, "<u4").tobytes()
 
 
@@ -128,27 +156,40 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity
     return counts
 
 
-def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, power: float, sharpness: float = 0.5) -> dict[tuple, float]:
-    """A fractional cover of the demand, configuration -> how often, by multiplicative weights.
+def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, power: float, sharpness: float = 0.1, priced: int = 160, tail: float = 0.25) -> dict[tuple, int]:
+    """A cover of the demand, configuration -> how often, by multiplicative weights.
 
     A length's price starts as its share of a sequence, raised to ``power``
-    (over 1, long pieces come first), and falls as its demand is covered; each
-    round adds the configuration of the highest price, to a ``rounds``-th of
-    the sequences that are needed at least.
+    (over 1, long pieces come first, as in best-fit decreasing), and falls as
+    its demand is covered. Each round adds the configuration of the highest
+    price, rounded down to whole times: as often as demand lasts, but to at most
+    a ``rounds``-th of the sequences that are needed, after which prices have
+    moved. So each round uses up a length or such a part, and there are no more
+    rounds than lengths and ``rounds`` together. The knapsack chooses among
+    ``priced`` lengths at once: a quarter of them the dearest, the others
+    spread evenly over the rest, by turns. The last ``tail`` of the tokens is
+    left over: without small pieces to choose from, configurations leave gaps.
     """
-    step = max(1.0, float((lengths * demand).sum()) / capacity / rounds)
-    covered, found = np.zeros(len(lengths)), defaultdict(float)
-    for _ in range(rounds + rounds // 3):
-        part = covered / demand
-        open_ = np.flatnonzero(part < 1 - 1e-9)
-        if not len(open_):
+    most = max(1, int((lengths * demand).sum() / capacity / rounds))
+    rest, found = demand.astype(np.int64), defaultdict(int)
+    for turn in range(len(lengths) + 2 * rounds):
+        open_ = np.flatnonzero(rest)
+        if (lengths * rest).sum() <= tail * (lengths * demand).sum():
             break
-        price = (lengths[open_] / capacity) ** power * np.exp(-sharpness * (part[open_] - part[open_].min()))
-        most = np.maximum(1, np.floor((demand[open_] - covered[open_]) / step + 1e-9)).astype(np.int64)
-        counts = np.zeros(len(lengths), np.int64)
-        counts[open_] = knapsack(lengths[open_], price, most, capacity)
-        found[tuple((int(lengths[i]), int(counts[i])) for i in np.flatnonzero(counts)[::-1])] += step
-        covered += counts * step
+        part = 1 - rest[open_] / demand[open_]
+        price = (lengths[open_] / capacity) ** power * np.exp(-sharpness * (part - part.min()))
+        if len(open_) > priced:
+            order = np.argsort(-price, kind="stable")
+            dear, others = order[: priced // 4], order[priced // 4 :]
+            every = -(-len(others) // (priced - priced // 4))
+            taken = np.concatenate([dear, others[turn % every :: every]])
+            open_, price = open_[taken], price[taken]
+        counts = knapsack(lengths[open_], price, rest[open_], capacity)
+        used = np.flatnonzero(counts)
+        times = int(min(most, (rest[open_[used]] // counts[used]).min()))
+        content = sorted(((int(lengths[open_[i]]), int(counts[i])) for i in used), reverse=True)
+        found[tuple(content)] += times
+        rest[open_[used]] -= counts[used] * times
     return found
 
 
@@ -183,51 +224,45 @@ def best_fit(rest: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     return [(content, copies) for groups in bins.values() for content, copies in groups]
 
 
-def _rounded(found: dict[tuple, float], demand: dict[int, int], capacity: int, part: float) -> list[tuple[tuple, int]]:
-    """``part`` of the fractional solution, rounded down, and best fit for the rest."""
-    done, rest = [], dict(demand)
-    for content, often in sorted(found.items(), key=lambda x: -x[1]):
-        copies = min([int(often * part), *(rest[x] // k for x, k in content)])
-        if copies > 0:
-            done.append((content, copies))
-            for x, k in content:
-                rest[x] -= k * copies
-    return done + best_fit(rest, capacity)
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100, power: float = 1.02) -> list[tuple[tuple, int, bool]]:
+    """[(((length, times), ...), copies, planned), ...]: a packing of all pieces of the histogram.
 
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100) -> list[tuple[tuple, int]]:
-    """[(((length, times), ...), copies), ...]: a packing of all pieces of the histogram."""
-    done: list[tuple[tuple, int]] = []
+    planned: the configuration comes from the linear program; the others are
+    best fit for what rounding left.
+    """
+    done: list[tuple[tuple, int, bool]] = []
     rest = {x: n for x, n in histogram.items() if n}
     if rest.get(capacity):
-        done.append((((capacity, 1),), rest.pop(capacity)))
+        done.append((((capacity, 1),), rest.pop(capacity), True))
     if rest:
         lengths = np.array(sorted(rest), np.int64)
         demand = np.array([rest[x] for x in lengths.tolist()], np.float64)
-        # the less of a solution is rounded off, the more choice best fit has for the rest: take the best of a few
-        found = [configurations(lengths, demand, capacity, rounds, power) for power in (1.0, 1.05)]
-        tried = [_rounded(f, rest, capacity, part) for f in found for part in (1.0, 0.8, 0.5, 0.2)]
-        done += min(tried, key=lambda plan: sum(copies for _, copies in plan))
+        for content, copies in configurations(lengths, demand, capacity, rounds, power).items():
+            done.append((content, copies, True))
+            for x, k in content:
+                rest[x] -= k * copies
+        done += [(*each, False) for each in best_fit(rest, capacity)]
     return done
 
 
-def _places(plan: list[tuple[tuple, int]]) -> np.ndarray:
-    """Rows (length, first rank, first sequence, times a sequence, offset), by length and rank."""
+def _places(plan: list[tuple[tuple, int, bool]]) -> np.ndarray:
+    """Rows (length, first rank, first sequence, times a sequence, offset, planned), by length and rank."""
     rows, used, sequence = [], defaultdict(int), 0
-    for content, copies in plan:
+    for content, copies, planned in plan:
         offset = 0
         for length, times in content:
-            rows.append((length, used[length], sequence, times, offset))
+            rows.append((length, used[length], sequence, times, offset, planned))
             used[length] += times * copies
             offset += length * times
         sequence += copies
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ...) with sequence_id and offset.
+    """``pieces`` (doc_id, piece, start, length, ...) with sequence_id, offset and planned.
 
-    Every sequence holds at most ``capacity`` tokens without a gap. Ranks among
+    Every sequence holds at most ``capacity`` tokens without a gap; planned says
+    whether it was filled by a configuration of the linear program. Ranks among
     pieces of one length are counted in salted groups of bounded size. Repeated
     pieces are packed as often as they come. No piece, no row.
     """
@@ -254,13 +289,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> Data
         key = table[:, 0] * (1 << 50) + table[:, 1]
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            _, first, sequence, times, offset = table[np.searchsorted(key, length * (1 << 50) + rank, "right") - 1].T
+            _, first, sequence, times, offset, planned = table[np.searchsorted(key, length * (1 << 50) + rank, "right") - 1].T
             nth = rank - first
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sequence + nth // times), pa.array(offset + nth % times * length)], [*columns, "sequence_id", "offset"]
+                [*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sequence + nth // times), pa.array(offset + nth % times * length), pa.array(planned > 0)],
+                [*columns, "sequence_id", "offset", "planned"],
             )
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, planned boolean"
     return ranked.select(*columns, "rank").mapInArrow(place, schema)
 
 
