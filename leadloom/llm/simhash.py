@@ -1,19 +1,21 @@
-"""SimHash near-duplicates over a byte-position index with count filtering.
+"""SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits that differ in at most two bits differ in at most two
 of their eight bytes, so they share at least six positional bytes. One posting
-list for each positional byte would hold 1/256 of all fingerprints, and its
-pairs would grow with the square of the input; so a posting is keyed by four
-positional bytes at once: the bytes form four cells of two, at most two cells
-differ, and every pair of cells is one key. In a posting list the positional
-bytes that two fingerprints share are tallied, pairs with fewer than six are
-left out, and the rest are verified bit by bit.
-
-A list of more than ``longest`` fingerprints (a swarm of near copies) is never
-paired up. Its members go through neighbour keys instead: each names itself
-and its 64 one-bit neighbours, and two fingerprints are within two bits if and
-only if they name a common key. A key is named by at most 65 fingerprints, so
-that way is exact and linear too.
+list for each single positional byte would hold 1/256 of all fingerprints, and
+its pairs would grow with the square of the input; so a posting is keyed by
+four positional bytes at once, in 14 blocks of four that form the Steiner
+system S(3, 4, 8). In it every two places are avoided by exactly three blocks,
+and every three by exactly one: fingerprints that share six positional bytes
+are hit in three blocks or more, those that share five in one, and those that
+share four in one at most. So hits are tallied for each pair, pairs under the
+guaranteed minimum of three are dropped, and what is left is verified bit by bit.
+
+A list of more than ``longest`` fingerprints is split, within the same index,
+by two more positional bytes: fingerprints of a list that share six bytes share
+at least two of the four outside its block, so they meet again in one of six
+finer lists, and their tally is the same. A finer list leaves two bytes open,
+so it holds at most 65,536 fingerprints, however large the corpus.
 """
 
 from __future__ import annotations
@@ -82,39 +84,51 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(of, f"doc_id {kind}, fp long")
 
 
-def _keys(fp: Column) -> Column:
-    cell = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    return F.array(*(F.lit(n).cast("long") * (1 << 32) + cell[i] * (1 << 16) + cell[j] for n, (i, j) in enumerate(pairs)))
+#: The blocks of S(3, 4, 8): the planes of the affine space of three bits.
+BLOCKS = tuple(tuple(p for p in range(8) if (p & m).bit_count() % 2 == c) for m in range(1, 8) for c in (0, 1))
+#: Blocks that two fingerprints with six positional bytes in common share at least.
+LEAST = 3
 
 
-def _shared(difference: Column) -> Column:
-    """How many positional bytes two fingerprints share, from their exclusive or."""
-    same = [F.when(F.shiftrightunsigned(difference, 8 * p).bitwiseAND(0xFF) == 0, 1).otherwise(0) for p in range(8)]
-    return sum(same[1:], same[0])
+def _bytes_at(fp: Column, places: tuple[int, ...]) -> Column:
+    """The positional bytes at some places, side by side in one long."""
+    parts = [F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(0xFF), 8 * k) for k, p in enumerate(places)]
+    return sum(parts[1:], parts[0])
+
+
+def _finer(block: tuple[int, ...]) -> list[tuple[int, ...]]:
+    outside = [p for p in range(8) if p not in block]
+    return [(p, q) for i, p in enumerate(outside) for q in outside[i + 1 :]]
+
+
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """(src, dst, bit) for every two of each list ``fps``, which is in order. Lists stream: no more than one row of pairs is held."""
+    placed = lists.select("bit", "fps", F.posexplode("fps").alias("i", "src"))
+    return placed.where(F.col("i") < F.size("fps") - 1).select("src", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("dst"), "bit")
+
+
+def tallied(hits: DataFrame, least: int) -> DataFrame:
+    """(src, dst) of the pairs that are hit in at least ``least`` blocks; hits: (src, dst, bit), one bit for each block."""
+    return hits.groupBy("src", "dst").agg(F.bit_or("bit").alias("bits")).where(F.bit_count("bits") >= least).select("src", "dst")
+
+
+def candidates(prints: DataFrame, longest: int = 64, least: int = LEAST) -> DataFrame:
+    """(src, dst) of distinct fingerprints ``fp``, src < dst, that share at least ``least`` blocks of positional bytes."""
+    keys = F.array(*(_bytes_at(F.col("fp"), block) for block in BLOCKS))
+    postings = prints.select("fp", F.posexplode(keys).alias("block", "key"))
+    sizes = scratch(postings.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "postings")
+    held = postings.join(sizes, ["block", "key"]).withColumn("bit", F.expr("shiftleft(1, block)"))
+    listed = F.array_sort(F.collect_list("fp")).alias("fps")
+    short = held.where(F.col("n") <= longest).groupBy("bit", "key").agg(listed).select("bit", "fps")
+    finer = F.element_at(F.array(*(F.array(*(_bytes_at(F.col("fp"), two) for two in _finer(block))) for block in BLOCKS)), F.col("block") + 1)
+    split = held.where(F.col("n") > longest).select("fp", "bit", "key", F.posexplode(finer).alias("side", "more"))
+    long = split.groupBy("bit", "key", "side", "more").agg(listed).where(F.size("fps") > 1).select("bit", "fps")
+    return tallied(list_pairs(short.unionByName(long)), least)
 
 
 def links(prints: DataFrame, longest: int = 64) -> DataFrame:
-    """(src, dst): links among distinct fingerprints ``fp``; transitively all of those within two bits."""
-    postings = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    sizes = scratch(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "postings")
-    held = postings.join(sizes, "key")
-    lists = held.where(F.col("n") <= longest).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-
-    def near(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        return (_shared(z) >= 6) & (F.bit_count(z) <= 2)
-
-    linked = F.flatten(
-        F.transform("fps", lambda x, i: F.transform(F.filter(F.slice("fps", i + 2, F.size("fps")), lambda y: near(x, y)), lambda y: F.struct(x.alias("src"), y.alias("dst"))))
-    )
-    few = lists.select(F.explode(linked).alias("link")).select("link.*").distinct()
-    crowded = held.where(F.col("n") > longest).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(64)))
-    named = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    groups = named.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    many = groups.select(F.explode("fps").alias("src"), F.array_min("fps").alias("dst")).where("src <> dst").distinct()
-    return few.unionByName(many)
+    """(src, dst): all links, of at most two differing bits, among distinct fingerprints ``fp``."""
+    return candidates(prints, longest).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= 2)
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, longest: int = 64) -> DataFrame:

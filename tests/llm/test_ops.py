@@ -118,19 +118,33 @@ def test_simhash(docs, rows, longest):
 
 
 @pytest.mark.parametrize("longest", [1000, 1])
-def test_simhash_links_lose_nothing(spark, longest):
-    """Random swarms of fingerprints: both ways of finding links give the components of all pairs."""
+def test_simhash_links_are_all_pairs(spark, longest):
+    """Random swarms of fingerprints: whole and split lists give exactly the links of all pairs, and the tally drops pairs."""
     r, values = random.Random(longest), set()
     for _ in range(40):
         centre = r.getrandbits(64)
         for _ in range(12):
             values.add(centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))))
     nodes = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    linked = [(a, b) for a, b in itertools.combinations(nodes, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2]
-    want = {n: c for n, c in brute_components(nodes, linked).items() if any(n in p for p in linked)}
+    shared = lambda a, b: sum(not (a ^ b) >> 8 * p & 255 for p in range(8))
+    pairs = list(itertools.combinations(nodes, 2))
+    want = {(a, b) for a, b in pairs if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     prints = spark.createDataFrame([(n,) for n in nodes], "fp long")
-    got = {r["node"]: r["component"] for r in components.connected_components(simhash.links(prints, longest)).collect()}
-    assert got == want and len(linked) > 200
+    assert {(x["src"], x["dst"]) for x in simhash.links(prints, longest).collect()} == want and len(want) > 200
+    # the tally is exact: pairs with six positional bytes in common and no others, far fewer than meet in some list
+    kept = {(x["src"], x["dst"]) for x in simhash.candidates(prints, longest).collect()}
+    assert kept == {(a, b) for a, b in pairs if shared(a, b) >= 6}
+    met = {(x["src"], x["dst"]) for x in simhash.candidates(prints, 1000, least=1).collect()}
+    assert len(met) > 1.3 * len(kept)
+
+
+def test_blocks():
+    """S(3, 4, 8): every three places are in one block, so two are avoided by three blocks."""
+    assert len(simhash.BLOCKS) == 14
+    for t in itertools.combinations(range(8), 3):
+        assert sum(set(t) <= set(b) for b in simhash.BLOCKS) == 1 == sum(not set(t) & set(b) for b in simhash.BLOCKS)
+    for t in itertools.combinations(range(8), 2):
+        assert sum(not set(t) & set(b) for b in simhash.BLOCKS) == 3
 
 
 def test_one_of_each(docs, rows):
