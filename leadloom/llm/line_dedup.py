@@ -2,17 +2,17 @@
 
 A rolling hash over the hashes of neighbouring lines marks chunk boundaries,
 so boundaries move with the text and not with its place in a document. Chunks
-of several lines whose digest comes up more than once in the corpus are
-candidates; their bytes are compared with those of the first occurrence, and
-every other equal occurrence is removed.
+of several lines that come up more than once in the corpus are removed but for
+the first occurrence, after their bytes have been compared.
 
-First only (document, chunk, digest) moves. Texts move twice: to fetch the
-bytes of candidates, and to take out what was verified.
+A boundary looks at lines on both of its sides, so chunks alone miss the ends
+of a repeated passage, and passages that no two boundaries enclose. What they
+miss is found exactly: every two neighbouring lines, and every line of more
+than ``WORDS`` words by itself, is a unit like a chunk, so a repeated run of
+lines goes from its first line to its last (``edges``).
 
-Chunks miss a passage that no two boundaries enclose. ``passage_dedup``, which
-the query and the pipeline use, takes no boundaries: every two neighbouring
-lines are a candidate, and so is every long line by itself. A repeated run of
-lines is repeated in all of its pairs, so it goes from its first line to its last.
+First only (document, place, digest) moves. Texts move twice: to fetch the
+bytes of candidates, and to take out what was verified.
 """
 
 from __future__ import annotations
@@ -28,89 +28,30 @@ WINDOW, EVERY = 2, 4
 LONGEST = 64
 
 
-def _chunks(text: Column) -> Column:
-    """The chunks of a text, each an array of lines; joined by line feeds they are the text."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-    def cut(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        return _cut(lines, hashes)
-
-    return _let(lines, cut)
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
-def _cut(lines: Column, hashes: Column) -> Column:
-    def of(lines: Column, hashes: Column) -> Column:
-        n = F.size(lines)
-        # place i (from 0) begins a chunk if the hash over the lines before it says so
-        rolled = lambda i: F.xxhash64(*(F.get(hashes, i - k) for k in range(WINDOW, 0, -1)))
-        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ((i >= WINDOW) & (F.pmod(rolled(i), F.lit(EVERY)) == 0)))
-        spans = F.transform(begins, lambda b, k: F.struct(b.alias("b"), F.coalesce(F.get(begins, k + 1), n).alias("e")))
-        short = F.flatten(
-            F.transform(spans, lambda s: F.transform(F.sequence(s["b"], s["e"] - 1, F.lit(LONGEST)), lambda b: F.struct(b.alias("b"), F.least(s["e"], b + LONGEST).alias("e"))))
-        )
-        return F.transform(short, lambda s: F.slice(lines, s["b"] + 1, s["e"] - s["b"]))
-
-    pair = F.struct(lines.alias("l"), hashes.alias("h"))
-    return _let(pair, lambda p: of(p["l"], p["h"]))
-
-
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 2) -> DataFrame:
-    """``docs`` with the text cleaned, and removed_chunks, removed_lines.
+def chunk_spans(hashes: Column) -> Column:
+    """(b, e) of each chunk of a text, from the hashes of its lines: places from b up to e.
 
-    A chunk of at least ``least`` lines that isn't blank is removed wherever
-    equal bytes come earlier in the corpus, by (doc_id, place); the first
-    occurrence stays. Null texts stay null. Null ids come last. Rows that share
-    id and text are one document given twice and fare alike. Input columns
-    named removed_chunks and removed_lines are replaced; an empty table gives
-    an empty result.
+    Place i (from 0) begins a chunk if the rolling hash over the ``WINDOW``
+    lines before it says so. Stretches of over ``LONGEST`` lines without a
+    boundary are cut at every ``LONGEST`` lines from their beginning; such cuts
+    don't move with the text.
     """
-    docs = docs.drop("removed_chunks", "removed_lines")
-    body, number = F.col(text), F.col(doc_id)
-    # rows are told apart by id and text
-    me = [number.alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("mark")]
-    parts = F.transform(
-        _chunks(body),
-        lambda c, i: F.struct(i.alias("place"), F.size(c).alias("lines"), F.array_join(c, "\n").alias("bytes")),
-    )
-    many = lambda c: (c["lines"] >= least) & (F.trim(F.regexp_replace(c["bytes"], r"\s+", " ")) != "")
-    digests = F.transform(F.filter(parts, many), lambda c: F.struct(c["place"].alias("place"), F.xxhash64(c["bytes"]).alias("digest"), F.octet_length(c["bytes"]).alias("size")))
-    chunks = scratch(docs.where(body.contains("\n")).select(*me, F.explode(digests).alias("c")).select("id", "mark", "c.*"), "chunks")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")).alias("first")
-    repeated = chunks.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
-    # from a table of its own both sides shuffle for this join alone, so a hot digest's partition can be split
-    candidates = chunks.join(scratch(repeated, "repeated"), ["digest", "size"]).select("id", "mark", "place", "digest", "size", "first")
-    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")
-    candidates = candidates.withColumn("is_first", own.eqNullSafe(F.col("first")))
-    wanted = candidates.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "digest", "size", "is_first")).alias("wanted"))
+    rolled = lambda i: F.xxhash64(*(F.get(hashes, i - k) for k in range(WINDOW, 0, -1)))
+    # every value that is used more than once is bound, so the work is in proportion to the lines
+    begins = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: (i == 0) | ((i >= WINDOW) & (F.pmod(rolled(i), F.lit(EVERY)) == 0)))
 
-    # the bytes of the candidates
-    keyed = docs.where(body.contains("\n")).select(*me, body.alias("text"))
-    same_row = lambda a, b: a.id.eqNullSafe(b.id) & (a.mark == b.mark)
-    held = keyed.join(wanted, same_row(keyed, wanted)).select(keyed.id, keyed.mark, "wanted", _chunks(F.col("text")).alias("parts"))
-    held = held.select("id", "mark", F.explode("wanted").alias("w"), "parts")
-    held = scratch(held.select("id", "mark", "w.*", F.array_join(F.get("parts", F.col("w.place")), "\n").alias("bytes")), "candidates")
-    kept = held.where("is_first").select("digest", "size", F.col("bytes").alias("first_bytes")).dropDuplicates(["digest", "size"])
-    verified = held.where("NOT is_first").join(kept, ["digest", "size"]).where("bytes = first_bytes")
-    gone = verified.groupBy("id", "mark").agg(F.collect_set("place").alias("gone"))
+    def spans(begins: Column) -> Column:
+        return F.transform(begins, lambda b, k: F.struct(b.alias("b"), F.coalesce(F.get(begins, k + 1), F.size(hashes)).alias("e")))
 
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(*me, row)
-    joined = rows.join(gone, same_row(rows, gone), "left").select("row", "gone")
-    joined = joined.withColumn("parts", F.when(F.col("gone").isNotNull(), _chunks(F.col("row").getField(text))))
-    # array_except hashes, so long texts stay linear
-    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
-    joined = joined.withColumn("left", F.when(F.col("gone").isNotNull(), F.flatten(F.transform(stay, lambda i: F.get("parts", i)))))
-    clean = F.when(F.col("gone").isNull(), F.col("row").getField(text)).otherwise(F.array_join("left", "\n"))
-    lines = F.size(F.flatten("parts")) - F.size("left")
-    fields = [clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
-    chunks_gone, lines_gone = (F.when(F.col("gone").isNull(), 0).otherwise(x) for x in (F.size("gone"), lines))
-    return joined.select(*fields, chunks_gone.alias("removed_chunks"), lines_gone.alias("removed_lines"))
+    def short(s: Column) -> Column:
+        return F.transform(F.sequence(s["b"], s["e"] - 1, F.lit(LONGEST)), lambda b: F.struct(b.alias("b"), F.least(s["e"], b + LONGEST).alias("e")))
+
+    return F.flatten(F.transform(_let(begins, spans), short))
 
 
 #: A line of more words than this is a passage by itself.
@@ -121,32 +62,43 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _passages(text: Column) -> Column:
-    """(place, span, digest, size) of every two neighbouring lines that aren't both blank, and of every long line."""
+def _units(text: Column, edges: bool) -> Column:
+    """(place, span, digest, size) of every chunk of several lines that isn't blank and, with ``edges``,
+    of every two neighbouring lines that aren't both blank and of every long line."""
 
     def of(lines: Column, hashes: Column) -> Column:
-        octets = lambda i: F.octet_length(F.get(lines, i))
+        n = F.size(lines)
         blank = lambda i: ~F.get(lines, i).rlike(r"\S")
         # so many words have so many bytes at least
         long = lambda x: (F.octet_length(x) > 2 * WORDS) & (F.size(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")) > WORDS)
-        both = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i < F.size(lines) - 1) & ~(blank(i) & blank(i + 1)))
-        alone = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: long(F.get(lines, i)))
-        unit = lambda i, span, digest, size: F.struct(i.alias("place"), F.lit(span).alias("span"), digest.alias("digest"), size.alias("size"))
-        return F.concat(
-            F.transform(both, lambda i: unit(i, 2, F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)), octets(i) + octets(i + 1) + 1)),
-            F.transform(alone, lambda i: unit(i, 1, F.get(hashes, i), octets(i))),
+        size = lambda i, span: F.aggregate(F.slice(lines, i + 1, span), F.lit(-1), lambda n, x: n + F.octet_length(x) + 1)
+        unit = lambda i, span, digest: F.struct(
+            i.alias("place"), span.alias("span"), digest.alias("digest"), size(i, span).alias("size")
         )
+        spans = F.filter(chunk_spans(hashes), lambda s: (s["e"] - s["b"] > 1) & F.exists(F.sequence(s["b"], s["e"] - 1), lambda i: ~blank(i)))
+        chunks = F.transform(spans, lambda s: unit(s["b"], s["e"] - s["b"], F.xxhash64(F.slice(hashes, s["b"] + 1, s["e"] - s["b"]))))
+        if not edges:
+            return chunks
+        both = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i < n - 1) & ~(blank(i) & blank(i + 1)))
+        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: long(F.get(lines, i)))
+        pairs = F.transform(both, lambda i: unit(i, F.lit(2), F.xxhash64(F.slice(hashes, i + 1, 2))))
+        # a chunk of two lines is one of the pairs
+        more = F.filter(chunks, lambda c: c["span"] > 2)
+        return F.concat(more, pairs, F.transform(alone, lambda i: unit(i, F.lit(1), F.xxhash64(F.slice(hashes, i + 1, 1)))))
+
+    def hashed(lines: Column) -> Column:
+        return F.struct(lines.alias("l"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"))
 
-    pair = _let(_lines(text), lambda lines: F.struct(lines.alias("l"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h")))
-    return _let(pair, lambda p: of(p["l"], p["h"]))
+    return _let(_let(_lines(text), hashed), lambda p: of(p["l"], p["h"]))
 
 
-def passage_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edges: bool = True) -> DataFrame:
     """``docs`` with the text cleaned, and removed_chunks, removed_lines.
 
-    Removed is every run of two or more lines that aren't all blank, and every
-    single line of more than ``WORDS`` words, where equal bytes come earlier in
-    the corpus, by (doc_id, place), without overlap; the first occurrence of a
+    Removed are, where equal bytes come earlier in the corpus, by (doc_id,
+    place), without overlap: content-defined chunks of two or more lines; and
+    with ``edges`` every run of two or more lines that aren't all blank, and
+    every single line of more than ``WORDS`` words. The first occurrence of a
     line always stays. removed_chunks counts runs of removed lines. Null texts
     stay null; a text all of whose lines go is left empty. Null ids come last.
     Rows that share id and text are one document given twice and fare alike.
@@ -158,14 +110,13 @@ def passage_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     # rows are told apart by id and text
     me = [number.alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("mark")]
     kind = ["digest", "size", "span"]
-    units = scratch(docs.select(*me, F.explode(_passages(body)).alias("c")).select("id", "mark", "c.*"), "passages")
-    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")
-    repeated = units.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first")).where("n > 1").drop("n")
+    # in two steps: what is selected beside a generator is computed again for each of its rows
+    units = docs.select(*me, _units(body, edges).alias("units")).select("id", "mark", F.explode("units").alias("c"))
+    units = scratch(units.select("id", "mark", "c.*"), "units")
+    repeated = units.groupBy(*kind).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # from a table of its own both sides shuffle for this join alone, so a hot digest's partition can be split
-    candidates = units.join(scratch(repeated, "repeated"), kind).withColumn("is_first", own.eqNullSafe(F.col("first")))
-    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("place") < F.col("first.place") + F.col("span"))
-    candidates = candidates.where(F.col("is_first") | ~overlaps)
-    wanted = candidates.groupBy("id", "mark").agg(F.collect_set(F.struct("place", *kind, "is_first")).alias("wanted"))
+    candidates = units.join(scratch(repeated, "repeated"), kind)
+    wanted = candidates.groupBy("id", "mark").agg(F.collect_set(F.struct("place", *kind)).alias("wanted"))
 
     # the bytes of the candidates
     keyed = docs.select(*me, body.alias("text"))
@@ -174,8 +125,12 @@ def passage_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     cut = lambda lines, w: F.struct(w.alias("w"), F.array_join(F.slice(lines, w["place"] + 1, w["span"]), "\n").alias("bytes"))
     held = held.select("id", "mark", F.explode(_let(_lines(F.col("text")), lambda lines: F.transform("wanted", lambda w: cut(lines, w)))).alias("c"))
     held = scratch(held.select("id", "mark", "c.w.*", "c.bytes"), "candidates")
-    kept = held.where("is_first").select(*kind, F.col("bytes").alias("first_bytes")).dropDuplicates(kind)
-    verified = held.where("NOT is_first").join(kept, kind).where("bytes = first_bytes")
+    # bytes that only share a digest are units of their own: each of them keeps its first occurrence
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")
+    first = scratch(held.groupBy(*kind, "bytes").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
+    verified = held.join(first, [*kind, "bytes"]).where(~own.eqNullSafe(F.col("first")))
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("place") < F.col("first.place") + F.col("span"))
+    verified = verified.where(~overlaps)
     gone = verified.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("place", F.col("place") + F.col("span") - 1)))).alias("gone"))
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")

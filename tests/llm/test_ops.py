@@ -268,28 +268,54 @@ def test_knapsack():
 
 
 
+def plain_chunks(lines):
+    """Chunks of lines by the rolling hash, from the seeded hash of each line as Spark computes it."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    seed = 42
+    hashes = [signed(xxhash.xxh64_intdigest(x.encode(), seed)) for x in lines]
+    out, here = [], []
+    for i, x in enumerate(lines):
+        if i >= line_dedup.WINDOW:
+            h = seed
+            for k in range(line_dedup.WINDOW, 0, -1):
+                h = xxhash.xxh64_intdigest(struct.pack("<q", hashes[i - k]), h & (1 << 64) - 1)
+            if signed(h) % line_dedup.EVERY == 0:
+                out.append(here)
+                here = []
+        if len(here) == line_dedup.LONGEST:
+            out.append(here)
+            here = []
+        here.append(x)
+    return [*out, here]
+
+
 def test_line_dedup(spark, docs, rows, none):
-    got = [(r["doc_id"], r["text"], r["removed_chunks"], r["removed_lines"]) for r in line_dedup.line_dedup(docs).collect()]
+    """Chunks alone, against chunks that are cut in plain Python."""
+    got = [(r["doc_id"], r["text"], r["removed_lines"]) for r in line_dedup.line_dedup(docs, edges=False).collect()]
     assert len(got) == len(rows)
-    cut = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", line_dedup._chunks(F.col("text")).alias("c")).collect()
-    for r in cut:
-        assert "\n".join("\n".join(c) for c in r["c"]) == (r["text"] or "") and all(len(c) <= line_dedup.LONGEST for c in r["c"])
-    seen, want = {}, Counter()
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
-    firsts = {}
-    for r in sorted(cut, key=key):
-        for k, c in enumerate(r["c"]):
-            if len(c) >= 2 and "".join(c).strip():
-                firsts.setdefault("\n".join(c), (r["doc_id"], r["text"], k))
-    for r in cut:
-        left = [c for k, c in enumerate(r["c"]) if not (len(c) >= 2 and "".join(c).strip()) or firsts["\n".join(c)] == (r["doc_id"], r["text"], k)]
-        text = None if r["text"] is None else "\n".join(x for c in left for x in c)
-        want[(r["doc_id"], text, len(r["c"]) - len(left), sum(map(len, r["c"])) - sum(map(len, left)))] += 1
-    del seen
+    firsts, want = {}, Counter()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    cut = [(i, t, plain_chunks((t or "").split("\n"))) for i, t, *_ in sorted(rows, key=key)]
+    many = lambda c: len(c) > 1 and "".join(c).strip()
+    for i, t, chunks in cut:
+        at = 0
+        for c in chunks:
+            if many(c):
+                firsts.setdefault("\n".join(c), (i, t, at))
+            at += len(c)
+    for i, t, chunks in cut:
+        at, left = 0, []
+        for c in chunks:
+            if not many(c) or firsts["\n".join(c)] == (i, t, at):
+                left += c
+            at += len(c)
+        want[(i, None if t is None else "\n".join(left), at - len(left))] += 1
     # among rows without an id the order is by a hash, so which of them keeps a chunk is left open
     known = lambda c: Counter({k: v for k, v in c.items() if k[0] is not None})
     assert known(Counter(got)) == known(want)
-    assert sum(x[2] for x in got) > 20
+    assert sum(x[2] for x in got) > 50
     assert line_dedup.line_dedup(none).count() == 0
 
 

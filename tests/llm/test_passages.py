@@ -41,10 +41,10 @@ def planted():
 def test_planted_passages_go_whole(spark):
     rows, _ = planted()
     df = spark.createDataFrame([r[:2] for r in rows], SCHEMA)
-    got = {r["doc_id"]: (r["text"], r["removed_chunks"]) for r in line_dedup.passage_dedup(df).collect()}
+    got = {r["doc_id"]: (r["text"], r["removed_chunks"]) for r in line_dedup.line_dedup(df).collect()}
     assert got == {i: (want, int(i % 3 > 0)) for i, _, want in rows}
     # the chunks of lines lose most of them
-    old = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    old = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, edges=False).collect()}
     assert sum(old[i] != want for i, _, want in rows) > 20
 
 
@@ -53,6 +53,28 @@ def test_agrees_with_plain_restatement(spark):
     rows = [(i, "\n".join(r.choice(["", " ", "a", "b", "c d", "e", "x " * 51, "y " * 50]) for _ in range(r.randint(1, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "same\n" * 500), (104, "z " * 51), (105, "z " * 51)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("removed_lines", F.lit("clash"))
-    got = line_dedup.passage_dedup(df).collect()
+    got = line_dedup.line_dedup(df).collect()
     assert Counter((x["doc_id"], x["text"], x["removed_lines"]) for x in got) == Counter(plain(rows))
-    assert line_dedup.passage_dedup(df.limit(0)).count() == 0
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A text of 200,000 lines, and a copy of it under another beginning."""
+    lines = [f"line {i * 7919 % 100_003} of a long text" for i in range(200_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "new\n" + "\n".join(lines)), (3, "x" * 10_000_000)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    # within the text the lines come round once
+    assert got[1] == "\n".join(lines[:100_003]) and got[2] == "new" and len(got[3]) == 10_000_000
+
+
+def test_equal_digests_are_compared_by_bytes(spark, monkeypatch):
+    """With a digest that says nothing, only equal bytes go, later ones that differ from the first too."""
+    from pyspark.sql import functions
+
+    monkeypatch.setattr(functions, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 and "slice" in str(c[0]) else real(*c))
+    texts = ["aa\nbb", "cc\ndd", "cc\ndd\nend", "aa\nbb\nfin"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == {0: "aa\nbb", 1: "cc\ndd", 2: "end", 3: "fin"}
+
+
+real = F.xxhash64
