@@ -67,7 +67,8 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = 8, seed
         return taken.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot))
 
     path = path or f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}"
-    scattered.groupBy("__bucket").applyInArrow(shuffled, schema).write.partitionBy("shard").parquet(path)
+    # one partition for each bucket, so that a task's work is a bucket's whatever the size of the input
+    scattered.repartition(buckets, "__bucket").groupBy("__bucket").applyInArrow(shuffled, schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

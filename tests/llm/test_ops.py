@@ -389,10 +389,29 @@ def test_url_filter(spark):
     ]
     assert got == Counter(want)
     assert url_filter.url_filter(df.limit(0)).count() == 0
+    table = spark.createDataFrame([tuple(r) for r in url_filter.RULES], "verdict string, host string, path string")
+    assert Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(df, table).collect()) == Counter(want)
     more = spark.createDataFrame([("https://other.site/", "https://bad.net/")], "url string, target string")
     assert {r["page_id"] for r in url_filter.url_filter(df, edges=more).where("verdict = 'block'").collect()} >= {10}
 
 
+def test_url_filter_resolves_links(spark):
+    """Targets with character references, dot segments, queries, long urls; each leads to a page of a blocked host."""
+    link = '<link rel="canonical" href="{}">'
+    bad = "https://bad.net/"
+    pages = [
+        (1, "https://a.site/x", link.format("https://b.site/q?x=1&amp;y=2")), (2, "https://b.site/q?x=1&y=2", link.format(bad)),
+        (3, "https://c.site/p/q/r", link.format("../s")), (4, "https://c.site/p/s", link.format(bad)), (5, "https://c.site/p/./x/../s", ""),
+        (6, "https://d.site/list", link.format("?page=2")), (7, "https://d.site/list?page=2", link.format(bad)), (8, "https://d.site/?page=2", ""),
+        (9, "https://e.site", link.format("&#x2F;&#47;f.site&#x2f;home")), (10, "https://f.site/home", link.format(bad)), (11, "https://e.site/", ""),
+        (12, "https://g.site/a", link.format("mailto:x@bad.net")), (13, "https://h.site/a", link.format("/go?to=https://bad.net/")), (14, "https://i.site/" + "y" * 100_000, link.format(bad)),
+        (15, "https://i.site/" + "y" * 100_000 + "z", "<p>" * 100_000), (16, "https://j.site/a/b", link.format("../../../s#x")), (17, "https://j.site/s", link.format(bad)),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"] for r in url_filter.url_filter(df).where("verdict = 'block'").collect()}
+    assert got == {1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 14, 16, 17}
+
+
 TEXTS = [
     ("Released under the MIT License.", "MIT"), ("Intro here.\nLicensed under the Apache License, Version 2.0.\nMore", "Apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3"),
     ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("// SPDX-License-Identifier: BSD-3-Clause\ncode", "bsd-3-clause"), ("All rights reserved.", "NONE"), ("nothing at all", "NONE"), (None, "NONE"), ("", "NONE"),
