@@ -182,6 +182,8 @@ def inspect(data: bytes | None) -> dict:
         kind = path[-1][0]
         if kind == b"ftyp":
             out["brand"] = data[a : a + 4].decode("latin-1")
+        if kind == b"trun":
+            out["error"] = "fragments: samples of moof boxes are not read"
         owner = next((path[: i + 1] for i, (k, _) in enumerate(path) if k == b"trak"), None)
         if owner is not None:
             tracks.setdefault(owner, {}).setdefault(kind, (a, b))
@@ -207,41 +209,38 @@ def read_back(data: bytes) -> bytes:
 
 
 COLUMNS = (
-    "struct<brand: string, codec: string, handler: string, duration: double, samples: bigint, "
-    "keyframes: array<struct<begin: bigint, end: bigint>>, error: string>"
+    "struct<brand: string, tracks: array<struct<codec: string, handler: string, duration: double, samples: bigint, "
+    "keyframes: array<struct<begin: bigint, end: bigint>>>>, error: string>"
 )
 
 
 def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
-    """``df`` with a struct column ``media`` of its binary column: brand, and of the first
-    track codec, handler, duration in seconds, samples and keyframe byte ranges [begin, end).
+    """``df`` with a struct column ``media`` of its binary column: brand, and of every track
+    codec, handler, duration in seconds, samples and keyframe byte ranges [begin, end).
 
-    Null or empty content, and files that are not ISO media or are cut off,
-    give nulls and say so in ``error``. An existing column ``media`` is replaced.
+    Null or empty content, and files that are not ISO media, are cut off or keep
+    samples in movie fragments, say so in ``error``; what their tables hold is
+    given all the same. An existing column ``media`` is replaced.
     """
     ship(df.sparkSession)
-    kind = pa.struct(
+    track = pa.struct(
         [
-            ("brand", pa.string()),
             ("codec", pa.string()),
             ("handler", pa.string()),
             ("duration", pa.float64()),
             ("samples", pa.int64()),
             ("keyframes", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-            ("error", pa.string()),
         ]
     )
+    kind = pa.struct([("brand", pa.string()), ("tracks", pa.list_(track)), ("error", pa.string())])
 
     @F.arrow_udf(COLUMNS)
     def of(column: pa.Array) -> pa.Array:
         rows = []
         for x in column:
             found = inspect(x.as_py())
-            track = (found["tracks"] or [{}])[0]
-            rows.append(
-                {"brand": found["brand"], "error": found["error"], "keyframes": [{"begin": a, "end": b} for a, b in track.get("keyframes", [])]}
-                | {k: track.get(k) for k in ("codec", "handler", "duration", "samples")}
-            )
+            tracks = [{k: t[k] for k in ("codec", "handler", "duration", "samples")} | {"keyframes": [{"begin": a, "end": b} for a, b in t["keyframes"]]} for t in found["tracks"]]
+            rows.append({"brand": found["brand"], "tracks": tracks, "error": found["error"]})
         return pa.array(rows, kind)
 
     return df.withColumn("media", of(F.col(content)))
@@ -271,9 +270,14 @@ def _parts(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """Per file of ``encode_texts``: what is read back from its stored bytes, and its features."""
+    """Per file of ``encode_texts``: what is read back from its stored bytes, and its features.
+
+    keyframe_ranges are the byte ranges [begin, end) of the keyframes in the
+    stored file. Equal files get equal rows; null ids are kept; extra columns
+    are left out; no file, no row.
+    """
     ship(files.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "duration", "keyframes", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "duration", "keyframes", "feature", "keyframe_ranges"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,14 +289,14 @@ def digests(files: DataFrame) -> DataFrame:
                 keys = track["keyframes"]
                 feature = f"{track['handler']}/{track['codec'].strip()} {track['duration']:.6f}s {track['samples']} samples {len(keys)} keyframes {keys[0][0]}-{keys[-1][1]}"
                 rows.append(
-                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), track["codec"], track["duration"], len(keys), feature)
+                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), track["codec"], track["duration"], len(keys), feature, [{"begin": a, "end": b} for a, b in keys])
                 )
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
     kind = files.schema["doc_id"].dataType.simpleString()
-    return files.mapInArrow(
+    return files.select("doc_id", "n_bytes", "content").mapInArrow(
         measure,
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, codec string, duration double, keyframes long, feature string",
+        "media_sha256 string, codec string, duration double, keyframes long, feature string, keyframe_ranges array<struct<begin: bigint, end: bigint>>",
     )
