@@ -63,33 +63,43 @@ def _lines(text: Column) -> Column:
 
 
 def _units(text: Column, edges: bool) -> Column:
-    """(place, span, digest, size) of every chunk of several lines that isn't blank and, with ``edges``,
-    of every two neighbouring lines that aren't both blank and of every long line."""
+    """(place, span, digest, size, inside, check) of every chunk of several lines that isn't blank and, with ``edges``,
+    of every two neighbouring lines that aren't both blank and of every long line.
 
-    def of(lines: Column, hashes: Column) -> Column:
+    inside is the place of the chunk that holds the unit, or null; check is a
+    second digest of chunks of over two lines, 128 bits in all.
+    """
+
+    def of(lines: Column, hashes: Column, spans: Column) -> Column:
         n = F.size(lines)
         blank = lambda i: ~F.get(lines, i).rlike(r"\S")
         # so many words have so many bytes at least
         long = lambda x: (F.octet_length(x) > 2 * WORDS) & (F.size(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")) > WORDS)
         size = lambda i, span: F.aggregate(F.slice(lines, i + 1, span), F.lit(-1), lambda n, x: n + F.octet_length(x) + 1)
-        unit = lambda i, span, digest: F.struct(
-            i.alias("place"), span.alias("span"), digest.alias("digest"), size(i, span).alias("size")
+        check = lambda i, span: F.when(span > 2, F.xxhash64(F.lit(1), F.slice(hashes, i + 1, span))).otherwise(F.lit(0).cast("long"))
+        unit = lambda i, span, digest, inside: F.struct(
+            i.alias("place"), span.alias("span"), digest.alias("digest"), size(i, span).alias("size"), inside.alias("inside"), check(i, span).alias("check")
         )
-        spans = F.filter(chunk_spans(hashes), lambda s: (s["e"] - s["b"] > 1) & F.exists(F.sequence(s["b"], s["e"] - 1), lambda i: ~blank(i)))
-        chunks = F.transform(spans, lambda s: unit(s["b"], s["e"] - s["b"], F.xxhash64(F.slice(hashes, s["b"] + 1, s["e"] - s["b"]))))
+        full = F.filter(spans, lambda s: (s["e"] - s["b"] > 1) & F.exists(F.sequence(s["b"], s["e"] - 1), lambda i: ~blank(i)))
+        chunks = F.transform(full, lambda s: unit(s["b"], s["e"] - s["b"], F.xxhash64(F.slice(hashes, s["b"] + 1, s["e"] - s["b"])), s["b"]))
         if not edges:
             return chunks
-        both = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i < n - 1) & ~(blank(i) & blank(i + 1)))
-        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: long(F.get(lines, i)))
-        pairs = F.transform(both, lambda i: unit(i, F.lit(2), F.xxhash64(F.slice(hashes, i + 1, 2))))
-        # a chunk of two lines is one of the pairs
-        more = F.filter(chunks, lambda c: c["span"] > 2)
-        return F.concat(more, pairs, F.transform(alone, lambda i: unit(i, F.lit(1), F.xxhash64(F.slice(hashes, i + 1, 1)))))
 
+        def small(held: Column) -> Column:
+            both = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i < n - 1) & ~(blank(i) & blank(i + 1)))
+            alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: long(F.get(lines, i)))
+            same = lambda i: F.when(F.get(held, i) == F.get(held, i + 1), F.get(held, i))
+            pairs = F.transform(both, lambda i: unit(i, F.lit(2), F.xxhash64(F.slice(hashes, i + 1, 2)), same(i)))
+            return F.concat(pairs, F.transform(alone, lambda i: unit(i, F.lit(1), F.xxhash64(F.slice(hashes, i + 1, 1)), F.get(held, i))))
+
+        # the chunk of each line
+        held = F.flatten(F.transform(spans, lambda s: F.array_repeat(s["b"], s["e"] - s["b"])))
+        return _let(held, lambda held: F.concat(F.filter(chunks, lambda c: c["span"] > 2), small(held)))
     def hashed(lines: Column) -> Column:
         return F.struct(lines.alias("l"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"))
 
-    return _let(_let(_lines(text), hashed), lambda p: of(p["l"], p["h"]))
+    spanned = lambda p: F.struct(p["l"].alias("l"), p["h"].alias("h"), chunk_spans(p["h"]).alias("s"))
+    return _let(_let(_let(_lines(text), hashed), spanned), lambda p: of(p["l"], p["h"], p["s"]))
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edges: bool = True) -> DataFrame:
@@ -109,14 +119,21 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edge
     body, number = F.col(text), F.col(doc_id)
     # rows are told apart by id and text
     me = [number.alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("mark")]
-    kind = ["digest", "size", "span"]
+    kind = ["digest", "size", "span", "check"]
     # in two steps: what is selected beside a generator is computed again for each of its rows
     units = docs.select(*me, _units(body, edges).alias("units")).select("id", "mark", F.explode("units").alias("c"))
     units = scratch(units.select("id", "mark", "c.*"), "units")
-    repeated = units.groupBy(*kind).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")
+    repeated = units.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first")).where("n > 1").drop("n")
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("place") < F.col("first.place") + F.col("span"))
     # from a table of its own both sides shuffle for this join alone, so a hot digest's partition can be split
     candidates = units.join(scratch(repeated, "repeated"), kind)
-    wanted = candidates.groupBy("id", "mark").agg(F.collect_set(F.struct("place", *kind)).alias("wanted"))
+    # where a whole chunk goes, what is inside it needs no bytes of its own: the chunk's first occurrence has the same
+    whole = (F.col("span") > 2) & ~own.eqNullSafe(F.col("first")) & ~overlaps
+    by_chunk = candidates.withColumn("whole", whole).repartition("id", "mark").groupBy("id", "mark", "inside")
+    by_chunk = by_chunk.agg(F.collect_set(F.struct("place", *kind)).alias("units"), F.bool_or("whole").alias("whole"))
+    needed = F.when(F.col("inside").isNotNull() & F.col("whole"), F.filter("units", lambda u: u["span"] > 2)).otherwise(F.col("units"))
+    wanted = by_chunk.groupBy("id", "mark").agg(F.flatten(F.collect_list(needed)).alias("wanted"))
 
     # the bytes of the candidates
     keyed = docs.select(*me, body.alias("text"))
@@ -126,10 +143,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edge
     held = held.select("id", "mark", F.explode(_let(_lines(F.col("text")), lambda lines: F.transform("wanted", lambda w: cut(lines, w)))).alias("c"))
     held = scratch(held.select("id", "mark", "c.w.*", "c.bytes"), "candidates")
     # bytes that only share a digest are units of their own: each of them keeps its first occurrence
-    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "place")
     first = scratch(held.groupBy(*kind, "bytes").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     verified = held.join(first, [*kind, "bytes"]).where(~own.eqNullSafe(F.col("first")))
-    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("place") < F.col("first.place") + F.col("span"))
     verified = verified.where(~overlaps)
     gone = verified.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("place", F.col("place") + F.col("span") - 1)))).alias("gone"))
 
