@@ -31,10 +31,10 @@ def tree_digest(rows: DataFrame, key: str, text: str, fanout: int = 1024) -> Dat
 
 
 class Store:
-    """Versioned tables under one folder: ``name/gen=N`` and a pointer file that is written last.
+    """Versioned tables under one folder: ``name/gen=N`` and a pointer file for each, ``current-N.json``, written last.
 
-    A reader sees a generation wholly or not at all; a crash leaves the one
-    before. Paths go through Hadoop's file systems, so any shared store works.
+    A reader takes the highest pointer, so it sees a generation wholly or not
+    at all; a crash leaves the one before, and no pointer is ever replaced. Paths go through Hadoop's file systems, so any shared store works.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -67,7 +67,12 @@ class Store:
         return text
 
     def generation(self, name: str) -> int:
-        return int(json.loads(self.get(f"{name}/current.json") or '{"gen": 0}')["gen"])
+        """The number of the newest whole generation, 0 for none."""
+        fs, folder = self._path(f"{self.root}/{name}")
+        if not fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return max((int(n[8:-5]) for n in names if n.startswith("current-") and n.endswith(".json")), default=0)
 
     def read(self, name: str) -> DataFrame | None:
         gen = self.generation(name)
@@ -76,11 +81,11 @@ class Store:
     def write(self, name: str, df: DataFrame, **note) -> int:
         gen = self.generation(name) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/gen={gen}")
-        self.put(f"{name}/current.json", json.dumps({"gen": gen, **note}, sort_keys=True))
+        self.put(f"{name}/current-{gen}.json", json.dumps({"gen": gen, **note}, sort_keys=True))
         return gen
 
     def note(self, name: str) -> dict:
-        return json.loads(self.get(f"{name}/current.json") or "{}")
+        return json.loads(self.get(f"{name}/current-{self.generation(name)}.json") or "{}")
 
 
 def document(columns: Mapping[str, Column]) -> Column:

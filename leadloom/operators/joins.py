@@ -52,6 +52,17 @@ def near_titles(rows: DataFrame, block: str, key: str, title: Column, url: str |
     return both.where(shared / (F.size("lw") + F.size("rw") - shared) >= least).select("left_id", "right_id")
 
 
+def near_title_classes(rows: DataFrame, block: str, key: str, title: Column, least: float = 0.8) -> DataFrame:
+    """(key, class_id, class_size, linked): titles of equal words within a block are one class, named by its smallest
+    key; linked counts the other classes whose words overlap by ``least``. Only classes are paired, never their members."""
+    sets = rows.select(F.col(key), F.col(block).alias("__block"), F.array_sort(title_words(title)).alias("__words")).where("__block IS NOT NULL AND __block <> '' AND size(__words) >= 1")
+    classes = sets.groupBy("__block", "__words").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    pairs = near_titles(classes.withColumn("__title", F.array_join("__words", " ")), "__block", "class_id", F.col("__title"), least=least)
+    ends = pairs.select(F.col("left_id").alias("class_id")).unionByName(pairs.select(F.col("right_id").alias("class_id")))
+    counted = classes.join(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("linked")), "class_id", "left")
+    return sets.join(counted, ["__block", "__words"]).select(key, "class_id", "class_size", F.coalesce("linked", F.lit(0)).cast("long").alias("linked"))
+
+
 def must_match(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that refer to nothing: empty if all references hold."""
     return rows.join(other.select(*keys), list(keys), "left_anti")

@@ -28,12 +28,17 @@ def resolve_ids(observations: DataFrame, entities: DataFrame, id_col: str = "ent
     """Adds ``target_id``: the entity with the same url, else that with the same id, else null (a new one).
 
     A url names one entity at most; were it two, the smaller id counts. The
-    url's entity wins over the id's, as the id is only the weaker evidence.
+    url's entity wins over the id's, as the id is only the weaker evidence. Of
+    new rows of the batch with one url, the one with the smallest id is
+    inserted and the others name it.
     """
     by_url = entities.where(F.col(url) != "").groupBy(F.col(url).alias("__url")).agg(F.min(id_col).alias("__by_url"))
     by_id = entities.select(F.col(id_col).alias("__by_id")).distinct()
     out = observations.join(by_url, F.col(url) == F.col("__url"), "left").join(by_id, F.col(id_col) == F.col("__by_id"), "left")
-    return out.withColumn("target_id", F.coalesce("__by_url", "__by_id")).drop("__url", "__by_url", "__by_id")
+    out = out.withColumn("target_id", F.coalesce("__by_url", "__by_id")).drop("__url", "__by_url", "__by_id")
+    fresh = out.where(F.col("target_id").isNull() & (F.col(url) != "")).groupBy(F.col(url).alias("__url")).agg(F.min(id_col).alias("__first"), F.count_distinct(id_col).alias("__ids")).where("__ids > 1")
+    first = F.when(F.col("target_id").isNull() & (F.col("__first") != F.col(id_col)), F.col("__first"))
+    return out.join(fresh, F.col(url) == F.col("__url"), "left").withColumn("target_id", F.coalesce("target_id", first)).drop("__url", "__first", "__ids")
 
 
 def no_value(value: Column) -> Column:

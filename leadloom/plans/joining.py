@@ -75,16 +75,19 @@ C5 = """SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT
 
 
 def c6_possible_duplicates(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "lang", "text")
-    return joins.near_titles(rows, "lang", "doc_id", F.substring("text", 1, 200))
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.split("text", "\n", 2)[0].alias("title"))
+    return joins.near_title_classes(rows, "lang", "doc_id", F.col("title"))
 
 
 C6 = """
-WITH w AS (SELECT doc_id, lang, list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '([a-z0-9]+)', 1)), lambda x: x NOT IN ('a', 'an', 'and', 'at', 'for', 'of', 'the')) AS s FROM documents
-), u AS (SELECT doc_id, lang, len(s) AS n, unnest(s) AS x FROM w
-), p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS k FROM u a JOIN u b ON a.lang = b.lang AND a.x = b.x AND a.doc_id < b.doc_id
-  WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY 1, 2)
-SELECT left_id, right_id FROM p WHERE an >= 2 AND k / (an + bn - k)::DOUBLE >= 0.8
+WITH w AS (SELECT doc_id, lang, list_sort(list_filter(list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '([a-z0-9]+)', 1)), lambda x: x NOT IN ('a', 'an', 'and', 'at', 'for', 'of', 'the'))) AS s FROM documents
+), c AS (SELECT lang, s, min(doc_id) AS class_id, count(*) AS class_size FROM w WHERE len(s) >= 1 AND lang <> '' GROUP BY lang, s
+), u AS (SELECT class_id, lang, len(s) AS n, unnest(s) AS x FROM c
+), p AS (SELECT a.class_id AS l, b.class_id AS r, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS k FROM u a JOIN u b ON a.lang = b.lang AND a.x = b.x AND a.class_id < b.class_id
+  WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY 1, 2
+), k AS (SELECT l, r FROM p WHERE an >= 2 AND k / (an + bn - k)::DOUBLE >= 0.8
+), e AS (SELECT class_id, count(*) AS linked FROM (SELECT l AS class_id FROM k UNION ALL SELECT r FROM k) GROUP BY 1)
+SELECT doc_id, class_id, class_size, coalesce(linked, 0) AS linked FROM w JOIN c USING (lang, s) LEFT JOIN e USING (class_id)
 """
 
 

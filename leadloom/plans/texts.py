@@ -50,7 +50,7 @@ def b3_html_decoded_text(spark, d):
 
 _DEC = "coalesce(html, '')"
 for _ in range(3):
-    for _e, _c in text.ENTITIES:
+    for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", chr(160)), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")):
         _DEC = f"replace({_DEC}, {_q(_e)}, {_q(_c)})"
 B3 = rf"""
 WITH a AS (SELECT page_id, regexp_replace({_DEC}, '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g') AS v FROM pages
@@ -66,7 +66,7 @@ def b4_statement_split(spark, d):
 
 
 B4 = rf"""
-WITH m AS (SELECT doc_id, regexp_replace(text, '\b(U\.S|B\.S|B\.A|M\.S|Ph\.D|Dr|Mr|Ms|e\.g|i\.e)\.', '\1' || chr(2), 'g') AS t FROM documents
+WITH m AS (SELECT doc_id, regexp_replace(text, '(?i)\b(U\.S|B\.S|B\.A|M\.S|Ph\.D|Dr|Mr|Ms|e\.g|i\.e)\.', '\1' || chr(2), 'g') AS t FROM documents
 ), c AS (SELECT doc_id, regexp_replace(t, '([.!?])[ \t]+([A-Z])', '\1' || chr(10) || '\2', 'g') AS t FROM m
 ), e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)[ \t]+(?:but|while|however)[ \t]+((?:a |an )?(?:bachelor|master|PhD|doctoral)\b)', chr(10) || '\1', 'g'),
    '(?i);[ \t]*((?:must|bachelor|master|currently|no|travel|hold|possess)\b)', chr(10) || '\1', 'g') AS t FROM c
@@ -112,7 +112,10 @@ def scored(spark, d):
     dec = lambda c: F.coalesce(c, F.lit(0.0)).cast("decimal(12,3)")
     names = [n for n, _ in FAMILIES]
     family = sum((dec(F.col(n)) for n in names[1:]), dec(F.col(names[0])))
-    paid, funded, dated = F.col("excerpt").rlike(r"\$[ ]?[0-9]{2,}"), F.col("excerpt").rlike(r"free to|no cost"), F.col("excerpt").rlike(r"(^|[^0-9])(19|20)[0-9]{2}([^0-9]|$)")
+    body = F.col("excerpt")
+    paid, funded = body.rlike(r"\$[ ]?[0-9]{2,}"), body.contains("free to") | body.contains("no cost")
+    # the look for a year begins at its digits; what is before them is tested there
+    dated = body.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")
     f = f.withColumns({"paid": paid, "funded": funded, "dated": dated, "tags": F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), n) for n in names)))})
     base = family + F.when(F.col("paid"), 2).otherwise(0).cast("decimal(12,3)") + F.when(F.col("funded"), 2).otherwise(0).cast("decimal(12,3)") + F.when(F.col("dated"), 0.25).otherwise(0).cast("decimal(12,3)")
     penalty = F.when(F.col("hostile").isNotNull() & F.col("dismissive").isNotNull() & ~F.col("funded"), 1.5).otherwise(0).cast("decimal(12,3)")
@@ -201,23 +204,27 @@ SELECT o_orderkey, CASE WHEN w <> 'autumn ' THEN lower(trim(w)) || '-' || y ELSE
 
 
 def b12_clause_modality(spark, d):
-    o = table(spark, d, "orders")
-    words = [
-        "A degree is required.", "Experience is preferred.", "A GPA is not required.", "Not required, but you must apply.", "Python preferred; SQL required.",
-        "No prior study is necessary.", "We build things.", "Applicants must enrol.", "Without a degree you may apply.", "At least two years.",
-    ]
-    clause = F.element_at(F.array(*(F.lit(x) for x in words)), (F.pmod("o_orderkey", F.lit(len(words))) + 1).cast("int"))
-    return o.select("o_orderkey", clause.alias("clause"), text.clause_modality(clause).alias("modality"), text.travel_funding(clause).alias("funding"))
-
-
-B12 = r"""
-WITH c AS (SELECT o_orderkey, ['A degree is required.', 'Experience is preferred.', 'A GPA is not required.', 'Not required, but you must apply.', 'Python preferred; SQL required.',
-  'No prior study is necessary.', 'We build things.', 'Applicants must enrol.', 'Without a degree you may apply.', 'At least two years.'][o_orderkey % 10 + 1] AS clause FROM orders
-), n AS (SELECT *, regexp_matches(clause, '(?i)\bnot\s+(?:(?:strictly|necessarily|a|an)\s+)?(?:required|necessary|mandatory|needed)|\bno\b.{0,60}\b(?:required|necessary|needed)|\bwithout\b.{0,45}\b(?:degree|GPA)') AS neg,
-  regexp_replace(clause, '(?i)\bnot\s+(?:(?:strictly|necessarily|a|an)\s+)?(?:required|necessary|mandatory|needed)|\bno\b.{0,60}\b(?:required|necessary|needed)|\bwithout\b.{0,45}\b(?:degree|GPA)', '') AS rest,
-  regexp_matches(clause, '(?i)\b(?:preferred|nice.to.have|desirable|desired|bonus|a plus)\b') AS opt, regexp_matches(clause, '(?i)\b(?:must|required|minimum|at least|eligible|eligibility)\b') AS man FROM c)
-SELECT o_orderkey, clause, CASE WHEN neg THEN CASE WHEN regexp_matches(rest, '(?i)\b(?:must|required|minimum)\b') THEN 'unspecified' ELSE 'not-required' END
-  WHEN opt AND man THEN 'unspecified' WHEN opt THEN 'preferred' WHEN man THEN 'required' ELSE 'unspecified' END AS modality, 'unknown' AS funding FROM n
+    """Every statement of every document by what it demands and who pays for travel."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(text.statements(F.col("text"))).alias("clause"))
+    said = rows.select("doc_id", text.clause_modality(F.col("clause")).alias("modality"), text.travel_funding(F.col("clause")).alias("funding"))
+    return said.groupBy("doc_id", "modality", "funding").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NEG = r"(?i)\bnot\s+(?:(?:strictly|necessarily|a|an)\s+)?(?:required|necessary|mandatory|needed)|\bno\b.{0,60}\b(?:required|necessary|needed)|\bwithout\b.{0,45}\b(?:degree|GPA)"
+_OWN = (
+    r"(?i)\bnot (?:covered|reimbursed|paid|provided)|\bno (?:travel|funding)|own expense|self.funded|responsible for|(?:paid|covered|funded|arranged) by (?:the )?(?:participants?|students?|attendees?|applicants?)|"
+    r"(?:participants?|students?|attendees?|applicants?).{0,20}(?:must|will|shall) (?:pay|cover|fund)"
+)
+_MAYBE = r"(?i)\b(?:may|might|could|eligible|conditional|partial(?:ly)?|limited|up to|toward|towards)\b|subject to|depending on|not guaranteed|(?:pay|cover).{0,20}own"
+B12 = rf"""
+{B4.split("SELECT doc_id, len(l)")[0].rstrip()}
+, c2 AS (SELECT doc_id, unnest(l) AS clause FROM l
+), n AS (SELECT *, regexp_matches(clause, '{_NEG}') AS neg, regexp_replace(clause, '{_NEG}', '') AS rest,
+  regexp_matches(clause, '(?i)\b(?:preferred|nice.to.have|desirable|desired|bonus|a plus)\b') AS opt, regexp_matches(clause, '(?i)\b(?:must|required|minimum|at least|eligible|eligibility)\b') AS man FROM c2
+), m2 AS (SELECT doc_id, CASE WHEN neg THEN CASE WHEN regexp_matches(rest, '(?i)\b(?:must|required|minimum)\b') THEN 'unspecified' ELSE 'not-required' END
+  WHEN opt AND man THEN 'unspecified' WHEN opt THEN 'preferred' WHEN man THEN 'required' ELSE 'unspecified' END AS modality,
+  CASE WHEN regexp_matches(clause, '{_OWN}') THEN 'uncovered' WHEN regexp_matches(clause, '{_MAYBE}') THEN 'unknown' WHEN regexp_matches(clause, '(?i)\bcover(?:ed|s)?\b|reimburse|arranged|paid|provided') THEN 'covered' ELSE 'unknown' END AS funding FROM n)
+SELECT doc_id, modality, funding, count(*) AS n FROM m2 GROUP BY 1, 2, 3
 """
 
 

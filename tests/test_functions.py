@@ -138,3 +138,17 @@ def test_classify(spark):
         ["downrank:unfunded-distant-event", "downrank:unpaid-generic", "include:broad-relevance"], ["include:broad-relevance"], ["downrank:unpaid-generic"], [],
     ]
     assert got[4]["requested"] == ["resume", "cover-letter"] and got[4]["effort"] == "moderate"
+
+
+def test_unescaped_is_the_standard_librarys(spark):
+    import html
+
+    texts = ["a &amp;lt; b", "&rsquo;&eacute;&#8217;&#x2019;&#X41;", "&nosuch; &#0; &#1114112; &hellip;", "no reference", "", "&lt;p&gt; &copy; &NotEqualTilde;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["u"] for r in df.select(text.unescaped(F.col("t")).alias("u")).collect()]
+    assert got == [html.unescape(t) for t in texts]
+
+
+def test_implied_literals():
+    for pattern, want in ((r"(^|[^a-z0-9_])idiot", "idiot"), (r"licen[sc]e", "licen"), (r"\bpower systems?\b", "power system"), (r"a|b", None), (r"[+]1", None), (r"campus (ambassador|lead)", "campus "), (r"resume|cv", None)):
+        assert text.implied_literal(pattern) == want, pattern
