@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from leadloom.llm import mixing, packing, quality, queries, simhash
+from leadloom.llm import mixing, near_dedup, packing, quality, queries
 
 DATA = os.environ.get("LEADLOOM_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -60,7 +60,7 @@ def test_pipeline_stage_by_stage(spark):
         if name == "line_dedup":
             assert out.count() == given.count() and out.where(F.length("text") != F.col("n_chars")).count() == 0
         if name == "near_dedup":
-            groups = simhash.simhash_groups(given).collect()
+            groups = near_dedup.near_groups(given).collect()
             assert {r["doc_id"] for r in out.collect()} == {r["component_id"] for r in groups}
         if name == "mixing":
             want = Counter({r["doc_id"]: r["copies"] for r in mixing.shares(given).collect() if r["copies"]})
