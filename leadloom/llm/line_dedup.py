@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import scratch
+from leadloom.llm.common import checked_broadcast, scratch
 
 #: Lines that the rolling hash covers, and one boundary in so many places.
 WINDOW, EVERY = 2, 4
@@ -142,9 +142,16 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edge
     cut = lambda lines, w: F.struct(w.alias("w"), F.array_join(F.slice(lines, w["place"] + 1, w["span"]), "\n").alias("bytes"))
     held = held.select("id", "mark", F.explode(_let(_lines(F.col("text")), lambda lines: F.transform("wanted", lambda w: cut(lines, w)))).alias("c"))
     held = scratch(held.select("id", "mark", "c.w.*", "c.bytes"), "candidates")
+    # bytes move once, to be compared; where all that share a digest are equal, the digest stands for them after that
+    places = held.select("id", "mark", "place", *kind)
+    same = held.groupBy(*kind, "bytes").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n"))
+    forms = scratch(same.groupBy(*kind).agg(F.count(F.lit(1)).alias("forms"), F.min("first").alias("first"), F.max("n").alias("n")), "first").where("n > 1")
+    alike = places.join(forms.where("forms = 1").select(*kind, "first"), kind)
     # bytes that only share a digest are units of their own: each of them keeps its first occurrence
-    first = scratch(held.groupBy(*kind, "bytes").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
-    verified = held.join(first, [*kind, "bytes"]).where(~own.eqNullSafe(F.col("first")))
+    clash = held.join(checked_broadcast(forms.where("forms > 1").select(*kind)), kind, "left_semi")
+    firsts = clash.groupBy(*kind, "bytes").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    apart = clash.join(firsts, [*kind, "bytes"])
+    verified = alike.unionByName(apart.select(*alike.columns)).where(~own.eqNullSafe(F.col("first")))
     verified = verified.where(~overlaps)
     gone = verified.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("place", F.col("place") + F.col("span") - 1)))).alias("gone"))
 
