@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, license_scan, line_dedup, media, mixing, packing, quality, sharding, simhash, url_filter
+from leadloom.llm import exact_dedup, hard_negatives, license_scan, line_dedup, media, mixing, packing, quality, sharding, simhash, url_filter, whitening
 
 
 def tokenizer_path() -> str:
@@ -60,9 +60,26 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode_texts(_table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.contract(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (
+    op1_license_scan, op2_packing, op3_exact_dedup, op4_simhash, op5_sharding, op6_quality, op7_line_dedup, op8_mixing, op9_url_filter, op10_media_columns,
+    op11_whitening, op12_hard_negatives,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_exact_dedup, op4_simhash, op5_sharding, op6_quality, op7_line_dedup, op8_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {
+        "op1_license_scan": license_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
+    }
