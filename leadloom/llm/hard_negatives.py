@@ -65,7 +65,7 @@ def codebook(sample: np.ndarray, width: int, centroids: int, steps: int) -> np.n
 def _subspaces(x: np.ndarray, width: int) -> np.ndarray:
     """(subspaces, rows, width)"""
     wide = np.pad(x, ((0, 0), (0, -x.shape[1] % width)))
-    return wide.reshape(len(x), -1, width).transpose(1, 0, 2)
+    return wide.reshape(len(x), wide.shape[1] // width, width).transpose(1, 0, 2)
 
 
 def _nearest(y: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, hard_negatives, license_scan, line_dedup, media, mixing, packing, quality, sharding, simhash, url_filter, whitening
+from leadloom.llm import exact_dedup, hard_negatives, language_id, license_scan, line_dedup, media, mixing, packing, quality, sharding, simhash, url_filter, whitening
 
 
 def tokenizer_path() -> str:
@@ -68,9 +68,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.contract(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_license_scan, op2_packing, op3_exact_dedup, op4_simhash, op5_sharding, op6_quality, op7_line_dedup, op8_mixing, op9_url_filter, op10_media_columns,
-    op11_whitening, op12_hard_negatives,
+    op11_whitening, op12_hard_negatives, op13_language_id,
 )
 
 
