@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.operators import rank
+from leadloom.operators.pages import greedy_pages, json_pages
 
 SCHEMA_VERSION = "1.0"
 # Changes that a delta exports.
@@ -31,7 +32,7 @@ def tree_digest(rows: DataFrame, key: str, text: str, fanout: int = 1024) -> Dat
 
 
 class Store:
-    """Versioned tables under one folder: ``name/gen=N`` and a pointer file for each, ``current-N.json``, written last.
+    """Versioned tables under one folder: ``name/gen=N/...`` and a pointer file for each generation, ``current-N.json``, written last.
 
     A reader takes the highest pointer, so it sees a generation wholly or not
     at all; a crash leaves the one before, and no pointer is ever replaced. Paths go through Hadoop's file systems, so any shared store works.
@@ -47,15 +48,15 @@ class Store:
         return p.getFileSystem(self.conf), p
 
     def put(self, path: str, text: str) -> None:
-        """Write a small file under another name and rename it into place."""
+        """Write a small new file under another name and rename it into place; fails if the file is there."""
         fs, final = self._path(f"{self.root}/{path}")
-        _, part = self._path(f"{self.root}/{path}.part")
+        _, part = self._path(f"{self.root}/{path}.{uuid.uuid4().hex}.part")
         out = fs.create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(part, final)
+        if fs.exists(final) or not fs.rename(part, final):
+            fs.delete(part, False)
+            raise FileExistsError(f"{path}: another writer was first")
 
     def get(self, path: str) -> str | None:
         fs, p = self._path(f"{self.root}/{path}")
@@ -75,16 +76,31 @@ class Store:
         return max((int(n[8:-5]) for n in names if n.startswith("current-") and n.endswith(".json")), default=0)
 
     def read(self, name: str) -> DataFrame | None:
-        gen = self.generation(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/gen={gen}") if gen else None
+        return self.tables(name).get("")
+
+    def tables(self, name: str) -> dict[str, DataFrame]:
+        """The tables of the newest generation by name."""
+        note = self.note(name)
+        return {t: self.spark.read.parquet(f"{self.root}/{name}/{folder}") for t, folder in note.get("tables", {}).items()}
 
     def write(self, name: str, df: DataFrame, **note) -> int:
-        gen = self.generation(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/gen={gen}")
-        self.put(f"{name}/current-{gen}.json", json.dumps({"gen": gen, **note}, sort_keys=True))
+        return self.commit(name, {"": df}, **note)
+
+    def commit(self, name: str, tables: Mapping[str, DataFrame], **note) -> int:
+        """Write all tables of the next generation, then the one pointer that names them.
+
+        Folders are the writer's own, so of two writers of one generation the
+        second fails at the pointer and harms nothing.
+        """
+        gen, own = self.generation(name) + 1, uuid.uuid4().hex[:12]
+        folders = {t: f"gen={gen}/{own}" + (f"/{t}" if t else "") for t in tables}
+        for t, df in tables.items():
+            df.write.parquet(f"{self.root}/{name}/{folders[t]}")
+        self.put(f"{name}/current-{gen}.json", json.dumps({"gen": gen, "tables": folders, **note}, sort_keys=True))
         return gen
 
     def note(self, name: str) -> dict:
+        """What the newest pointer says; empty for none."""
         return json.loads(self.get(f"{name}/current-{self.generation(name)}.json") or "{}")
 
 
@@ -107,10 +123,16 @@ def delta(entities: DataFrame, changes: DataFrame, mark: int, id_col: str = "ent
 def delta_pages(rows: DataFrame, key: str, limit: int = 120_000, overhead: int = 512) -> DataFrame:
     """``rows`` of one run's delta with ``page``: as many as fit the byte limit, in order."""
     sized = rows.withColumn("__json", document({c: F.col(c) for c in rows.columns}))
-    pages = rank.greedy_pages(sized, key, F.octet_length("__json") + 1, limit, overhead)
+    pages = greedy_pages(sized, key, F.octet_length("__json") + 1, limit, overhead)
     return rows.join(pages.select(key, "page"), key)
 
 
+def delta_documents(rows: DataFrame, key: str, head: Mapping[str, object], limit: int = 120_000) -> DataFrame:
+    """(page, file, document): the JSON pages of a delta, each within ``limit`` bytes; ``head`` begins every one."""
+    lines = rows.select(key, document({c: F.col(c) for c in rows.columns}).alias("__json"))
+    return json_pages(lines, key, "__json", json.dumps(dict(head), sort_keys=True, separators=(",", ":"))[1:-1], limit)
+
+
 def stale_pages(names: Sequence[str], pages: int) -> list[str]:
     """Names of delta pages beyond the last one."""
     found = []

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.operators.pages import greedy_pages  # noqa: F401
+
 
 def quota_top(rows: DataFrame, score: str, key: str, first: Column, first_quota: int = 32, second_quota: int = 8) -> DataFrame:
     """At most both quotas together of rows ordered by (-score, key), each class up to its own; what one leaves the other fills, the first class first.
@@ -60,34 +62,5 @@ def budget_prefix(rows: DataFrame, size: Column, order: Sequence[Column], limit:
     return top.withColumn("used", F.sum("__size").over(run)).where(F.col("used") <= limit).drop("__size")
 
 
-def greedy_pages(rows: DataFrame, key: str, size: Column, limit: int, overhead: int, group: Sequence[str] = ()) -> DataFrame:
-    """Adds ``page`` and ``used``: items in the order of key fill a page until the next would pass the limit.
-
-    Where a page ends depends on all before it, so a group is filled in one
-    pass over its keys and sizes (not its rows); groups run in parallel. An
-    item above the limit has a page of its own.
-    """
-    sized = rows.select(*group, key, size.cast("long").alias("__size"))
-
-    def fill(table):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        table = table.take(pc.sort_indices(table, [(key, "ascending")]))
-        sizes = table.column("__size").to_pylist()
-        pages, filled = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-        page, used = 1, overhead
-        for i, s in enumerate(sizes):
-            if used + s > limit and used > overhead:
-                page, used = page + 1, overhead
-            used += s
-            pages[i], filled[i] = page, used
-        return table.drop_columns(["__size"]).append_column("page", pa.array(pages)).append_column("used", pa.array(filled))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema if f.name != "__size") + ", page long, used long"
-    return sized.groupBy(*group).applyInArrow(fill, schema)
-
-
 def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
