@@ -38,10 +38,14 @@ def round_robin(rows: DataFrame, priority: str, lane: str, order: Sequence[Colum
 
 
 def employer_cap(rows: DataFrame, employer: str, exempt: Column, order: Sequence[Column], cap: int) -> DataFrame:
-    """The first ``cap`` rows of each employer in order; exempt rows pass and aren't counted."""
-    flagged = rows.withColumn("__exempt", exempt)
-    n = F.row_number().over(Window.partitionBy(employer, "__exempt").orderBy(*order))
-    return flagged.withColumn("__n", n).where(F.col("__exempt") | (F.col("__n") <= cap)).drop("__n", "__exempt")
+    """The first ``cap`` rows of each employer in order; exempt rows pass and aren't counted.
+
+    Rows that can be capped go their own way, so each task keeps only the first
+    ``cap`` of an employer before the shuffle.
+    """
+    free = F.coalesce(exempt, F.lit(False))
+    n = F.row_number().over(Window.partitionBy(employer).orderBy(*order))
+    return rows.where(free).unionByName(rows.where(~free).withColumn("__n", n).where(F.col("__n") <= cap).drop("__n"))
 
 
 def stratified(rows: DataFrame, key: str, group: str, groups: Sequence[str], generation: str) -> DataFrame:

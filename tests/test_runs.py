@@ -103,17 +103,22 @@ def checks(spark, states):
     return spark.createDataFrame([(s, state, 200, False, 1) for s, state in states.items()], CHECK)
 
 
-def test_runs_equal_a_loop(spark, tmp_path):
-    r, loop, store = random.Random(7), Loop(), Store(spark, str(tmp_path))
-    for n in range(6):
+def feed(seed, runs_n=6):
+    """(rows, states) of each run."""
+    r = random.Random(seed)
+    for n in range(runs_n):
         rows, states = [], {s: r.choice(["healthy"] * 5 + ["check-failed"]) for s in "abcd"}
         for s in "abcd":
-            if states[s] != "healthy":
-                continue
-            for at in range(r.randint(0, 8 if n % 3 == 0 else 2)):
+            for at in range(r.randint(0, 8 if n % 3 == 0 else 2) if states[s] == "healthy" else 0):
                 e = f"e{r.randint(0, 5)}"
                 values = (r.choice(["T1", "T2", "T3", None]), r.choice(["d1", "d2", None, ""]), r.choice(["l1", "l2"]), r.choice(["application-open", "closed", "unknown"]), r.choice(["r1", "r2", None]))
                 rows.append((s, at, e, f"https://x.example/{e}", "Org", None, *values, r.random() < 0.3))
+        yield rows, states
+
+
+def test_runs_equal_a_loop(spark, tmp_path):
+    loop, store = Loop(), Store(spark, str(tmp_path))
+    for n, (rows, states) in enumerate(feed(23)):
         loop.run(f"run{n}", rows, states)
         state = runs.run(store, spark.createDataFrame(rows, ROW), checks(spark, states), sources(spark), f"run{n}", f"2026-01-0{n + 1} 00:00:00", threshold=2, scored=scored)
     entities = {x["entity_id"]: ({f: x[f] for f in FIELDS}, x["owners"], x["active"]) for x in state["entities"].collect()}
