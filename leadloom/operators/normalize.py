@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import ids
 from leadloom.functions.constraints import program_evidence, staff_role
+from leadloom.functions.routing import (
+    DEGREE_SPELLINGS, DEGREE_VALUES, GRADUATE_TITLE, KIND_SPELLINGS, KIND_VALUES, PREFERRED_DEGREE, STAGE_SPELLINGS, STAGE_VALUES, canonical, experience_text, experience_years, first_value, required_degree,
+)
 from leadloom.functions.urls import normalize_url, site_of
 
 # The kind of engagement, by the first pattern that fits.
@@ -17,6 +20,7 @@ ENGAGEMENT = (
     ("research", r"(?i)\bresearch (?:assistant|experience|placement|role)\b|\breu\b"), ("event", r"(?i)career fair|conference|hackathon|recruiting event|tech talk|\bexpo\b"),
     ("program", r"(?i)\bprogram\b|\bscholarship\b|early insights?|discovery program"), ("contract", r"(?i)\bcontract(?:or)?\b|\btemporary\b"), ("full-time", r"(?i)full[- ]time|permanent position"),
 )
+# Employment types as kinds, stages and required degrees by their patterns, and the material fields.
 LEGACY = {
     "intern": "internship", "internship": "internship", "co-op": "co-op", "coop": "co-op", "contract": "contract", "fellowship": "fellowship", "program": "program", "event": "event", "full-time": "full-time",
     "full time": "full-time", "fulltime": "full-time", "permanent": "full-time", "new-grad": "full-time",
@@ -38,6 +42,10 @@ MATERIAL = (
 )
 
 
+#: What is read of a constraint row.
+RULES = "array<struct<kind:string,modality:string,operator:string,degrees:array<string>,exception:string>>"
+
+
 def first_of(text: Column, patterns) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), n) for n, p in patterns), F.lit("unknown"))
 
@@ -49,18 +57,13 @@ def place_parts(place: Column) -> dict[str, Column]:
     return {"location_city": F.get(parts, 0), "location_state": F.get(parts, 1), "location_country": country}
 
 
-def experience_years(text: Column) -> dict[str, Column]:
-    """Least and most years: a range, else a most, else a least, else a plain number."""
-    span, most = r"(?i)\b(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\+?\s+years?\b", r"(?i)\b(?:up to|maximum(?: of)?|no more than)\s+(\d{1,2})\s+years?\b"
-    least, plain = r"(?i)\b(?:(?:at least|minimum(?: of)?)\s+(\d{1,2})|(\d{1,2})\+)\s+years?\b", r"(?i)\b(\d{1,2})\s+years?\s+(?:of\s+)?(?:professional |relevant )?experience\b"
-    number = lambda p, g: F.regexp_extract(text, p, g).try_cast("int")
-    lo = F.when(text.rlike(span), number(span, 1)).when(text.rlike(most), None).when(text.rlike(least), F.coalesce(number(least, 1), number(least, 2))).otherwise(number(plain, 1))
-    hi = F.when(text.rlike(span), number(span, 2)).when(text.rlike(most), number(most, 1))
-    return {"experience_min_years": lo, "experience_max_years": hi}
-
-
 def normalize(observations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Entity rows of observations; ``sources`` is the registry, small enough to join by hash."""
+    """Entity rows of observations; ``sources`` is the registry, small enough to join by hash.
+
+    With a column ``constraints`` (the rows of parse_constraints as an array)
+    the required degree follows its clauses; with ``extracted``, years are not
+    looked for in the text of sources whose requirements were read already.
+    """
     s = sources.select("source_id", F.col("organization").alias("s_org"), F.get("categories", 0).alias("category"), "official", "landing_url")
     o = observations.join(s, "source_id", "left")
     title, c = F.coalesce("title", F.lit("")), F.col
@@ -70,7 +73,7 @@ def normalize(observations: DataFrame, sources: DataFrame) -> DataFrame:
     )
     legacy = F.coalesce(*(F.when(F.lower(F.trim(stated)) == k, v) for k, v in LEGACY.items()))
     text = F.concat_ws(" ", "title", "description", "requirements_text", stated)
-    given = F.nullif(F.replace(F.lower(F.trim("engagement_type")), F.lit("_"), F.lit("-")), F.lit("unknown"))
+    given = canonical(c("engagement_type"), KIND_SPELLINGS, KIND_VALUES)
     kind = F.coalesce(given, legacy, first_of(text, ENGAGEMENT))
     proven = program_evidence(title, F.coalesce("requirements_text", F.lit("")), c("program_family_id").isNotNull() | c("overview_url").isNotNull())
     kind = (
@@ -83,15 +86,18 @@ def normalize(observations: DataFrame, sources: DataFrame) -> DataFrame:
     by_title = first_of(title, STAGE)
     stage = F.when(title.rlike(r"(?i)\bintern(?:ship)?\b|\bco[- ]?op\b"), "student").when(by_title != "unknown", by_title).otherwise(first_of(text, soft))
     stage = F.when(title.rlike(r"(?i)^\s*(?:(?:senior|sr\.?)\s+)?director\b(?!['’]s\b)"), "experienced").otherwise(stage)
-    stage = F.coalesce("career_stage", F.when((stage == "unknown") & kind.isin("internship", "co-op", "research", "fellowship"), "student").when((stage == "unknown") & (F.lower("employment_type") == "new-grad"), "new-grad").otherwise(stage))
+    stage = F.coalesce(canonical(c("career_stage"), STAGE_SPELLINGS, STAGE_VALUES), F.when((stage == "unknown") & kind.isin("internship", "co-op", "research", "fellowship"), "student").when((stage == "unknown") & (F.lower("employment_type") == "new-grad"), "new-grad").otherwise(stage))
     place = F.lower(F.coalesce("location_text", F.lit("")))
+    rules = c("constraints") if "constraints" in observations.columns else F.lit(None).cast(RULES)
+    years = experience_text(c("experience_requirement_text"), text, c("extracted") if "extracted" in observations.columns else F.lit(False))
     remote = F.coalesce("remote_signal", F.when(place.rlike("remote|anywhere"), "remote").when(place.contains("hybrid"), "hybrid"))
     url = normalize_url(c("canonical_url"))
     key = ids.identity_key(c("provider"), c("provider_req_id"), F.coalesce("organization", "s_org"), c("title"), c("canonical_url"), c("location_text"))
     named = {
         "entity_id": ids.hashed_id(key), "organization": F.coalesce("organization", "s_org"), "canonical_url": url, "official_url": F.when(c("official"), c("canonical_url")), "remote_signal": remote, "employment_type": stated,
-        "engagement_type": kind, "career_stage": stage, "required_degree": F.coalesce("required_degree", first_of(text, REQUIRED_DEGREE)), "landing": F.coalesce("landing_url", site_of(c("canonical_url"))),
-        "description_hash": ids.description_hash(c("description")), **place_parts(c("location_text")), **experience_years(c("experience_requirement_text")),
+        "engagement_type": kind, "career_stage": stage, "required_degree": required_degree(rules, F.coalesce(canonical(c("required_degree"), DEGREE_SPELLINGS, DEGREE_VALUES), first_of(text, REQUIRED_DEGREE))),
+        "preferred_degree": F.coalesce(canonical(c("preferred_degree"), DEGREE_SPELLINGS, DEGREE_VALUES), first_value(text, PREFERRED_DEGREE)), "graduate_title": title.rlike(GRADUATE_TITLE), "experience_requirement_text": years, "landing": F.coalesce("landing_url", site_of(c("canonical_url"))),
+        "description_hash": ids.description_hash(c("description")), **place_parts(c("location_text")), **experience_years(years),
     }
     return o.withColumns(named).drop("s_org", "landing_url")
 

@@ -230,9 +230,11 @@ def step(
     gone = usable.groupBy("entity_id").agg(F.min("misses").alias("least"), F.bool_or("__missed").alias("now")).where(F.col("now") & (F.col("least") >= threshold))
     gone = gone.select("entity_id").join(old.where("active").select("entity_id"), "entity_id", "left_semi")
     gone = materialize(gone, "gone").withColumn("__gone", F.lit(True))
-    rest = old.join(touched, "entity_id", "left_anti").join(gone, "entity_id", "left")
+    # a source without authority may have seen it in this very run
+    whole = old.join(touched, "entity_id", "left_anti").unionByName(present).join(gone, "entity_id", "left")
     shut = F.col("__gone").isNotNull()
-    rest = rest.withColumns({"active": F.when(shut, False).otherwise(F.col("active")), "change_type": F.when(shut, CLOSED).otherwise(F.col("change_type")), "events": F.when(shut, F.array(F.lit(CLOSED))).otherwise(F.col("events")), "last_changed": F.when(shut, now).otherwise(F.col("last_changed"))})
+    closed = {"active": F.lit(False), "change_type": F.lit(CLOSED), "events": F.array(F.lit(CLOSED)), "last_changed": now}
+    whole = whole.withColumns({c: F.when(shut, v).otherwise(F.col(c)) for c, v in closed.items()}).drop("__gone")
 
     # the log, with dense ids in the order in which things happened
     kind = rows.schema["seq"].dataType.simpleString()
@@ -255,7 +257,7 @@ def step(
     decided = merges.select("kept_id", "merged_id", F.lit("normalized-url-equal").alias("basis"), F.concat(F.lit("url="), "url").alias("detail"), F.lit(run_id).alias("run_id"), now.alias("decided_at"))
     add = lambda name, new: state[name].unionByName(_fitted(new, name))
     return {
-        "entities": rest.drop("__gone").unionByName(present), "scores": state["scores"].join(fresh.select("entity_id"), "entity_id", "left_anti").unionByName(scores), "provenance": traces, "misses": counted.drop("__missed"),
+        "entities": whole, "scores": state["scores"].join(fresh.select("entity_id"), "entity_id", "left_anti").unionByName(scores), "provenance": traces, "misses": counted.drop("__missed"),
         "aliases": state["aliases"].unionByName(titles).distinct(), "decisions": add("decisions", decided), "observations": add("observations", history), "changes": add("changes", log),
         "checks": add("checks", checks.withColumns({"run_id": F.lit(run_id), "checked_at": now})), "runs": add("runs", spark.createDataFrame(summary, names).withColumn("at", now)),
     }
