@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 IGNORED = ("a", "an", "and", "at", "for", "of", "the")
 
 
-def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The newest row of each key by a combining maximum."""
-    return rows.groupBy(*keys).agg(F.max_by(F.struct("*"), F.col(order)).alias("r")).select("r.*")
+def latest(rows: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
+    """The newest row of each key by a combining maximum; a struct orders by several columns."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct("*"), F.col(order) if isinstance(order, str) else order).alias("r")).select("r.*")
 
 
 def due(sources: DataFrame, checks: DataFrame, now: Column, force: bool = False) -> DataFrame:

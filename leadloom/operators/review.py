@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.operators import board
@@ -51,11 +51,17 @@ def apply_review(state: DataFrame, decisions: DataFrame, candidates: DataFrame)
     return merged.drop("__changed"), merged.where("__changed").select("entity_id", "board_state")
 
 
-def preference_counters(feedback: DataFrame) -> DataFrame:
-    """(name, prefer, avoid, evidence): each feedback counts once for a name; evidence is its newest fifty."""
+def preference_counters(feedback: DataFrame, most: int = 50) -> DataFrame:
+    """(name, prefer, avoid, evidence): each feedback counts once for a name; evidence is its newest ``most``, the newest first.
+
+    Only the newest rows of a name are gathered: each task drops the others
+    before the shuffle.
+    """
     once = feedback.where(F.col("direction").isin(*DIRECTIONS)).dropDuplicates(["feedback_id", "name"])
-    newest = F.expr("slice(array_sort(collect_list(struct(recorded_at, feedback_id)), (a, b) -> CASE WHEN a > b THEN -1 WHEN a < b THEN 1 ELSE 0 END), 1, 50)")
-    return once.groupBy("name").agg(F.count_if(F.col("direction") == "prefer").alias("prefer"), F.count_if(F.col("direction") == "avoid").alias("avoid"), newest.getField("feedback_id").alias("evidence"))
+    n = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("recorded_at"), F.desc("feedback_id")))
+    newest = once.withColumn("__n", n).where(F.col("__n") <= most).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("__n", "feedback_id"))).getField("feedback_id").alias("evidence"))
+    counts = once.groupBy("name").agg(F.count_if(F.col("direction") == "prefer").alias("prefer"), F.count_if(F.col("direction") == "avoid").alias("avoid"))
+    return counts.join(newest, "name")
 
 
 def integrity(manifest: DataFrame, files: DataFrame) -> DataFrame:

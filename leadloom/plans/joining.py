@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leadloom.operators import joins
+from leadloom.operators import export, joins, review
 from leadloom.plans.base import table
 
 STATE = "CASE WHEN value > 90 THEN 'failed' WHEN value > 80 THEN 'degraded' WHEN value < 5 THEN 'valid-empty' ELSE 'healthy' END"
@@ -37,7 +37,8 @@ SELECT s.user_id::VARCHAR AS source_id, last_success FROM s LEFT JOIN g USING (u
 
 
 def c2_latest_check_per_source(spark, d):
-    return checks(spark, d).groupBy("source_id").agg(F.max_by(F.struct("checked_at", "state", "event_id"), F.struct("checked_at", "event_id")).alias("r")).select("source_id", "r.checked_at", "r.state", "r.event_id")
+    newest = joins.latest(checks(spark, d), ["source_id"], F.struct("checked_at", "event_id"))
+    return newest.select("source_id", "checked_at", "state", "event_id")
 
 
 C2 = f"WITH {CHECKS} SELECT source_id, checked_at, state, event_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY checked_at DESC, event_id DESC) AS n FROM c) WHERE n = 1"
@@ -133,8 +134,8 @@ JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderstatus <> 'F' AND s_acctbal
 
 
 def d1_health_summary(spark, d):
-    latest = checks(spark, d).withColumn("source_id", F.col("user_id")).groupBy("source_id").agg(F.max_by("state", F.struct("checked_at", "event_id")).alias("state"))
-    return latest.groupBy("state").agg(F.count(F.lit(1)).alias("sources"))
+    seen = checks(spark, d).select(F.col("user_id").alias("source_id"), "checked_at", "state", F.lit("").alias("detail"), F.col("event_id").alias("check_id"))
+    return export.source_health(seen.select("source_id").distinct(), seen)[1]
 
 
 D1 = f"WITH {CHECKS} SELECT state, count(*) AS sources FROM (SELECT state, row_number() OVER (PARTITION BY user_id ORDER BY checked_at DESC, event_id DESC) AS n FROM c) WHERE n = 1 GROUP BY 1"
@@ -209,12 +210,10 @@ SELECT user_id, bucket, event_id FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def d9_preference_counters(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("name"), F.when(F.col("value") >= 50, "prefer").otherwise("avoid").alias("direction"), "ts")
-    e = e.dropDuplicates(["event_id", "name"])
-    w = Window.partitionBy("name").orderBy(F.desc("ts"), F.desc("event_id"))
-    evidence = e.withColumn("rn", F.row_number().over(w)).where("rn <= 50").groupBy("name").agg(F.min("event_id").alias("evidence_min"), F.max("event_id").alias("evidence_max"), F.count(F.lit(1)).alias("evidence"))
-    counts = e.groupBy("name").agg(F.count_if(F.col("direction") == "prefer").alias("prefer"), F.count_if(F.col("direction") == "avoid").alias("avoid"))
-    return counts.join(evidence, "name")
+    e = table(spark, d, "events")
+    said = e.select(F.col("event_id").alias("feedback_id"), F.col("event_type").alias("name"), F.when(F.col("value") >= 50, "prefer").otherwise("avoid").alias("direction"), F.col("ts").alias("recorded_at"))
+    found = review.preference_counters(said)
+    return found.select("name", "prefer", "avoid", F.array_min("evidence").alias("evidence_min"), F.array_max("evidence").alias("evidence_max"), F.size("evidence").cast("long").alias("evidence"))
 
 
 D9 = """WITH e AS (SELECT event_type AS name, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leadloom.operators import rank
+from leadloom.operators import joins, rank
 from leadloom.plans.base import table
 
 ROUTE = "CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'included' WHEN substr(o_orderpriority, 1, 1) IN ('3', '4') THEN 'research_needed' ELSE 'excluded' END"
@@ -106,8 +106,7 @@ SELECT o_orderkey, inactive, deadline, row_number() OVER (PARTITION BY inactive
 
 
 def f9_latest_row_per_key(spark, d):
-    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "ts", "value"), F.struct("ts", "event_id")).alias("r"))
-    return e.select("user_id", "event_type", "r.event_id", "r.ts", "r.value")
+    return joins.latest(table(spark, d, "events"), ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", "event_id", "ts", "value")
 
 
 F9 = "SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"

@@ -42,7 +42,7 @@ def table_rows(pages: DataFrame, parse: Callable[[dict, str, str], Rows]) -> Dat
                 except (ValueError, csv.Error, KeyError, TypeError, re.error):
                     found = []
                 base = {n: row[n] for n in ("source_id", "organization", "config", "page")}
-                out = [base | {"part": part, "ordinal": row["page"] * 100_000 + n, "cells": list(cells.items())} for n, (part, cells) in enumerate(found)]
+                out = [base | {"part": part, "ordinal": (row["page"] << 32) + n, "cells": list(cells.items())} for n, (part, cells) in enumerate(found)]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, kind)
 

@@ -15,8 +15,9 @@ from leadloom.functions import extraction
 from leadloom.functions.extraction import description_location
 from leadloom.functions.text import bounded_excerpt, decoded_text
 from leadloom.functions.urls import humanize_slug
+from leadloom.operators.pages import numbered
 from leadloom.sources import html
-from leadloom.sources.schema import check, observe, setting, titled
+from leadloom.sources.schema import check, observe, place_in_source, setting, titled
 
 READERS: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {}
 EXCERPT = 600
@@ -63,7 +64,7 @@ def _items(responses: DataFrame, path: str, item: str, extra: str = "") -> tuple
     bad = _problem(pages, F.try_parse_json("body").isNull(), "format-changed", "bad JSON").unionByName(
         _problem(pages, F.try_parse_json("body").isNotNull() & F.col("items").isNull(), "format-changed", f"missing '{path or 'root'}' array")
     )
-    rows = pages.select("source_id", "organization", "config", "url", "page", "doc", F.posexplode("items").alias("at", "x")).withColumn("ordinal", F.col("page") * 100_000 + F.col("at"))
+    rows = pages.select("source_id", "organization", "config", "url", "page", "doc", F.posexplode("items").alias("at", "x")).withColumn("ordinal", place_in_source())
     return pages, rows, bad
 
 
@@ -202,7 +203,7 @@ def jsonfeed(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = _problem(pages, ~whole, "format-changed", "bad JSON").unionByName(
         _problem(pages, whole & ~F.coalesce(F.ltrim("list").startswith("["), F.lit(False)), "format-changed", F.concat(F.lit("'"), F.when(path == "", "root").otherwise(path), F.lit("' is not an array")))
     )
-    rows = pages.select("source_id", "config", "page", F.posexplode("items").alias("at", "x")).withColumn("ordinal", F.col("page") * 100_000 + F.col("at"))
+    rows = pages.select("source_id", "config", "page", F.posexplode("items").alias("at", "x")).withColumn("ordinal", place_in_source())
 
     def dig(name: str) -> Column:
         where = F.coalesce(F.get_json_object("config", f"$.fields.{name}"), F.lit(JSON_FIELDS[name]))
@@ -240,7 +241,7 @@ def rss(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_item = F.transform("doc.channel.item", lambda i: F.struct(i["title"].alias("title"), i["link"].alias("link"), i["pubDate"].alias("day"), i["description"].alias("text"), i["deadline"].alias("deadline"), i["location"].alias("place")))
     nothing = F.lit(None).cast("string")
     of_entry = F.transform("doc.entry", lambda e: F.struct(e["title"].alias("title"), F.get(e["link"], 0)["_href"].alias("link"), F.coalesce(e["published"], e["updated"]).alias("day"), e["summary"].alias("text"), nothing.alias("deadline"), nothing.alias("place")))
-    rows = pages.select("source_id", "organization", "page", F.posexplode(F.coalesce(of_item, of_entry)).alias("at", "x")).withColumn("ordinal", F.col("page") * 100_000 + F.col("at"))
+    rows = pages.select("source_id", "organization", "page", F.posexplode(F.coalesce(of_item, of_entry)).alias("at", "x")).withColumn("ordinal", place_in_source())
     found = observe(
         rows, title=F.trim("x.title"), canonical_url=F.trim("x.link"), organization=F.col("organization"), location_text=F.col("x.place"), posted_date=feed_date(F.col("x.day")), deadline=feed_date(F.col("x.deadline")),
         description=bounded_excerpt(decoded_text(F.col("x.text")), EXCERPT),
@@ -261,7 +262,7 @@ def sitemap(responses: DataFrame, most: int = 300) -> tuple[DataFrame, DataFrame
     bad = _problem(pages, ~F.coalesce(F.col("body").rlike(r"(?is)<(?:\w+:)?(urlset|sitemapindex)\b.*</(?:\w+:)?(urlset|sitemapindex)\s*>"), F.lit(False)), "format-changed", "XML parse error")
     locs = F.regexp_extract_all("body", F.lit(r"<(?:\w+:)?loc>\s*([^<]*?)\s*</(?:\w+:)?loc>"), F.lit(1))
     rows = pages.select("source_id", "organization", "config", "page", F.posexplode(locs).alias("at", "raw"))
-    rows = rows.withColumn("loc", F.replace("raw", F.lit("&amp;"), F.lit("&"))).withColumn("ordinal", F.col("page") * 100_000 + F.col("at"))
+    rows = rows.withColumn("loc", F.replace("raw", F.lit("&amp;"), F.lit("&"))).withColumn("ordinal", place_in_source())
     include, exclude = setting("include_regex", ""), setting("exclude_regex")
     rows = rows.where(F.col("loc").startswith("http") & F.rlike("loc", include) & ~F.coalesce(F.rlike("loc", exclude), F.lit(False)))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))).where(F.col("n") <= most)
@@ -310,7 +311,7 @@ def _markdown_table(pages: DataFrame) -> DataFrame:
     # the first of equal headers counts
     names = F.array_distinct("head")
     cells = F.map_from_arrays(names, F.transform(names, lambda h: F.coalesce(F.get("values", (F.array_position("head", h) - 1).cast("int")), F.lit(""))))
-    return lines.select("source_id", "organization", "config", "page", F.lit(0).alias("part"), (F.col("page") * 100_000 + F.col("at")).cast("long").alias("ordinal"), cells.alias("cells"))
+    return lines.select("source_id", "organization", "config", "page", F.lit(0).alias("part"), place_in_source().alias("ordinal"), cells.alias("cells"))
 
 
 def _bullets(pages: DataFrame) -> DataFrame:
@@ -324,7 +325,7 @@ def _bullets(pages: DataFrame) -> DataFrame:
     title = F.trim(F.get(F.split(plain, r"\s+[–—-]\s+"), 0))
     title = F.when(title == "", F.get(names, pick)).otherwise(title)
     cells = F.create_map(F.lit("title"), title, F.lit("link"), F.get(hrefs, pick))
-    return lines.select("source_id", "organization", "config", "page", F.lit(0).alias("part"), (F.col("page") * 100_000 + F.col("at")).cast("long").alias("ordinal"), cells.alias("cells"))
+    return lines.select("source_id", "organization", "config", "page", F.lit(0).alias("part"), place_in_source().alias("ordinal"), cells.alias("cells"))
 
 
 @reader("htmllist")
@@ -387,8 +388,9 @@ def landed(spark, path: str) -> DataFrame:
 def local_files(spark, path: str, source_id: str, adapter: str, organization: str | None = None, config: str = "{}") -> DataFrame:
     """Whole files as pages of one source, in the order of their names."""
     files = spark.read.format("binaryFile").load(path)
-    page = F.row_number().over(Window.orderBy("path")) - 1
-    return files.select(
+    places = numbered(files.select("path"), ["path"], -1, "place")
+    page = F.col("place")
+    return files.join(places, "path").select(
         F.lit(source_id).alias("source_id"), F.lit(adapter).alias("adapter"), F.lit(organization).cast("string").alias("organization"), F.lit(config).alias("config"), page.cast("int").alias("page"),
         F.col("path").alias("url"), F.lit(200).alias("status"), F.decode("content", "UTF-8").alias("body"),
     )

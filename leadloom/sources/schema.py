@@ -35,6 +35,11 @@ def setting(name: str, default: str | None = None) -> Column:
     return F.coalesce(value, F.lit(default)) if default is not None else value
 
 
+def place_in_source() -> Column:
+    """The order of an item in its source: by page, then by place (``at``) in the page, however many there are."""
+    return F.shiftleft(F.col("page").cast("long"), 32) + F.col("at")
+
+
 def titled(slug: Column) -> Column:
     return F.initcap(F.replace(slug, F.lit("-"), F.lit(" ")))
 
