@@ -32,7 +32,7 @@ def latest_merge(keys: list[str], order: list[str]) -> Callable[[DataFrame, Data
     return merge
 
 
-def miss_counters(runs: DataFrame, timeout_ms: int = 0) -> DataFrame:
+def miss_counters(runs: DataFrame) -> DataFrame:
     """A stream of (entity, source, run, seen) to (entity, source, run, misses), with the counter as keyed state.
 
     seen is true for a sighting, false for a complete run of the source without
