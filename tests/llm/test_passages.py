@@ -1,8 +1,10 @@
 """Passage dedup on planted passages that chunk boundaries would not cut out, and against a plain restatement."""
 
 import random
+import struct
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from leadloom.llm import line_dedup
@@ -10,17 +12,43 @@ from leadloom.llm import line_dedup
 SCHEMA = "doc_id long, text string"
 
 
-def plain(rows):
-    """(doc_id, text, removed_lines) of every row; ids are distinct."""
+def cuts(lines):
+    """(begin, end) of the chunks of lines, with the hashes of a library of its own."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hashes = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines]
+    begins = [0]
+    for i in range(1, len(lines)):
+        h = 42
+        for k in range(line_dedup.WINDOW, 0, -1):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", hashes[i - k]), h) if i >= k else h
+        if (i >= line_dedup.WINDOW and signed(h) % line_dedup.EVERY == 0) or i - begins[-1] == line_dedup.LONGEST:
+            begins.append(i)
+    return list(zip(begins, [*begins[1:], len(lines)], strict=True))
+
+
+def plain(rows, seeds=True):
+    """(doc_id, text, removed_lines) of every row; ids are distinct. Runs of repeated pairs (and long lines, and chunks) go
+    if they hold a repeated chunk of two lines that aren't blank, or over fifty words."""
     seen, out = {}, []
     for i, text in sorted(rows, key=lambda r: r[0]):
-        lines, gone = (text or "").split("\n"), set()
-        units = [(k, 2) for k in range(len(lines) - 1) if (lines[k] + lines[k + 1]).strip()]
-        units += [(k, 1) for k in range(len(lines)) if len(lines[k].split()) > 50]
-        for k, span in units:
+        lines, gone, sown = (text or "").split("\n"), set(), set()
+        chunks = {(b, e - b): sum(bool(x.strip()) for x in lines[b:e]) > 1 for b, e in cuts(lines) if e - b > 1 and "".join(lines[b:e]).strip()}
+        units = set(chunks) | {(k, 2) for k in range(len(lines) - 1) if (lines[k] + lines[k + 1]).strip()}
+        units |= {(k, 1) for k in range(len(lines)) if len(lines[k].split()) > 50}
+        for k, span in sorted(units):
             first = seen.setdefault(tuple(lines[k : k + span]), (i, k))
             if first != (i, k) and (first[0] != i or k >= first[1] + span):
                 gone |= set(range(k, k + span))
+                if chunks.get((k, span)) and seeds:
+                    sown.add(k)
+        at = 0
+        while at < len(lines):
+            end = at
+            while end in gone:
+                end += 1
+            if end > at and not sown & set(range(at, end)) and len(" ".join(lines[at:end]).split()) <= 50:
+                gone -= set(range(at, end))
+            at = end + 1
         out.append((i, None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
     return out
 
@@ -54,10 +82,19 @@ def test_agrees_with_plain_restatement(spark):
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "same\n" * 500), (104, "z " * 51), (105, "z " * 51)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("removed_lines", F.lit("clash"))
     got = line_dedup.line_dedup(df).collect()
-    assert Counter((x["doc_id"], x["text"], x["removed_lines"]) for x in got) == Counter(plain(rows))
+    want = plain(rows)
+    assert Counter((x["doc_id"], x["text"], x["removed_lines"]) for x in got) == Counter(want)
+    # it is the chunks that decide: without them fewer lines go
+    assert 0 < sum(x[2] for x in plain(rows, seeds=False)) < sum(x[2] for x in want)
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_headings_and_short_answers_stay(spark):
+    texts = ["intro one\n\nSummary\n\nbody a", "intro two\n\nSummary\n\nbody b", "Yes\nNo", "Yes\n\nNo", "\nSummary\n"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_long_texts_take_time_in_proportion(spark):
     """A text of 200,000 lines, and a copy of it under another beginning."""
     lines = [f"line {i * 7919 % 100_003} of a long text" for i in range(200_000)]
@@ -72,9 +109,10 @@ def test_equal_digests_are_compared_by_bytes(spark, monkeypatch):
     from pyspark.sql import functions
 
     monkeypatch.setattr(functions, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 and "slice" in str(c[0]) else real(*c))
-    texts = ["aa\nbb", "cc\ndd", "cc\ndd\nend", "aa\nbb\nfin"]
+    a, b, c, d = (f"{x} " * 30 for x in ("aa", "bb", "cc", "dd"))
+    texts = [f"{a}\n{b}", f"{c}\n{d}", f"{c}\n{d}\nend", f"{a}\n{b}\nfin"]
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
-    assert got == {0: "aa\nbb", 1: "cc\ndd", 2: "end", 3: "fin"}
+    assert got == {0: texts[0], 1: texts[1], 2: "end", 3: "fin"}
 
 
 real = F.xxhash64
