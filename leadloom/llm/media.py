@@ -139,7 +139,7 @@ def _sizes(data: bytes, kind: bytes, a: int, b: int) -> tuple[list[int] | None,
 
 
 def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> dict:
-    out = {"handler": None, "codec": None, "timescale": None, "duration": None, "samples": 0, "keyframes": [], "ranges": []}
+    out = {"handler": None, "codec": None, "timescale": None, "duration": None, "samples": 0, "keyframes": [], "ranges": [], "error": None}
     if b"hdlr" in parts:
         a = parts[b"hdlr"][0]
         out["handler"] = data[a + 8 : a + 12].decode("latin-1")
@@ -159,12 +159,17 @@ def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> dict:
     sizes, common, count = _sizes(data, sized, *parts[sized])
     offsets = [x for (x,) in _table(data, *parts[placed], "I" if placed == b"stco" else "Q")]
     runs = _table(data, *parts[b"stsc"], "III")
-    spans, done = [], 0
+    spans, done, used = [], 0, 0
     for i, (first, each, _) in enumerate(runs):
         last = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(offsets)
         for at in offsets[max(0, first - 1) : last]:
             for _ in range(min(each, count - done)):
                 size = common if sizes is None else sizes[done]
+                # the file bounds what its tables may claim
+                used += size
+                if at + size > len(data) or used > len(data):
+                    out["error"], count = "samples lie beyond the end of the file", done
+                    break
                 spans.append((at, at + size))
                 at += size
                 done += 1
@@ -173,7 +178,11 @@ def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> dict:
 
 
 def inspect(data: bytes | None) -> dict:
-    """brand, tracks, error of a file; tables that are cut off or missing leave nulls and an error, never an exception."""
+    """brand, tracks, error of a file; tables that are cut off or missing leave nulls and an error, never an exception.
+
+    Only samples that lie in the file are given, and together they take no more
+    bytes than it has, so work is in proportion to the file.
+    """
     out: dict = {"brand": None, "tracks": [], "error": None}
     if not data:
         return out | {"error": "empty"}
@@ -189,7 +198,8 @@ def inspect(data: bytes | None) -> dict:
             tracks.setdefault(owner, {}).setdefault(kind, (a, b))
     for parts in tracks.values():
         try:
-            out["tracks"].append(_track(data, parts))
+            out["tracks"].append(track := _track(data, parts))
+            out["error"] = out["error"] or track["error"]
         except (struct.error, IndexError) as e:
             out["error"] = f"broken track: {e}"
     if not out["tracks"] and not out["error"]:

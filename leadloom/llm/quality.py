@@ -241,7 +241,7 @@ def classify(docs: DataFrame, settings: Settings = Settings(), text: str = "text
     for side in ([c for c in posterior if posterior[c] > 0.5], [c for c in posterior if posterior[c] <= 0.5]):
         rows = told.where(F.col("votes").isin(side or [-1])).where(F.col("doc_id").isNotNull()).select("doc_id", "votes")
         picked.append(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(settings.sample // 2))
-    sampled = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
+    sampled = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.min("votes").alias("votes"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,8 +251,9 @@ def classify(docs: DataFrame, settings: Settings = Settings(), text: str = "text
 
     sampled = F.broadcast(sampled.withColumnRenamed("doc_id", "__id"))
     joined = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(sampled, F.col("__doc") == F.col("__id"))
-    # rows that share an id count once
-    rows = joined.dropDuplicates(["__id"]).select("votes", "__text").mapInArrow(train, "votes long, x binary").collect()
+    # rows that share an id count once, in every run the same one of them
+    one = F.min(F.struct(F.xxhash64("__text"), "__text")).alias("r")
+    rows = joined.groupBy("__id", "votes").agg(one).select("votes", F.col("r.__text").alias("__text")).mapInArrow(train, "votes long, x binary").collect()
     rows = sorted((r["votes"], bytes(r["x"])) for r in rows)
     if rows:
         x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
