@@ -96,6 +96,47 @@ def duration_limits(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.struct((number * low).alias("lo"), (number * high).alias("hi")))
 
 
+# Words that say that a program is short, in text without a parsed duration, and what travel is.
+_SHORT = r"(?:day[ -]long|week[ -]long|one[ -]day|two[ -]day|three[ -]day|single[ -]day|(?:[1-9]|1[0-4])[ -]days?|(?:[12]|one|two)[ -]weeks?)"
+_EVENT = r"(?:program(?:me)?|event|conference|summit|workshop|experience|session)"
+SHORT_PROGRAM = rf"(?i)\b{_SHORT}\s+(?:(?:exploratory|intensive|residential|work|shadowing)\s+){{0,3}}{_EVENT}\b|\b{_EVENT}\s+(?:lasts?|runs? for)\s+{_SHORT}\b"
+TRAVEL = r"(?i)\b(?:travel|airfare|flights?|transportation)\b"
+#: Days of a short visit.
+SHORT_DAYS = 14
+
+
+def durations(rules: Column) -> Column:
+    """struct(lo, hi) of days of every duration among constraint rows."""
+    return F.filter(F.transform(F.filter(rules, lambda r: r["kind"] == "duration"), lambda r: duration_limits(r["evidence"])), lambda d: d.isNotNull())
+
+
+def long_program(rules: Column) -> Column:
+    return F.coalesce(F.exists(durations(rules), lambda d: d["lo"] > SHORT_DAYS), F.lit(False))
+
+
+def short_program(rules: Column, start: Column, end: Column, text: Column) -> Column:
+    """Whether a program lasts a fortnight at most: by its durations, else by its dates, else by its words."""
+    days = F.date_diff(F.try_to_date(end, "yyyy-MM-dd"), F.try_to_date(start, "yyyy-MM-dd"))
+    short = F.coalesce(F.exists(durations(rules), lambda d: d["hi"] <= SHORT_DAYS), F.lit(False))
+    return F.when(long_program(rules), False).when(short, True).when(days.isNotNull(), (days >= 0) & (days < SHORT_DAYS)).otherwise(F.coalesce(text.rlike(SHORT_PROGRAM), F.lit(False)))
+
+
+def candidate_funding(rules: Column, *texts: Column) -> Column:
+    """struct(state, evidence) of a listing's travel: what its constraint rows agree on, else what its sentences about travel do, else unknown."""
+    said = F.filter(rules, lambda r: r["kind"] == "travel-funding")
+    captured = F.array_distinct(F.transform(said, lambda r: r["funding"]))
+    sentences = F.filter(F.flatten(F.array(*(F.split(F.coalesce(t, F.lit("")), r"[.;\n]") for t in texts))), lambda x: x.rlike(TRAVEL))
+    found = F.array_distinct(F.transform(sentences, lambda x: travel_funding(x)))
+    out = lambda state, evidence: F.struct(state.alias("state"), F.substring(F.coalesce(evidence, F.lit("")), 1, 600).alias("evidence"))
+    unknown = out(F.lit("unknown"), F.lit(""))
+    return (
+        F.when(F.size(captured) == 1, out(F.get(captured, 0), F.get(said, 0)["evidence"]))
+        .when(F.size(captured) > 1, unknown)
+        .when(F.size(found) == 1, out(F.get(found, 0), F.trim(F.element_at(sentences, -1))))
+        .otherwise(unknown)
+    )
+
+
 def program_evidence(title: Column, text: Column, configured: Column) -> Column:
     named = r"(?i)scholarship|fellowship|workshop|conference|summit|spring week|open day|career fair|recruiting event|hackathon|\bexpo\b|(?:discovery|exploratory|insight) program"
     plain = title.rlike(r"(?i)\b(?:program(?:me)?|academy|insight|discovery|exploratory)\b") & text.rlike(r"(?i)participants?|cohort|students?|work shadow|program dates|mentorship|workshop")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,3 +94,48 @@ def outside(place: Column, regions: Sequence[Sequence[str]]) -> Column:
 
     found = F.transform(place_parts(place), judge)
     return F.forall(found, lambda x: x == "outside")
+
+
+@dataclass(frozen=True)
+class Region:
+    """A wanted region: terms that name it, and terms of the states or countries that it lies in."""
+
+    label: str
+    match_terms: tuple[str, ...]
+    context_terms: tuple[str, ...] = ()
+    allow_city_only: bool = True
+
+    @classmethod
+    def of(cls, value: Region | str) -> Region:
+        return value if isinstance(value, Region) else cls(value, (value,))
+
+
+def names(text: Column, terms: Sequence[str]) -> Column:
+    """Whether a text holds any of the terms as whole words, in any case."""
+    plain = [t.strip() for t in terms if t.strip()]
+    if not plain:
+        return F.lit(False)
+    return text.rlike(r"(?i)(?<!\w)(?:" + "|".join(rf"\Q{t}\E" for t in plain) + r")(?!\w)")
+
+
+def matches(place: Column, region: Region) -> Column:
+    """Whether a part of the place lies in the region: it names it, and neither its state nor its country says otherwise.
+
+    Context is never borrowed from another part. Where the region has context
+    terms and the part names none of them, a bare city counts only if the
+    region allows it.
+    """
+    context = [region.context_terms]
+    known = wanted(context) if region.context_terms else None
+
+    def inside(part: Column) -> Column:
+        own = part_states(part)
+        hit = names(part, region.match_terms) & ~outside(part, context)
+        if known:
+            said = F.array_distinct(F.concat(part_countries(part, F.array().cast("array<string>")), F.when(F.size(own) > 0, F.array(F.lit("US"))).otherwise(F.array().cast("array<string>"))))
+            hit = hit & (F.size(F.array_except(said, F.array(*(F.lit(c) for c in known[1])))) == 0)
+        if region.context_terms and not region.allow_city_only:
+            hit = hit & names(part, region.context_terms)
+        return hit
+
+    return F.exists(place_parts(place), inside)

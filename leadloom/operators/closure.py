@@ -38,7 +38,7 @@ def streaks(sightings: DataFrame, runs: DataFrame) -> DataFrame:
     ranked = runs.distinct().withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("run")))
     total = ranked.groupBy("source").agg(F.max("place").alias("total"))
     last = sightings.join(ranked, ["source", "run"]).groupBy("entity", "source").agg(F.max("place").alias("last"))
-    return last.join(F.broadcast(total), "source").select("entity", "source", (F.col("total") - F.col("last")).cast("long").alias("misses"))
+    return last.join(total, "source").select("entity", "source", (F.col("total") - F.col("last")).cast("long").alias("misses"))
 
 
 def reopenings(sightings: DataFrame, key: str, day: str, gap: Column | int) -> DataFrame:

@@ -8,6 +8,10 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions import regions
+from leadloom.functions.constraints import candidate_funding, long_program, short_program
+from leadloom.functions.regions import Region
+
 # Fixed values.
 LANES = ("early-year-programs", "engineering-internships", "research", "technical-commercial", "campus-networking", "scholarships", "other")
 EARLY = r"(?i)\bfreshm[ae]n\b|\bsophomores?\b|\b(?:first|second|1st|2nd)[ -]year\b"
@@ -31,7 +35,7 @@ class Profile:
     citizenships: tuple[str, ...] = ()
     institution_regions: tuple[str, ...] = ()
     max_required_experience_years: int | None = None
-    location_regions: tuple[str, ...] = ()
+    location_regions: tuple[Region | str, ...] = ()
     location_policy: str = "prefer-local"
     remote_work: bool | None = None
     term_time_work: bool | None = None
@@ -148,18 +152,28 @@ def screen(rows: DataFrame, p: Profile) -> DataFrame:
     text = F.concat_ws(" ", "title", "description", "requirements_text", "major_language")
     hits = F.array_compact(F.array(*(F.when(F.lower(text).rlike(r"(?<![a-z0-9_])\Q" + k.lower() + r"\E(?![a-z0-9_])"), k) for k in p.interest_keywords))) if p.interest_keywords else F.array().cast("array<string>")
     major = F.coalesce("major_language", blank)
-    studied = F.lit(False)
-    for m in p.majors:
-        studied = studied | F.lower(major).contains(m.lower())
+    studied = regions.names(major, p.majors)
     place, local = F.coalesce("location_text", blank), F.lit(False)
-    for region in p.location_regions:
-        local = local | F.lower(place).contains(region.lower())
+    wanted = [Region.of(r) for r in p.location_regions]
+    for region in wanted:
+        local = local | regions.matches(place, region)
     remote = c("remote_signal") == "remote"
     old = c("career_stage") == "experienced"
     experience = c("experience_min_years")
     limit = p.max_required_experience_years
     term = intern & F.concat_ws(" ", title, need).rlike(r"(?i)\b(?:winter|spring|fall|autumn)\b.{0,25}\b(?:20\d{2}|internship|placement|co.op|term)\b")
+    # elsewhere: a place that no wanted region holds; short programs that pay the way are an exception, if the policy has one
+    rules = F.coalesce(c("constraints"), F.array().cast(RULES))
+    elsewhere = ~F.coalesce(remote, F.lit(False)) & F.lit(bool(wanted)) & (place != "") & ~local
+    strict = F.lit(p.location_policy != "prefer-local")
+    far = regions.outside(place, [r.context_terms for r in wanted])
+    visit = F.lit(p.location_policy == "local-jobs-funded-programs") & c("focus.program") & ~F.coalesce(c("engagement_type").isin("co-op", "full-time", "contract"), F.lit(False)) & ~intern
+    optional = lambda name: c(name) if name in rows.columns else F.lit(None).cast("string")
+    funding = candidate_funding(rules, optional("relocation_text"), optional("compensation_text"), need, c("description"))
+    paid_visit = visit & short_program(rules, optional("event_start_date"), optional("event_end_date"), F.concat_ws(" ", "title", "requirements_text", "description")) & (funding["state"] == "covered")
+    refused = elsewhere & strict & far & ~paid_visit & (~visit | (funding["state"] == "uncovered") | long_program(rules))
     mismatches = [
+        ("location-outside-regions", refused, place),
         ("source-closed", ~F.coalesce("active", F.lit(True)) | (c("application_state") == "closed"), c("application_state")),
         ("experienced-role", old & F.lit(p.student_status == "undergraduate") & ~(intern & c("engagement_type").isin("internship", "co-op")), title),
         ("graduate-degree-required", c("constraints").isNull() & c("required_degree").isin("masters", "doctorate") & F.lit(p.degree in ("bachelors", "associate", "high-school")), need),
@@ -169,6 +183,7 @@ def screen(rows: DataFrame, p: Profile) -> DataFrame:
         ("term-time-outside-preference", term & F.lit(p.term_time_work is False), title),
     ]
     matches = [
+        ("funded-program-travel", elsewhere & strict & paid_visit, funding["evidence"]),
         ("opportunity-focus-match", c("focus.match") == "preferred", title), ("student-language", F.lit(p.student_status == "undergraduate") & standing.rlike("(?i)undergrad|enrolled|pursuing"), standing),
         ("program-year-match", known_year & F.array_contains(years, F.lit(p.year_in_program or 0)), standing), ("major-mentioned", (major != "") & studied, major), ("location-match", local, place), ("interest-match", F.size(hits) > 0, F.array_join(hits, ", ")),
     ]
@@ -176,7 +191,7 @@ def screen(rows: DataFrame, p: Profile) -> DataFrame:
     questions = [
         (old & intern, "The experienced-role label conflicts with the title; confirm the role level."), (known_year & F.lit(p.year_in_program is None), "Confirm whether class standing means units or years in program."),
         ((major != "") & ~studied, "Check whether your major satisfies the source's rule."), (experience.isNotNull() & F.lit(limit is None), "Confirm experience requirement and your qualifying experience."),
-        (remote & F.lit(p.remote_work is not False), "Confirm geographic and work-authorization restrictions for remote work."), (~remote & F.lit(bool(p.location_regions)) & (place != "") & ~local, "Confirm location or relocation feasibility."),
+        (remote & F.lit(p.remote_work is not False), "Confirm geographic and work-authorization restrictions for remote work."), (elsewhere & strict & visit & ~paid_visit & ~refused, "Confirm short program duration and covered travel."), (elsewhere & ~refused & ~(strict & visit), "Confirm location or relocation feasibility."),
         ((place == "") & ~c("engagement_type").isin("event", "program"), "Work location has not been captured."), (need.rlike(r"(?i)\bGPA\b|grade.point"), "Confirm the applicable GPA and how the program measures it."),
         (need.rlike(r"(?i)prerequisites?|completed.{0,40}courses?|(?:must|required).{0,50}coursework"), "Confirm required coursework against your completed courses."), (term & F.lit(p.term_time_work is None), "Confirm term-time work availability."),
         (F.size(hits) == 0, "Personal relevance is unclear from the captured title and requirements." if p.interest_keywords else "Configure interest keywords for personal relevance screening."),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["identity", "texts", "joining", "changes", "ranking", "reviewing", "feed", "events", "running", "acting", "landing", "exchanging"]
+GROUPS = ["identity", "texts", "joining", "changes", "ranking", "reviewing", "feed", "events", "running", "acting", "landing", "exchanging", "judging"]
 
 
 def _modules():
