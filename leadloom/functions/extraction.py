@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ MAJOR = (
     r"(?=\s*(?:$|[.,;:/]|only\b|required\b|preferred\b|students?\b|is\b|are\b))|"
     r"\b(?:[a-z]+ engineering|computer science|physics|mathematics|chemistry|biology)\s+(?:only|required)\b"
 )
+# Words of a listing that stand for a fact by themselves, and statements about founders instead of applicants.
+EXPLICIT = (
+    ("class_year_language", r"(?i)(freshman|sophomore|junior|senior|first[- ]year|second[- ]year|rising (freshman|sophomore|junior|senior)|undergrad\w*)"),
+    ("graduation_window_language", r"(?i)(graduat\w+ (date|window|between)|class of \d{4})"),
+    ("work_auth_language", r"(?i)(work authorization|sponsorship|authorized to work|us citizen|permanent resident|visa sponsor)"),
+)
+FOUNDERS = r"(?i)our (?:founders?|team|CEO)|\b(?:founder|cofounder)\b"
+APPLICANTS = r"(?i)\b(?:applicants?|candidates?|students?|must|required|requires?|eligible|seeking)\b"
 DEADLINE = r"(?i)(?:application|apply|applications)[^.\n]{0,60}(?:deadline|due|by|until)|application deadline"
 DATE = r"\b(\d{4}-\d{2}-\d{2}|[A-Z][a-z]+\s+\d{1,2},?\s+\d{4})\b"
 
@@ -94,6 +104,25 @@ def facts(said: Column) -> dict[str, Column]:
     return out
 
 
+def academic_major(text: Column) -> Column:
+    """Statements that ask for a field of study, within 600 characters; a founder's own field is none."""
+    body = lambda x: F.substring_index(x, "\n", -1)
+    asks = lambda x: x.rlike(MAJOR) & ~(body(x).rlike(FOUNDERS) & ~body(x).rlike(APPLICANTS))
+    return bounded_join(F.filter(said(text), asks), 600)
+
+
+def required_statements(text: Column) -> Column:
+    """Statements without those that only prefer something."""
+    return F.array_join(F.filter(said(text), lambda x: ~x.rlike(OPTIONAL)), "\n")
+
+
+def explicit_language(given: Mapping[str, Column], combined: Column, requirements: Column) -> dict[str, Column]:
+    """Class year, graduation, field of study and work authorisation: what a source gave, else its own words in the text."""
+    out = {name: F.coalesce(given[name], F.nullif(F.regexp_substr(combined, F.lit(pattern)), F.lit(""))) for name, pattern in EXPLICIT}
+    out["major_language"] = academic_major(F.coalesce(F.nullif(given["major_language"], F.lit("")), F.nullif(requirements, F.lit("")), combined))
+    return out
+
+
 def description_location(text: Column) -> Column:
     """Lines that state a location, distinct, joined; at most 600 characters."""
     lines = F.split(decoded_text(text), "\n")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import ids
 from leadloom.functions.constraints import program_evidence, staff_role
+from leadloom.functions.extraction import explicit_language
 from leadloom.functions.routing import (
     DEGREE_SPELLINGS, DEGREE_VALUES, GRADUATE_TITLE, KIND_SPELLINGS, KIND_VALUES, PREFERRED_DEGREE, STAGE_SPELLINGS, STAGE_VALUES, canonical, experience_text, experience_years, first_value, required_degree,
 )
+from leadloom.functions.text import infer_season
 from leadloom.functions.urls import normalize_url, site_of
 
 # The kind of engagement, by the first pattern that fits.
@@ -57,12 +59,13 @@ def place_parts(place: Column) -> dict[str, Column]:
     return {"location_city": F.get(parts, 0), "location_state": F.get(parts, 1), "location_country": country}
 
 
-def normalize(observations: DataFrame, sources: DataFrame) -> DataFrame:
+def normalize(observations: DataFrame, sources: DataFrame, seasons: Mapping[str, str] | None = None) -> DataFrame:
     """Entity rows of observations; ``sources`` is the registry, small enough to join by hash.
 
     With a column ``constraints`` (the rows of parse_constraints as an array)
     the required degree follows its clauses; with ``extracted``, years are not
     looked for in the text of sources whose requirements were read already.
+    seasons: names of seasons as they are stated, with their usual form.
     """
     s = sources.select("source_id", F.col("organization").alias("s_org"), F.get("categories", 0).alias("category"), "official", "landing_url")
     o = observations.join(s, "source_id", "left")
@@ -88,6 +91,7 @@ def normalize(observations: DataFrame, sources: DataFrame) -> DataFrame:
     stage = F.when(title.rlike(r"(?i)^\s*(?:(?:senior|sr\.?)\s+)?director\b(?!['’]s\b)"), "experienced").otherwise(stage)
     stage = F.coalesce(canonical(c("career_stage"), STAGE_SPELLINGS, STAGE_VALUES), F.when((stage == "unknown") & kind.isin("internship", "co-op", "research", "fellowship"), "student").when((stage == "unknown") & (F.lower("employment_type") == "new-grad"), "new-grad").otherwise(stage))
     place = F.lower(F.coalesce("location_text", F.lit("")))
+    words = F.concat_ws(" ", "title", "description", "requirements_text")
     rules = c("constraints") if "constraints" in observations.columns else F.lit(None).cast(RULES)
     years = experience_text(c("experience_requirement_text"), text, c("extracted") if "extracted" in observations.columns else F.lit(False))
     remote = F.coalesce("remote_signal", F.when(place.rlike("remote|anywhere"), "remote").when(place.contains("hybrid"), "hybrid"))
@@ -97,6 +101,8 @@ def normalize(observations: DataFrame, sources: DataFrame) -> DataFrame:
         "entity_id": ids.hashed_id(key), "organization": F.coalesce("organization", "s_org"), "canonical_url": url, "official_url": F.when(c("official"), c("canonical_url")), "remote_signal": remote, "employment_type": stated,
         "engagement_type": kind, "career_stage": stage, "required_degree": required_degree(rules, F.coalesce(canonical(c("required_degree"), DEGREE_SPELLINGS, DEGREE_VALUES), first_of(text, REQUIRED_DEGREE))),
         "preferred_degree": F.coalesce(canonical(c("preferred_degree"), DEGREE_SPELLINGS, DEGREE_VALUES), first_value(text, PREFERRED_DEGREE)), "graduate_title": title.rlike(GRADUATE_TITLE), "experience_requirement_text": years, "landing": F.coalesce("landing_url", site_of(c("canonical_url"))),
+        **explicit_language({n: c(n) for n in ("class_year_language", "graduation_window_language", "major_language", "work_auth_language")}, words, c("requirements_text")),
+        "season": infer_season(F.concat_ws(" ", "title", "description", "season"), c("season"), seasons or {}),
         "description_hash": ids.description_hash(c("description")), **place_parts(c("location_text")), **experience_years(years),
     }
     return o.withColumns(named).drop("s_org", "landing_url")
@@ -138,3 +144,9 @@ def prune_plan(tables: Mapping[str, tuple[DataFrame, str, int]], now: Column) ->
 def prune(rows: DataFrame, at: str, days: int, now: Column) -> DataFrame:
     """The rows that a retention run keeps; those without a time stay."""
     return rows.where(F.coalesce(F.timestamp_diff("SECOND", F.col(at), now) <= days * 86400, F.lit(True)))
+
+
+def backfilled(entities: DataFrame, derived: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "entity_id") -> DataFrame:
+    """``derived`` with rows for the entities that have none yet (written before the columns existed), computed from their records; others stay."""
+    missing = entities.join(derived.select(key), key, "left_anti")
+    return derived.unionByName(compute(missing).select(*derived.columns))

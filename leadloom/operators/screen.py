@@ -14,6 +14,9 @@ from leadloom.functions.regions import Region
 
 # Fixed values.
 LANES = ("early-year-programs", "engineering-internships", "research", "technical-commercial", "campus-networking", "scholarships", "other")
+ACTIONS = (
+    "respect-user-decision", "recoverable-exclusion", "role-outside-focus", "reuse-findings", "await-new-evidence", "official-research", "outside-stage-focus", "clarify-profile", "clarify-source", "low-priority",
+)
 EARLY = r"(?i)\bfreshm[ae]n\b|\bsophomores?\b|\b(?:first|second|1st|2nd)[ -]year\b"
 UPPER = r"(?i)\bjuniors?\b|\bseniors?\b|\b(?:third|fourth|3rd|4th)[ -]year\b"
 PROGRAM = r"(?i)\bprogram(?:me)?s?\b(?!\s+(?:manager|director|management|coordinator|officer))|\bscholarship|\bfellowship|\bsummit|\bacademy|\bworkshop|\bconference|\bopen day|\bspring week"
@@ -205,3 +208,56 @@ def screen(rows: DataFrame, p: Profile) -> DataFrame:
     state = F.when(F.size("__f") > 0, "low-relevance").when(F.size("__q") > 0, "clarify").otherwise("worth-investigating")
     finding = F.struct(state.alias("state"), F.col("__r").alias("reasons"), F.col("__q").alias("questions"), F.col("__f").alias("failures"))
     return rows.withColumn("finding", finding).drop("__c", "__f", "__q", "__r")
+
+
+# Fields of a profile, and how the questions begin that an entry there would answer.
+PROFILE_QUESTIONS = {
+    "study_progress": "Confirm completed study duration", "completed_degrees": "Confirm completed degrees", "term_time_work": "Confirm term-time work availability", "security_clearance": "Confirm additional security-clearance",
+    "gpa": "Confirm the applicable GPA", "coursework": "Confirm required coursework", "work_authorization": "Confirm the exact work-authorization", "class_standing": "Confirm whether class standing",
+    "experience": "Confirm experience requirement",
+}
+
+
+def asked_of_profile(questions: Column) -> Column:
+    """The profile fields that a finding's questions ask for, in the order of PROFILE_QUESTIONS."""
+    begins = lambda start: lambda q: F.startswith(q, F.lit(start))
+    return F.array_compact(F.array(*(F.when(F.exists(questions, begins(start)), f) for f, start in PROFILE_QUESTIONS.items())))
+
+
+def asked_of_source(questions: Column) -> Column:
+    """How many questions only the source can answer; class standing counts as one of them too."""
+    own = [start for f, start in PROFILE_QUESTIONS.items() if f != "class_standing"]
+
+    def personal(q: Column) -> Column:
+        hit = F.lit(False)
+        for start in own:
+            hit = hit | F.startswith(q, F.lit(start))
+        return hit
+
+    return F.size(F.filter(questions, lambda q: ~personal(q)))
+
+
+def profile_question_counts(rows: DataFrame) -> DataFrame:
+    """(field, affected_leads): how many leads an entry in the profile would help, of those that are selected or wait for it.
+
+    rows: finding, selected, action.
+    """
+    waiting = rows.where("selected OR action = 'clarify-profile'")
+    return waiting.select(F.explode(asked_of_profile(F.col("finding.questions"))).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("affected_leads"))
+
+
+def feed_counters(rows: DataFrame) -> DataFrame:
+    """One row of counters of a screened collection, in one pass: by state, lane and action, and what is covered.
+
+    rows: finding, lane, action, selected, current (its screening is saved and
+    up to date), research, actionable, imported.
+    """
+    state = F.col("finding.state")
+    worth, low = state == "worth-investigating", state == "low-relevance"
+    counts = lambda column, names: F.create_map(*(x for n in names for x in (F.lit(n), F.count_if(column == n))))
+    return rows.agg(
+        F.count(F.lit(1)).alias("collection_count"), F.count_if("imported").alias("reviewed_count"), counts(state, ("worth-investigating", "clarify", "low-relevance")).alias("state_counts"), counts(F.col("lane"), LANES).alias("lane_counts"),
+        counts(F.col("action"), ACTIONS).alias("action_counts"), F.count_if("current").alias("screened"), F.count_if(F.col("current") & worth).alias("plausible"), F.count_if(F.col("research") != "not-checked").alias("officially_checked"),
+        F.count_if(F.col("actionable") & ~low & (F.col("research") != "checked-current")).alias("awaiting_investigation"), F.count_if(~F.col("current")).alias("unsaved_screening"), F.count_if("selected").alias("selected_for_review"),
+        F.count_if(F.col("selected") & (state == "clarify")).alias("selected_needing_clarification"),
+    )
