@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import runs
+from leadloom.operators import export, identity_map, runs
 from leadloom.operators.export import Store
 from leadloom.plans.base import table
 from leadloom.session import shared_folder
@@ -70,4 +70,49 @@ SELECT entity_id, t AS title, towner AS title_owner, dl AS deadline, downer AS d
 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC) AS z FROM r) JOIN m USING (entity_id) WHERE z = 1
 """
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((l1_composed_runs, L1),)}
+PAGE_BYTES = 1500
+
+
+def l2_delta_documents(spark, d):
+    """Suppliers as JSON pages of a delta, each within its bytes, with what every page says about itself."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    docs = export.delta_documents(rows, "supplier", {"run": "r1"}, PAGE_BYTES)
+    return docs.select("page", "file", F.octet_length("document").cast("long").alias("bytes"), F.sha2("document", 256).alias("document_sha256"))
+
+
+_FILL = "SELECT o.n, CASE WHEN r.used + o.s > {limit} THEN r.page + 1 ELSE r.page END, CASE WHEN r.used + o.s > {limit} THEN b.base + {d} * 3 + o.s ELSE r.used + o.s END FROM r{d} r JOIN o ON o.n = r.n + 1, b"
+_ROUNDS = ",\n".join(f"r{d} AS (SELECT n, 1::BIGINT AS page, (b.base + {d} * 3 + s)::BIGINT AS used FROM o, b WHERE n = 1 UNION ALL {_FILL.format(limit=PAGE_BYTES, d=d)})" for d in (1, 2, 3))
+L2 = f"""
+WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, '{{"name":"' || s_name || '","nation":' || s_nationkey || ',"supplier":' || s_suppkey || '}}' AS j, length(j) + 1 AS s FROM supplier
+), b AS (SELECT '{{"run":"r1","count":' || count(*) || ',"estimated_chars":' AS head, length(head) + length(',"pagination":{{"next_file":"delta_packet.p.json","page":,"total_pages":}},"items":[]}}') + length('{PAGE_BYTES}') - 1 AS base FROM o
+), {_ROUNDS}
+, p AS (SELECT n, page FROM r1 WHERE (SELECT max(page) FROM r1) < 10 UNION ALL SELECT n, page FROM r2 WHERE (SELECT max(page) FROM r1) >= 10 AND (SELECT max(page) FROM r2) < 100
+  UNION ALL SELECT n, page FROM r3 WHERE (SELECT max(page) FROM r1) >= 10 AND (SELECT max(page) FROM r2) >= 100
+), t AS (SELECT max(page) AS total FROM p
+), g AS (SELECT page, string_agg(j, ',' ORDER BY n) AS items FROM p JOIN o USING (n) GROUP BY 1
+), x AS (SELECT page, b.head AS head, ',"pagination":{{"next_file":' || CASE WHEN page < total THEN '"delta_packet.p' || (page + 1) || '.json"' ELSE 'null' END || ',"page":' || page || ',"total_pages":' || total || '}},"items":[' || items || ']}}' AS rest FROM g, t, b
+), y AS (SELECT page, head || CASE WHEN length((length(head) + length(rest) + 3)::VARCHAR) = 3 THEN length(head) + length(rest) + 3 ELSE length(head) + length(rest) + 4 END || rest AS document FROM x)
+SELECT page, CASE WHEN page = 1 THEN 'delta_packet.json' ELSE 'delta_packet.p' || page || '.json' END AS file, length(document) AS bytes, sha256(document) AS document_sha256 FROM y
+"""
+
+
+def l3_closed_merges(spark, d):
+    """Users merged by their first event into a smaller one, chains closed; what each kept user then has of every kind."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    kept = F.col("user_id") - 1 - F.col("k") % 9
+    edges = e.where("event_type = 'signup'").where((kept >= 0) & (F.col("k") % 3 == 0)).select(F.col("user_id").alias("merged_id"), kept.alias("kept_id"), F.struct("ts", "event_id").alias("order"))
+    child = e.groupBy(F.col("user_id").alias("entity_id"), F.col("event_type").alias("source")).agg(F.min("event_id").alias("first_event"))
+    return identity_map.renamed(child, identity_map.closed_map(edges), ("source",))
+
+
+L3 = """
+WITH RECURSIVE e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events
+), m AS (SELECT user_id AS merged, user_id - 1 - k % 9 AS kept FROM e WHERE event_type = 'signup' AND user_id - 1 - k % 9 >= 0 AND k % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+), r AS (SELECT merged, kept FROM m UNION ALL SELECT r.merged, m.kept FROM r JOIN m ON m.merged = r.kept
+), root AS (SELECT merged, min(kept) AS kept FROM r GROUP BY 1
+), c AS (SELECT user_id, event_type AS source, min(event_id) AS first_event FROM e GROUP BY 1, 2
+), n AS (SELECT coalesce(kept, user_id) AS entity_id, source, first_event, row_number() OVER (PARTITION BY coalesce(kept, user_id), source ORDER BY kept IS NOT NULL, user_id) AS z FROM c LEFT JOIN root ON merged = user_id)
+SELECT entity_id, source, first_event FROM n WHERE z = 1
+"""
+
+QUERIES = {f.__name__: (f, sql) for f, sql in ((l1_composed_runs, L1), (l2_delta_documents, L2), (l3_closed_merges, L3))}
