@@ -6,11 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from leadloom.functions import constraints, families, routing
-from leadloom.operators import screen
+from leadloom.functions import constraints, extraction, families, routing
+from leadloom.operators import normalize, screen
 from leadloom.plans.base import table
 from leadloom.session import materialize
-from leadloom.sources import readers
+from leadloom.sources import readers, schema
 
 #: The format of a nation's board, by its key; the last one is no format.
 FORMATS = ("greenhouse", "lever", "ashby", "smartrecruiters", "workday", "jsonfeed", "csvfeed", "rss", "sitemap", "githublist", "githublist", "htmllist", "carrier-pigeon")
@@ -134,4 +134,84 @@ WITH p AS (SELECT p_partkey, p_size, p_brand, list_filter([CASE WHEN p_size & 1
 SELECT p_partkey, CASE WHEN one = -1 OR (one IS NULL AND two IS NULL) THEN 'unknown' ELSE ['bachelors', 'masters', 'doctorate'][greatest(one, two)] END AS degree FROM q
 """
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((n1_landed_observations, N1), (n2_landed_checks, N2), (n3_scored_parts, N3), (n4_required_degree, N4))}
+
+def n5_constraint_rows(spark, d):
+    """Requirement texts of parts, sentence by sentence from their columns, parsed into constraint rows."""
+    p, size = table(spark, d, "part"), F.col("p_size")
+    bit = lambda i, text: F.when(F.floor(size / 2**i) % 2 == 1, text)
+    lines = [
+        bit(0, F.concat(F.lit("Must graduate between May 202"), (F.col("p_partkey") % 8).cast("string"), F.lit(" and June 2028."))), bit(1, F.lit("You must be a U.S. citizen.")),
+        bit(2, F.when(F.col("p_brand").endswith("1"), "Travel costs are not covered.").otherwise("Travel costs are covered.")), bit(3, F.concat(F.lit("A "), size.cast("string"), F.lit(" week program in summer."))),
+        bit(4, F.lit("Applicants must be enrolled at a UK university.")), bit(5, F.lit("Law school students are eligible.")), F.when(F.col("p_brand").endswith("2"), "Currently pursuing a master's degree."),
+    ]
+    rows = constraints.parse_constraints(p.select("p_partkey", F.concat_ws("\n", *lines).alias("text")), "p_partkey", "text")
+    spans = F.array_join(F.transform("windows", lambda w: F.concat_ws("/", w["lo"], w["hi"])), ",")
+    return rows.select("p_partkey", F.col("n").cast("int").alias("n"), "kind", "evidence", "modality", "state", spans.alias("windows"), "funding", F.array_join("regions", ",").alias("regions"), F.array_join("degrees", ",").alias("degrees"))
+
+
+N5 = """
+WITH p AS (SELECT p_partkey, p_size AS s, p_brand[-1] AS b, p_partkey % 8 AS y FROM part
+), l AS (SELECT p_partkey, unnest([
+  CASE WHEN s & 1 > 0 THEN {'o': 1, 'kind': 'graduation', 'evidence': 'Must graduate between May 202' || y || ' and June 2028.', 'modality': 'required', 'state': NULL, 'windows': '202' || y || '-05/2028-06', 'funding': NULL, 'regions': NULL, 'degrees': NULL} END,
+  CASE WHEN s & 2 > 0 THEN {'o': 2, 'kind': 'work-authorization', 'evidence': 'You must be a U.S. citizen.', 'modality': 'required', 'state': NULL, 'windows': NULL, 'funding': NULL, 'regions': NULL, 'degrees': NULL} END,
+  CASE WHEN s & 4 > 0 THEN {'o': 3, 'kind': 'travel-funding', 'evidence': CASE b WHEN '1' THEN 'Travel costs are not covered.' ELSE 'Travel costs are covered.' END, 'modality': 'unspecified', 'state': NULL, 'windows': NULL, 'funding': CASE b WHEN '1' THEN 'uncovered' ELSE 'covered' END, 'regions': NULL, 'degrees': NULL} END,
+  CASE WHEN s & 8 > 0 THEN {'o': 4, 'kind': 'duration', 'evidence': 'A ' || s || ' week program in summer.', 'modality': 'unspecified', 'state': NULL, 'windows': NULL, 'funding': NULL, 'regions': NULL, 'degrees': NULL} END,
+  CASE WHEN s & 16 > 0 THEN {'o': 5, 'kind': 'institution-region', 'evidence': 'Applicants must be enrolled at a UK university.', 'modality': 'required', 'state': NULL, 'windows': NULL, 'funding': NULL, 'regions': 'UK', 'degrees': NULL} END,
+  CASE WHEN s & 32 > 0 THEN {'o': 6, 'kind': 'professional-enrollment', 'evidence': 'Law school students are eligible.', 'modality': 'required', 'state': NULL, 'windows': NULL, 'funding': NULL, 'regions': NULL, 'degrees': NULL} END,
+  CASE WHEN b = '2' THEN {'o': 7, 'kind': 'education', 'evidence': 'Currently pursuing a master''s degree.', 'modality': 'unspecified', 'state': 'enrolled', 'windows': NULL, 'funding': NULL, 'regions': NULL, 'degrees': 'masters'} END]) AS x FROM p)
+SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY x.o))::INTEGER AS n, x.kind AS kind, x.evidence AS evidence, x.modality AS modality, x.state AS state, x.windows AS windows, x.funding AS funding, x.regions AS regions, x.degrees AS degrees FROM l WHERE x IS NOT NULL
+"""
+
+
+def n6_text_facts(spark, d):
+    """Facts of descriptions that say their part's numbers: pay, years, deadline, place."""
+    size = F.col("p_size")
+    day = F.lpad((size % 28 + 1).cast("string"), 2, "0")
+    text = F.concat_ws(
+        "\n", F.lit("We build boats."), F.when(size % 2 == 0, F.concat(F.lit("We pay $"), size.cast("string"), F.lit(" per hour."))), F.when(size % 3 == 0, F.concat(F.lit("At least "), size.cast("string"), F.lit(" years of experience in sailing required."))),
+        F.when(size % 5 > 0, F.concat(F.lit("Applications are due by 2026-05-"), day, F.when(size % 5 == 1, " or 2026-09-01.").otherwise("."))), F.concat(F.lit("Location: "), F.col("p_brand")),
+    )
+    rows = table(spark, d, "part").select("p_partkey", text.alias("text")).withColumn("said", extraction.said(F.col("text")))
+    found = extraction.facts(F.col("said"))
+    names = ("compensation_text", "experience_requirement_text", "requirements_text", "deadline", "work_auth_language")
+    return rows.select("p_partkey", *(found[n].alias(n) for n in names), extraction.description_location(F.col("text")).alias("place"))
+
+
+N6 = """
+WITH p AS (SELECT p_partkey, p_size AS s, p_brand, CASE WHEN p_size % 3 = 0 THEN 'At least ' || p_size || ' years of experience in sailing required.' END AS years FROM part)
+SELECT p_partkey, CASE WHEN s % 2 = 0 THEN 'We pay $' || s || ' per hour.' END AS compensation_text, years AS experience_requirement_text, years AS requirements_text,
+  CASE WHEN s % 5 > 1 THEN '2026-05-' || lpad((s % 28 + 1)::VARCHAR, 2, '0') END AS deadline, NULL::VARCHAR AS work_auth_language, p_brand AS place FROM p
+"""
+
+ROLES = (("Firmware Intern Summer 2026", "internship", "student"), ("Senior Software Engineer", "unknown", "experienced"), ("Research Assistant", "research", "student"), ("New Grad Developer", "unknown", "new-grad"), ("Co-op Technician", "co-op", "student"))
+
+
+def n7_normal_form(spark, d):
+    """Parts as observations of suppliers, in their normal form: identity, places, kind, stage, degree, years, season."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    of = F.get(F.array(*(F.lit(r[0]) for r in ROLES)), size % 5)
+    place = F.when(F.col("p_brand").endswith("1"), "Austin, TX").when(F.col("p_brand").endswith("2"), "Paris, Ile, France").when(F.col("p_brand").endswith("3"), "Remote - USA")
+    given = {
+        "title": of, "canonical_url": F.concat(F.lit("http://Jobs.Example/p/"), key, F.lit("?utm_source=x&b=2&a=1#top")), "location_text": place,
+        "requirements_text": F.concat_ws(" ", F.when(size % 7 == 0, F.concat(F.lit("At least "), size.cast("string"), F.lit(" years."))), F.when(size % 3 == 0, "Master's degree required.")),
+    }
+    rows = table(spark, d, "part").select((F.col("p_partkey") % 10).cast("string").alias("source_id"), F.col("p_partkey").alias("ordinal"), *(given.get(f, F.lit(None).cast("string")).alias(f) for f in schema.FIELDS))
+    sources = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_name").alias("organization"), F.array(F.lit("boats")).alias("categories"), (F.col("s_acctbal") >= 0).alias("official"), F.lit(None).cast("string").alias("landing_url"))
+    out = normalize.normalize(rows, sources)
+    return out.select(
+        F.col("ordinal").alias("p_partkey"), "entity_id", "canonical_url", "organization", F.col("official_url").isNotNull().alias("official"), "landing", "location_city", "location_state", "location_country", "remote_signal", "engagement_type",
+        "career_stage", "required_degree", "experience_min_years", "season",
+    )
+
+
+N7 = f"""
+WITH p AS (SELECT p_partkey, p_size AS s, p_brand[-1] AS b, 'https://jobs.example/p/' || p_partkey || '?a=1&b=2' AS url, {[r[1] for r in ROLES]}[p_size % 5 + 1] AS kind, {[r[2] for r in ROLES]}[p_size % 5 + 1] AS stage FROM part)
+SELECT p_partkey, 'opp_' || sha256('url:' || url)[1:32] AS entity_id, url AS canonical_url, s_name AS organization, coalesce(s_acctbal >= 0, FALSE) AS official, 'http://Jobs.Example' AS landing,
+  CASE b WHEN '1' THEN 'Austin' WHEN '2' THEN 'Paris' WHEN '3' THEN 'Remote - USA' END AS location_city, CASE b WHEN '1' THEN 'TX' WHEN '2' THEN 'Ile' END AS location_state, CASE b WHEN '2' THEN 'France' WHEN '3' THEN 'USA' END AS location_country,
+  CASE WHEN b = '3' THEN 'remote' END AS remote_signal, kind AS engagement_type, stage AS career_stage, CASE WHEN s % 3 = 0 THEN 'masters' ELSE 'unknown' END AS required_degree, CASE WHEN s % 7 = 0 THEN s END AS experience_min_years,
+  CASE WHEN s % 5 = 0 THEN 'summer-2026' END AS season FROM p LEFT JOIN supplier ON s_suppkey = p_partkey % 10
+"""
+
+QUERIES = {f.__name__: (f, sql) for f, sql in (
+    (n1_landed_observations, N1), (n2_landed_checks, N2), (n3_scored_parts, N3), (n4_required_degree, N4), (n5_constraint_rows, N5), (n6_text_facts, N6), (n7_normal_form, N7),
+)}
