@@ -80,22 +80,26 @@ class Store:
 
     def tables(self, name: str) -> dict[str, DataFrame]:
         """The tables of the newest generation by name."""
-        note = self.note(name)
-        return {t: self.spark.read.parquet(f"{self.root}/{name}/{folder}") for t, folder in note.get("tables", {}).items()}
+        return {t: self.spark.read.parquet(*(f"{self.root}/{name}/{f}" for f in folders)) for t, folders in self.note(name).get("tables", {}).items()}
 
     def write(self, name: str, df: DataFrame, **note) -> int:
         return self.commit(name, {"": df}, **note)
 
-    def commit(self, name: str, tables: Mapping[str, DataFrame], **note) -> int:
+    def commit(self, name: str, tables: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None, **note) -> int:
         """Write all tables of the next generation, then the one pointer that names them.
 
-        Folders are the writer's own, so of two writers of one generation the
-        second fails at the pointer and harms nothing.
+        Of tables in ``added`` only new rows are written; the pointer names
+        their folders beside those of the generation before. Folders are the
+        writer's own, so of two writers of one generation the second fails at
+        the pointer and harms nothing.
         """
         gen, own = self.generation(name) + 1, uuid.uuid4().hex[:12]
-        folders = {t: f"gen={gen}/{own}" + (f"/{t}" if t else "") for t in tables}
-        for t, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/{folders[t]}")
+        had = self.note(name).get("tables", {})
+        folders: dict[str, list[str]] = {}
+        for t, df in {**tables, **(added or {})}.items():
+            folder = f"gen={gen}/{own}" + (f"/{t}" if t else "")
+            df.write.parquet(f"{self.root}/{name}/{folder}")
+            folders[t] = [*(had.get(t, []) if t in (added or {}) else []), folder]
         self.put(f"{name}/current-{gen}.json", json.dumps({"gen": gen, "tables": folders, **note}, sort_keys=True))
         return gen
 

@@ -134,8 +134,8 @@ def score(entities: DataFrame) -> DataFrame:
 
 def step(
     state: Mapping[str, DataFrame], rows: DataFrame, checks: DataFrame, sources: DataFrame, run_id: str, at: str, threshold: int = 3, scored: Callable[[DataFrame], DataFrame] = score
-) -> dict[str, DataFrame]:
-    """The next state after one run.
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(tables of the next state that are new as a whole, new rows of tables that only grow) after one run.
 
     rows: (source_id, ordinal, entity_id, canonical_url, organization, provider,
     provider_req_id, evidence, landing, the owned fields, extracted), of checks
@@ -146,7 +146,8 @@ def step(
     ``rows`` are null. Rows without an id, or of unknown sources, are left out;
     of rows of a source with one url (or id, without url) the first counts. No
     rows at all still count misses. Change ids are dense and follow those of
-    the state.
+    the state. Logs and histories only grow, unless the run merges entities:
+    then they are rewritten under the kept ids.
     """
     spark, now = sources.sparkSession, F.to_timestamp(F.lit(at))
     s = sources.select("source_id", "place", "official", "enabled", "quarantined")
@@ -242,7 +243,7 @@ def step(
     made = begin.select(F.col("target").alias("entity_id"), "seq", F.lit(0).alias("part"), F.lit("new").alias("change_type"), none.alias("fields"))
     ended = gone.select("entity_id", F.lit(None).cast(kind).alias("seq"), F.lit(0).alias("part"), F.lit(CLOSED).alias("change_type"), none.alias("fields"))
     log = made.unionByName(log_of(events)).unionByName(ended)
-    start = state["changes"].agg(F.max("change_id")).first()[0] or 0
+    start = state["runs"].agg(F.max("last_change_id")).first()[0] or 0
     log = numbered(log, [F.col("seq").asc_nulls_last(), "entity_id", "part"], start).withColumns({"run_id": F.lit(run_id), "detected_at": now})
 
     record = F.to_json(F.struct("organization", "canonical_url", *OWNED))
@@ -255,12 +256,15 @@ def step(
     summary = [(run_id, ok[0], ok[1], ok[0] - ok[1], seen, n[0], events.where("size(events) > 0").count(), n[1], n[2] or start)]
     names = "run_id string, sources_attempted long, sources_succeeded long, sources_failed long, records_seen long, entities_new long, entities_changed long, entities_closed long, last_change_id long"
     decided = merges.select("kept_id", "merged_id", F.lit("normalized-url-equal").alias("basis"), F.concat(F.lit("url="), "url").alias("detail"), F.lit(run_id).alias("run_id"), now.alias("decided_at"))
-    add = lambda name, new: state[name].unionByName(_fitted(new, name))
-    return {
+    grown = {"decisions": decided, "observations": history, "changes": log, "checks": checks.withColumns({"run_id": F.lit(run_id), "checked_at": now}), "runs": spark.createDataFrame(summary, names).withColumn("at", now)}
+    grown = {name: _fitted(new, name) for name, new in grown.items()}
+    whole_tables = {
         "entities": whole, "scores": state["scores"].join(fresh.select("entity_id"), "entity_id", "left_anti").unionByName(scores), "provenance": traces, "misses": counted.drop("__missed"),
-        "aliases": state["aliases"].unionByName(titles).distinct(), "decisions": add("decisions", decided), "observations": add("observations", history), "changes": add("changes", log),
-        "checks": add("checks", checks.withColumns({"run_id": F.lit(run_id), "checked_at": now})), "runs": add("runs", spark.createDataFrame(summary, names).withColumn("at", now)),
+        "aliases": state["aliases"].unionByName(titles).distinct(),
     }
+    if not merges.isEmpty():
+        whole_tables |= {name: state[name].unionByName(grown.pop(name)) for name in ("observations", "changes")}
+    return whole_tables, grown
 
 
 def load(store: Store, spark: SparkSession, name: str = "state") -> dict[str, DataFrame]:
@@ -278,9 +282,9 @@ def run(store: Store, rows: DataFrame, checks: DataFrame, sources: DataFrame, ru
     spark = sources.sparkSession
     before = load(store, spark, name)
     if not before["runs"].where(F.col("run_id") == run_id).take(1):
-        after = step(before, rows, checks, sources, run_id, at, **options)
-        mark = after["runs"].where(F.col("run_id") == run_id).first()["last_change_id"]
-        store.commit(name, after, run=run_id, max_change_id=mark)
+        whole, grown = step(before, rows, checks, sources, run_id, at, **options)
+        mark = grown["runs"].first()["last_change_id"]
+        store.commit(name, whole, grown, run=run_id, max_change_id=mark)
     return load(store, spark, name)
 
 

@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir: str):
-    return queries()["j1_personal_feed"](spark, sf_dir)
+    return queries()["m3_feed_page"](spark, sf_dir)
