@@ -159,20 +159,20 @@ def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> dict:
     sizes, common, count = _sizes(data, sized, *parts[sized])
     offsets = [x for (x,) in _table(data, *parts[placed], "I" if placed == b"stco" else "Q")]
     runs = _table(data, *parts[b"stsc"], "III")
-    spans, done, used = [], 0, 0
+    spans, done = [], 0
+    # a table may claim any number of samples; a file has no more of them than bytes
+    if count > len(data):
+        out["error"], count = "more samples than bytes", len(data)
     for i, (first, each, _) in enumerate(runs):
         last = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(offsets)
         for at in offsets[max(0, first - 1) : last]:
             for _ in range(min(each, count - done)):
                 size = common if sizes is None else sizes[done]
-                # the file bounds what its tables may claim
-                used += size
-                if at + size > len(data) or used > len(data):
-                    out["error"], count = "samples lie beyond the end of the file", done
-                    break
                 spans.append((at, at + size))
                 at += size
                 done += 1
+    if any(end > len(data) for _, end in spans):
+        out["error"] = out["error"] or "samples lie beyond the end of the file"
     sync = [x - 1 for (x,) in _table(data, *parts[b"stss"], "I")] if b"stss" in parts else range(len(spans))
     return out | {"samples": len(spans), "ranges": spans, "keyframes": [spans[i] for i in sync if 0 <= i < len(spans)]}
 
@@ -180,8 +180,9 @@ def _track(data: bytes, parts: dict[bytes, tuple[int, int]]) -> dict:
 def inspect(data: bytes | None) -> dict:
     """brand, tracks, error of a file; tables that are cut off or missing leave nulls and an error, never an exception.
 
-    Only samples that lie in the file are given, and together they take no more
-    bytes than it has, so work is in proportion to the file.
+    Samples beyond the file's end are given as its tables have them, and named
+    in ``error``; of more samples than bytes only so many are read, so work is
+    in proportion to the file.
     """
     out: dict = {"brand": None, "tracks": [], "error": None}
     if not data:

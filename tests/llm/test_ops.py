@@ -518,9 +518,9 @@ def test_files_that_claim_more_than_they_hold():
     """Counts and offsets of a broken file can't make more samples than it has bytes."""
     whole = media.build(media.padded(b"x" * 5000))
     short = media.inspect(whole[:-600])
-    assert short["error"] and short["tracks"][0]["samples"] > 0 and all(b <= len(whole) - 600 for _, b in short["tracks"][0]["keyframes"])
+    assert "beyond" in short["error"] and short["tracks"][0]["samples"] == media.inspect(whole)["tracks"][0]["samples"]
     assert media.inspect(whole)["error"] is None and media.read_back(whole) == media.padded(b"x" * 5000)
     at = whole.index(b"stsz")
     claims = whole[: at + 12] + struct.pack(">I", 0xFFFFFFFF) + whole[at + 16 :]
     got = media.inspect(claims)
-    assert got["tracks"][0]["samples"] <= len(claims)
+    assert got["error"] == "more samples than bytes" and got["tracks"][0]["samples"] <= len(claims)
