@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.extraction import HEADING, qualification_heading
-from leadloom.functions.text import clause_modality, statements, travel_funding
+from leadloom.functions.text import clause_modality, let, statements, travel_funding
 
 # Fixed values.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -45,15 +45,19 @@ def graduation_windows(clause: Column) -> Column:
     """array<struct<lo, hi>> of months; null where bounds are open, more than two, in winter or in doubt."""
     token = r"(?i)" + _TOKEN
     names, years = F.regexp_extract_all(clause, F.lit(token), F.lit(1)), F.regexp_extract_all(clause, F.lit(token), F.lit(2))
-    n = F.size(years)
-    lower = F.transform(names, lambda x: F.lower(x))
     between = F.trim(F.regexp_extract(clause, r"(?i)" + _TOKEN + r"(.*?)" + _TOKEN, 3))
-    first, second = _bounds(F.get(lower, 0), F.get(years, 0)), _bounds(F.get(lower, 1), F.get(years, 1))
-    two = F.when(
-        between.rlike(r"(?i)^(?:and|to|through|[-–])$"), F.when(first["lo"] <= second["hi"], F.array(F.struct(first["lo"].alias("lo"), second["hi"].alias("hi"))))
-    ).when(between.rlike(r"(?i)^or(?:\s+in)?$"), F.array(first, second))
-    doubt = clause.rlike(r"(?i)before|after|not|preferred|desirable|example|[<>]") | ~clause.rlike(r"(?i)graduat|class of") | F.array_contains(lower, "winter")
-    return F.when(doubt, None).when(n == 1, F.array(first)).when(n == 2, two)
+    doubt = clause.rlike(r"(?i)before|after|not|preferred|desirable|example|[<>]") | ~clause.rlike(r"(?i)graduat|class of")
+
+    def two(first: Column, second: Column) -> Column:
+        whole = F.when(first["lo"] <= second["hi"], F.array(F.struct(first["lo"].alias("lo"), second["hi"].alias("hi"))))
+        return let(between, lambda words: F.when(words.rlike(r"(?i)^(?:and|to|through|[-–])$"), whole).when(words.rlike(r"(?i)^or(?:\s+in)?$"), F.array(first, second)))
+
+    def windows(lower: Column) -> Column:
+        bounds = F.zip_with(lower, years, _bounds)
+        n = F.size(lower)
+        return F.when(F.array_contains(lower, "winter"), None).when(n == 1, bounds).when(n == 2, let(bounds, lambda b: two(F.get(b, 0), F.get(b, 1))))
+
+    return F.when(doubt, None).otherwise(let(F.transform(names, lambda x: F.lower(x)), windows))
 
 
 def degrees(clause: Column) -> Column:
@@ -65,10 +69,15 @@ def degree_operator(clause: Column, named: Column, state: Column) -> Column:
     spots = F.array_sort(
         F.array_compact(F.array(*(F.when(clause.rlike(p), F.struct(F.regexp_instr(clause, F.lit(p)).alias("at"), F.length(F.regexp_substr(clause, F.lit(p))).alias("n"))) for _, p in DEGREES)))
     )
-    gaps = F.transform(F.sequence(F.lit(1), F.size(spots) - 1), lambda i: F.substring(clause, F.get(spots, i - 1)["at"] + F.get(spots, i - 1)["n"], F.greatest(F.get(spots, i)["at"] - F.get(spots, i - 1)["at"] - F.get(spots, i - 1)["n"], F.lit(0))))
-    alternative = F.exists(gaps, lambda g: g.rlike(r"(?i)\bor\b|/|,"))
-    together = F.exists(gaps, lambda g: g.rlike(r"(?i)\band\b"))
-    return F.when(F.size(named) < 2, "any").when(alternative & ~together, "any").when(together & ~alternative & (state == "completed"), "all").otherwise("unknown")
+    gap = lambda at, after: F.substring(clause, at["at"] + at["n"], F.greatest(after["at"] - at["at"] - at["n"], F.lit(0)))
+    gaps = lambda spots: F.transform(F.sequence(F.lit(1), F.size(spots) - 1), lambda i: gap(F.get(spots, i - 1), F.get(spots, i)))
+
+    def joined(gaps: Column) -> Column:
+        alternative = F.exists(gaps, lambda g: g.rlike(r"(?i)\bor\b|/|,"))
+        together = F.exists(gaps, lambda g: g.rlike(r"(?i)\band\b"))
+        return F.when(alternative & ~together, "any").when(together & ~alternative & (state == "completed"), "all").otherwise("unknown")
+
+    return F.when(F.size(named) < 2, "any").otherwise(let(let(spots, gaps), joined))
 
 
 def authorization_requirement(clause: Column) -> Column:
@@ -172,8 +181,9 @@ def parse_constraints(rows: DataFrame, key: str, text: str, most: int = MOST) ->
     One row for each kind and clause; clauses said in differing modalities are
     unspecified and conflicting; beyond ``most`` the last one is marked.
     """
-    said = rows.select(key, clauses(F.col(text)).alias("c")).select(key, F.posexplode("c").alias("pos", "x"), "c")
-    said = said.select(key, "pos", F.col("x.clause").alias("clause"), F.col("x.modality").alias("modality"), F.get("c", F.col("pos") + 1)["clause"].alias("next")).where(F.length("clause") <= 1000)
+    # exploded as an expression: of a column Spark would filter by its size first, and compute the clauses again for that
+    row = lambda c: F.transform(c, lambda x, i: F.struct(x["clause"].alias("clause"), x["modality"].alias("modality"), F.get(c, i + 1)["clause"].alias("next")))
+    said = rows.select(key, F.posexplode(let(clauses(F.col(text)), row)).alias("pos", "x")).select(key, "pos", "x.*").where(F.length("clause") <= 1000)
     c = F.col("clause")
     said = said.where(~(c.rlike(r"(?i)\b(?:founders?|cofounders?|CEO|our team)\b") & ~c.rlike(r"(?i)applicants?|candidates?|must|required|eligib")))
     said = said.withColumn("degrees", degrees(c))
@@ -206,7 +216,7 @@ def parse_constraints(rows: DataFrame, key: str, text: str, most: int = MOST) ->
         F.when(is_("institution-region"), F.regexp_extract_all(c, F.lit(r"\b(UK|EU)\b"), F.lit(1))).alias("regions"),
     )
     fields = F.struct("modality", "state", "operator", "degrees", "exception", "windows", "funding", "regions")
-    merged = each.groupBy(key, "kind", "evidence").agg(F.min(F.struct("pos", "k")).alias("first"), F.max_by(fields, "pos").alias("x"), (F.countDistinct("modality") > 1).alias("conflicting"))
+    merged = each.groupBy(key, "kind", "evidence").agg(F.min(F.struct("pos", "k")).alias("first"), F.max_by(fields, "pos").alias("x"), (F.min("modality") != F.max("modality")).alias("conflicting"))
     n = F.row_number().over(Window.partitionBy(key).orderBy("first"))
     merged = merged.withColumn("n", n).where(F.col("n") <= most + 1)
     merged = merged.withColumn("more", F.max("n").over(Window.partitionBy(key)) > most).where(F.col("n") <= most)

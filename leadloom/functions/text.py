@@ -43,7 +43,7 @@ def bounded_excerpt(text: Column, limit: int) -> Column:
     return F.when(F.coalesce(flat, F.lit("")) == "", F.lit(None)).when(F.length(flat) <= limit, flat).otherwise(cut)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is named."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
@@ -60,10 +60,10 @@ def unescaped(value: Column) -> Column:
     def resolve(value: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(value, F.lit("&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"), F.lit(1)))
         # the ampersand last, so that nothing is resolved twice in a round
-        last = _let(found, lambda found: F.concat(F.filter(found, lambda r: r != "amp"), F.filter(found, lambda r: r == "amp")))
+        last = let(found, lambda found: F.concat(F.filter(found, lambda r: r != "amp"), F.filter(found, lambda r: r == "amp")))
         return F.when(value.contains("&"), F.aggregate(last, value, put)).otherwise(value)
 
-    return _let(value, resolve)
+    return let(value, resolve)
 
 
 def decoded_text(html: Column) -> Column:

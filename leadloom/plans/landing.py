@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import constraints, extraction, families, routing
 from leadloom.operators import normalize, screen
-from leadloom.plans.base import table
+from leadloom.plans.base import dealt, table
 from leadloom.session import materialize
 from leadloom.sources import readers, schema
 
@@ -137,7 +137,7 @@ SELECT p_partkey, CASE WHEN one = -1 OR (one IS NULL AND two IS NULL) THEN 'unkn
 
 def n5_constraint_rows(spark, d):
     """Requirement texts of parts, sentence by sentence from their columns, parsed into constraint rows."""
-    p, size = table(spark, d, "part"), F.col("p_size")
+    p, size = dealt(table(spark, d, "part"), "p_partkey"), F.col("p_size")
     bit = lambda i, text: F.when(F.floor(size / 2**i) % 2 == 1, text)
     lines = [
         bit(0, F.concat(F.lit("Must graduate between May 202"), (F.col("p_partkey") % 8).cast("string"), F.lit(" and June 2028."))), bit(1, F.lit("You must be a U.S. citizen.")),
