@@ -122,7 +122,7 @@ def n4_required_degree(spark, d):
     word = F.when(F.col("p_size") % 5 == 0, " and ").otherwise(" or ")
     first = F.when(F.size(named) > 0, F.concat(F.lit("Completed "), F.array_join(F.slice(named, 1, F.greatest(F.size(named) - 1, F.lit(1))), ", "), F.when(F.size(named) > 1, F.concat(word, F.element_at(named, -1))).otherwise(""), F.lit(" degree required.")))
     second = F.when(F.col("p_brand").endswith("1"), "A master's degree is required.").when(F.col("p_brand").endswith("2"), "A PhD is preferred.")
-    rows = table(spark, d, "part").select("p_partkey", F.concat_ws("\n", F.lit("Required Qualifications"), first, second).alias("text"))
+    rows = dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", F.concat_ws("\n", F.lit("Required Qualifications"), first, second).alias("text"))
     parsed = screen.with_constraints(rows, constraints.parse_constraints(rows, "p_partkey", "text"), "p_partkey")
     slim = F.transform("constraints", lambda r: F.struct(*(r[c].alias(c) for c in ("kind", "modality", "operator", "degrees", "exception"))))
     return parsed.select("p_partkey", routing.required_degree(slim, F.lit("unknown")).alias("degree"))
