@@ -95,7 +95,7 @@ TITLES = {"1": ("Firmware Engineer", "embedded-firmware"), "2": ("Software Engin
 def n3_scored_parts(spark, d):
     """Parts as listings: families, score and reasons by the library's own rules."""
     digit = F.regexp_extract("p_brand", r"(\d)", 1)
-    rows = table(spark, d, "part").select(
+    rows = dealt(table(spark, d, "part"), "p_partkey").select(
         "p_partkey", F.coalesce(*(F.when(digit == k, v[0]) for k, v in TITLES.items())).alias("title"), F.when(F.col("p_size") % 2 == 0, "Know embedded systems.").alias("description"), F.lit(None).cast("string").alias("requirements_text"),
         F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(" per hour"))).alias("compensation_text"), F.when(F.col("p_size") % 5 == 0, "2026-05-01").alias("deadline"),
         F.when(F.col("p_size") % 7 == 0, "remote").alias("remote_signal"),
@@ -171,7 +171,7 @@ def n6_text_facts(spark, d):
         "\n", F.lit("We build boats."), F.when(size % 2 == 0, F.concat(F.lit("We pay $"), size.cast("string"), F.lit(" per hour."))), F.when(size % 3 == 0, F.concat(F.lit("At least "), size.cast("string"), F.lit(" years of experience in sailing required."))),
         F.when(size % 5 > 0, F.concat(F.lit("Applications are due by 2026-05-"), day, F.when(size % 5 == 1, " or 2026-09-01.").otherwise("."))), F.concat(F.lit("Location: "), F.col("p_brand")),
     )
-    rows = table(spark, d, "part").select("p_partkey", text.alias("text")).withColumn("said", extraction.said(F.col("text")))
+    rows = dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", text.alias("text")).withColumn("said", extraction.said(F.col("text")))
     found = extraction.facts(F.col("said"))
     names = ("compensation_text", "experience_requirement_text", "requirements_text", "deadline", "work_auth_language")
     return rows.select("p_partkey", *(found[n].alias(n) for n in names), extraction.description_location(F.col("text")).alias("place"))
