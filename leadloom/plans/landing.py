@@ -195,7 +195,7 @@ def n7_normal_form(spark, d):
         "title": of, "canonical_url": F.concat(F.lit("http://Jobs.Example/p/"), key, F.lit("?utm_source=x&b=2&a=1#top")), "location_text": place,
         "requirements_text": F.concat_ws(" ", F.when(size % 7 == 0, F.concat(F.lit("At least "), size.cast("string"), F.lit(" years."))), F.when(size % 3 == 0, "Master's degree required.")),
     }
-    rows = table(spark, d, "part").select((F.col("p_partkey") % 10).cast("string").alias("source_id"), F.col("p_partkey").alias("ordinal"), *(given.get(f, F.lit(None).cast("string")).alias(f) for f in schema.FIELDS))
+    rows = dealt(table(spark, d, "part"), "p_partkey").select((F.col("p_partkey") % 10).cast("string").alias("source_id"), F.col("p_partkey").alias("ordinal"), *(given.get(f, F.lit(None).cast("string")).alias(f) for f in schema.FIELDS))
     sources = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_name").alias("organization"), F.array(F.lit("boats")).alias("categories"), (F.col("s_acctbal") >= 0).alias("official"), F.lit(None).cast("string").alias("landing_url"))
     out = normalize.normalize(rows, sources)
     return out.select(

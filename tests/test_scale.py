@@ -21,7 +21,7 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("query", (landing.n3_scored_parts, landing.n4_required_degree, landing.n5_constraint_rows, landing.n6_text_facts))
+@pytest.mark.parametrize("query", (landing.n3_scored_parts, landing.n4_required_degree, landing.n5_constraint_rows, landing.n6_text_facts, landing.n7_normal_form))
 def test_one_small_file_is_dealt_to_all_cores(spark, folder, query):
     assert "RepartitionByExpression [p_partkey#" in optimized(query(spark, folder))
 
