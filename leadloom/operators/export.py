@@ -131,10 +131,10 @@ def delta_pages(rows: DataFrame, key: str, limit: int = 120_000, overhead: int =
     return rows.join(pages.select(key, "page"), key)
 
 
-def delta_documents(rows: DataFrame, key: str, head: Mapping[str, object], limit: int = 120_000) -> DataFrame:
-    """(page, file, document): the JSON pages of a delta, each within ``limit`` bytes; ``head`` begins every one."""
+def delta_documents(rows: DataFrame, key: str, head: Mapping[str, object], limit: int = 120_000, room: int | None = None) -> DataFrame:
+    """(page, file, document): the JSON pages of a delta, each within ``limit`` bytes; ``head`` begins every one, ``room`` as in ``json_pages``."""
     lines = rows.select(key, document({c: F.col(c) for c in rows.columns}).alias("__json"))
-    return json_pages(lines, key, "__json", json.dumps(dict(head), sort_keys=True, separators=(",", ":"))[1:-1], limit)
+    return json_pages(lines, key, "__json", json.dumps(dict(head), sort_keys=True, separators=(",", ":"))[1:-1], limit, room=room)
 
 
 def stale_pages(names: Sequence[str], pages: int) -> list[str]:

@@ -127,15 +127,17 @@ def digits(column: Column) -> Column:
     return F.length(column.cast("string"))
 
 
-def json_pages(items: DataFrame, key: str, text: str, head: str, limit: int, stem: str = "delta_packet") -> DataFrame:
+def json_pages(items: DataFrame, key: str, text: str, head: str, limit: int, stem: str = "delta_packet", room: int | None = None) -> DataFrame:
     """(page, file, document): JSON documents of at most ``limit`` bytes that hold all items in the order of key.
 
     items: unique keys with one JSON object each; head: the members that every
     document begins with, as JSON text without braces. A document names its
     page, the number of pages, the next file and its own length in characters.
     Numbers of pages are given the room of the last one's digits, so once the
-    number of pages is known, sizes are counted again until it stays. An item
-    that fits no page is an error. No item: one page without items.
+    number of pages is known, sizes are counted again until it stays. With
+    ``room`` no number is given more digits than that, unless a document would
+    then pass the limit. An item that fits no page is an error. No item: one
+    page without items.
     """
     spark, total, count = items.sparkSession, 1, items.count()
     lead = f"{head}," if head else ""
@@ -146,15 +148,22 @@ def json_pages(items: DataFrame, key: str, text: str, head: str, limit: int, ste
         n = next(len(bare) + d for d in range(1, 20) if len(str(len(bare) + d)) == d)
         return spark.createDataFrame([(1, f"{stem}.json", bare.replace('"estimated_chars":', f'"estimated_chars":{n}', 1))], "page long, file string, document string")
     while True:
-        wide = "9" * len(str(total))
+        wide = "9" * min(len(str(total)), room or len(str(total)))
         overhead = len(shape(wide, wide, name(wide)).encode()) + len(str(limit)) - 1
         pages = materialize(greedy_pages(items, key, F.octet_length(text) + 1, limit, overhead), "pages")
         top = pages.agg(F.max("page").alias("pages"), F.max("used").alias("most")).first()
         if top["most"] > limit:
             raise ValueError(f"an item does not fit a page of {limit} bytes")
-        if len(str(top["pages"])) <= len(str(total)):
+        if len(str(top["pages"])) > len(str(total)):
+            total = top["pages"]
+            continue
+        if len(wide) == len(str(total)):
             break
-        total = top["pages"]
+        # the last page names no next one, which leaves more than the digits need
+        own = F.col("used") - 3 * len(wide) + digits(F.col("page")) + digits(F.col("page") + 1) + len(str(top["pages"]))
+        if pages.where(F.col("page") < top["pages"]).agg(F.max(own)).first()[0] <= limit:
+            break
+        room = len(wide) + 1
     pages_n = F.lit(top["pages"])
     lists = items.join(pages.select(key, "page"), key).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, text))), lambda x: x[text]), ",").alias("list"))
     follow = F.when(F.col("page") < pages_n, F.concat(F.lit(f'"{stem}.p'), (F.col("page") + 1).cast("string"), F.lit('.json"'))).otherwise(F.lit("null"))

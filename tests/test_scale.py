@@ -3,6 +3,7 @@
 import pytest
 
 from leadloom.functions import constraints
+from leadloom.operators import pages
 from leadloom.plans import landing
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_size int"
@@ -45,3 +46,29 @@ def test_degrees_and_windows_of_clauses(spark):
     }
     df = spark.createDataFrame([(k,) for k in [*dated, None]], "c string").select("c", constraints.graduation_windows(constraints.F.col("c")).alias("w"))
     assert {r["c"]: r["w"] and [tuple(w) for w in r["w"]] for r in df.collect()} == {**dated, None: None}
+
+
+def greedy(sizes, count, limit, digits):
+    """Pages of items as the SQL of l2_delta_documents fills them, with room for so many digits."""
+    base = len(f'{{"count":{count},"estimated_chars":,"pagination":{{"next_file":"delta_packet.p.json","page":,"total_pages":}},"items":[]}}') + 3 * digits + len(str(limit)) - 1
+    out, page, used = [], 1, base
+    for n, size in enumerate(sizes):
+        if n and used + size + 1 > limit:
+            page, used = page + 1, base
+        used += size + 1
+        out.append(page)
+    return out
+
+
+@pytest.mark.parametrize("digits", (3, 4))
+def test_a_thousand_pages_with_room_for_three_digits(spark, digits):
+    # three items of 59 and their commas fill a page to the byte before last with room for three digits, which pages of four digits would pass
+    limit, n = 308, 3300
+    sizes = [59 if digits == 4 or i < 2700 else 50 for i in range(n)]
+    rows = [(i, "{" + "x" * (s - 2) + "}") for i, s in enumerate(sizes)]
+    found = pages.json_pages(spark.createDataFrame(rows, "k long, t string"), "k", "t", "", limit, room=3).collect()
+    by = {r["page"]: r["document"].count("{x") for r in found}
+    want, other = (greedy(sizes, n, limit, d) for d in (digits, 7 - digits))
+    assert want != other
+    assert all(len(r["document"]) <= limit for r in found) and max(by) == want[-1] >= 1000
+    assert by == {p: want.count(p) for p in set(want)}
