@@ -33,7 +33,14 @@ CONDITIONAL = (
     r"subject to|depending on|not guaranteed|(?:pay|cover).{0,20}own"
 )
 COVERED = r"(?i)\bcover(?:ed|s)?\b|reimburse|arranged|paid|provided"
-
+#: Letters of which every match of a pattern holds one at least; a look for them is far quicker.
+HINTS = {
+    NEGATED: ("required", "necessary", "mandatory", "needed", "degree", "gpa"),
+    OPTIONAL: ("prefer", "nice", "desir", "bonus", "plus"),
+    MANDATORY: ("must", "required", "minimum", "least", "eligib"),
+    UNCOVERED: ("cover", "reimburse", "paid", "provided", "travel", "fund", "expense", "self", "responsible", "arranged", "pay"),
+    COVERED: ("cover", "reimburse", "arranged", "paid", "provided"),
+}
 
 
 def bounded_excerpt(text: Column, limit: int) -> Column:
@@ -88,12 +95,22 @@ def statements(text: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def clause_modality(clause: Column, inherited: Column | str = "unspecified") -> Column:
-    """required, preferred, not-required, unspecified: negation, then mixed, then optional, then mandatory."""
+def hinted(clause: Column, low: Column, pattern: str) -> Column:
+    """``clause.rlike(pattern)``, after a look for its hints in the clause in lower case."""
+    first, *more = (F.contains(low, F.lit(h)) for h in HINTS[pattern])
+    for one in more:
+        first = first | one
+    return first & clause.rlike(pattern)
+
+
+def clause_modality(clause: Column, inherited: Column | str = "unspecified", low: Column | None = None) -> Column:
+    """required, preferred, not-required, unspecified: negation, then mixed, then optional, then mandatory. ``low``: the clause in lower case, if it is at hand."""
+    if low is None:
+        return let(F.lower(clause), lambda low: clause_modality(clause, inherited, low))
     rest = F.concat(F.regexp_extract(clause, r"(?s)^(.*?)(?:" + NEGATED + r")", 1), F.regexp_extract(clause, r"(?s)^.*?(?:" + NEGATED + r")(.*)$", 1))
-    optional, mandatory = clause.rlike(OPTIONAL), clause.rlike(MANDATORY)
+    optional, mandatory = hinted(clause, low, OPTIONAL), hinted(clause, low, MANDATORY)
     return (
-        F.when(clause.rlike(NEGATED), F.when(rest.rlike(STILL_MANDATORY), "unspecified").otherwise("not-required"))
+        F.when(hinted(clause, low, NEGATED), F.when(rest.rlike(STILL_MANDATORY), "unspecified").otherwise("not-required"))
         .when(optional & mandatory, "unspecified")
         .when(optional, "preferred")
         .when(mandatory, "required")
@@ -101,9 +118,11 @@ def clause_modality(clause: Column, inherited: Column | str = "unspecified") ->
     )
 
 
-def travel_funding(clause: Column) -> Column:
-    """uncovered, unknown (conditional or unsaid) or covered."""
-    return F.when(clause.rlike(UNCOVERED), "uncovered").when(clause.rlike(CONDITIONAL), "unknown").when(clause.rlike(COVERED), "covered").otherwise("unknown")
+def travel_funding(clause: Column, low: Column | None = None) -> Column:
+    """uncovered, unknown (conditional or unsaid) or covered. ``low`` as in ``clause_modality``."""
+    if low is None:
+        return let(F.lower(clause), lambda low: travel_funding(clause, low))
+    return F.when(hinted(clause, low, UNCOVERED), "uncovered").when(hinted(clause, low, COVERED) & ~clause.rlike(CONDITIONAL), "covered").otherwise("unknown")
 
 
 def match_family(title: Column, excerpt: Column, patterns: Sequence[str]) -> Column:

@@ -206,7 +206,8 @@ SELECT o_orderkey, CASE WHEN w <> 'autumn ' THEN lower(trim(w)) || '-' || y ELSE
 def b12_clause_modality(spark, d):
     """Every statement of every document by what it demands and who pays for travel."""
     rows = table(spark, d, "documents").select("doc_id", F.explode(text.statements(F.col("text"))).alias("clause"))
-    said = rows.select("doc_id", text.clause_modality(F.col("clause")).alias("modality"), text.travel_funding(F.col("clause")).alias("funding"))
+    rows, low = rows.withColumn("low", F.lower("clause")), F.col("low")
+    said = rows.select("doc_id", text.clause_modality(F.col("clause"), low=low).alias("modality"), text.travel_funding(F.col("clause"), low).alias("funding"))
     return said.groupBy("doc_id", "modality", "funding").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,8 +1,11 @@
 """Plans that must hold at size: costly rows are dealt to all cores, and costly columns computed once."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from leadloom.functions import constraints
+from leadloom.functions import constraints, text
 from leadloom.operators import pages
 from leadloom.plans import landing
 
@@ -44,7 +47,7 @@ def test_degrees_and_windows_of_clauses(spark):
         "Graduating in Fall 2026": [("2026-08", "2026-12")], "Graduating May 2026 or in June 2027": [("2026-05", "2026-05"), ("2027-06", "2027-06")], "Graduating June 2028 through May 2026": None,
         "Graduating winter 2026": None, "Graduating 2025, 2026, 2027": None, "Graduating after May 2026": None, "Graduating soon": None,
     }
-    df = spark.createDataFrame([(k,) for k in [*dated, None]], "c string").select("c", constraints.graduation_windows(constraints.F.col("c")).alias("w"))
+    df = spark.createDataFrame([(k,) for k in [*dated, None]], "c string").select("c", constraints.graduation_windows(F.col("c")).alias("w"))
     assert {r["c"]: r["w"] and [tuple(w) for w in r["w"]] for r in df.collect()} == {**dated, None: None}
 
 
@@ -72,3 +75,15 @@ def test_a_thousand_pages_with_room_for_three_digits(spark, digits):
     assert want != other
     assert all(len(r["document"]) <= limit for r in found) and max(by) == want[-1] >= 1000
     assert by == {p: want.count(p) for p in set(want)}
+
+
+def test_hints_lose_no_match_and_spare_the_patterns(spark):
+    r = random.Random(3)
+    words = "not no without strictly necessarily required necessary mandatory needed degree GPA preferred nice to have desirable desired bonus a plus must minimum at least eligible eligibility travel funding own expense self funded responsible for paid by covered reimbursed provided arranged the participants students attendees applicants will shall pay cover fund may might could conditional partially limited up to toward subject depending on guaranteed covers \u00e9t\u00e9 \u212a".split()
+    said = [(" ".join(w.upper() if r.random() < 0.2 else w for w in (r.choice(words) for _ in range(r.randint(1, 7)))),) for _ in range(4000)] + [("",), (None,)]
+    c = F.col("c")
+    funding = F.when(c.rlike(text.UNCOVERED), "uncovered").when(c.rlike(text.CONDITIONAL), "unknown").when(c.rlike(text.COVERED), "covered").otherwise("unknown")
+    tests = [~text.hinted(c, F.lower(c), p).eqNullSafe(c.rlike(p)) for p in text.HINTS] + [~text.travel_funding(c).eqNullSafe(funding)]
+    df = spark.createDataFrame(said, "c string")
+    assert df.where(F.greatest(*tests)).collect() == []
+    assert {x[0] for x in df.select(text.travel_funding(c)).distinct().collect()} == {"uncovered", "covered", "unknown"}
