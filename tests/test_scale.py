@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import constraints, text
 from leadloom.operators import pages
-from leadloom.plans import landing
+from leadloom.plans import landing, reviewing
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_size int"
 SUPPLIERS = "s_suppkey long, s_name string, s_acctbal double"
@@ -87,3 +87,11 @@ def test_hints_lose_no_match_and_spare_the_patterns(spark):
     df = spark.createDataFrame(said, "c string")
     assert df.where(F.greatest(*tests)).collect() == []
     assert {x[0] for x in df.select(text.travel_funding(c)).distinct().collect()} == {"uncovered", "covered", "unknown"}
+
+
+def test_queue_estimate_computes_families_once(spark, tmp_path):
+    spark.createDataFrame([(i, "data science team\nfree to join, we pay $20" if i % 3 else "x", "en", "s") for i in range(9)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = reviewing.h3_reason_code_filter(spark, str(tmp_path))
+    assert optimized(found).count("Filter") == 0
+    scored = reviewing.scored(spark, str(tmp_path)).collect()
+    assert found.first()[0] == sum(bool(x["tags"]) and x["total"] > 0 and not any(y.startswith("exclude:") for y in x["reasons"]) for x in scored)
