@@ -30,20 +30,30 @@ def title_words(title: Column) -> Column:
     return F.array_except(words, F.array(*(F.lit(w) for w in IGNORED)))
 
 
+def rare_twos(sets: DataFrame, least: float) -> DataFrame:
+    """(id, n, key) of word sets (id, block, words): a key for every two of the rarest words of a set, as many as ``near_titles`` says."""
+    counts = sets.select("block", F.explode("words").alias("w")).groupBy("block", "w").agg(F.count(F.lit(1)).alias("n"))
+    ranked = sets.select("id", "block", F.size("words").alias("size"), F.explode("words").alias("w")).join(counts, ["block", "w"])
+    ranked = ranked.groupBy("id", "block", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    first = F.slice("ws", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least) + 2).cast("int"))
+    short = ranked.where("size >= 2").select("id", "block", F.col("size").alias("n"), first.getField("w").alias("ws"))
+    two = F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.xxhash64("block", x, y))))
+    return short.select("id", "n", F.explode(two).alias("key"))
+
+
 def near_titles(rows: DataFrame, block: str, key: str, title: Column, url: str | None = None, least: float = 0.8) -> DataFrame:
-    """(left_id, right_id) within a block whose title words overlap by ``least``; an inverted index of rare words finds them.
+    """(left_id, right_id) within a block whose title words overlap by ``least``, above a half; an inverted index of two rare words at once finds them.
 
-    Two sets that overlap by ``least`` share one of the first
-    n - ceil(least * n) + 1 words of either, by rarity; only those are indexed.
+    Two sets of two words or more that overlap by ``least`` share at least two
+    words, and their two rarest shared words are among the first
+    n - ceil(least * n) + 2 of either, by rarity; every two of those are one
+    key. A list of a single word would hold a share of all sets, and its pairs
+    would grow with the square of the rows.
     """
     sets = rows.select(F.col(key).alias("id"), F.col(block).alias("block"), title_words(title).alias("words"), (F.col(url) if url else F.col(key)).alias("url")).where("block IS NOT NULL AND block <> '' AND size(words) >= 1")
-    counts = sets.select("block", F.explode("words").alias("w")).groupBy("block", "w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.select("id", "block", F.size("words").alias("size"), F.explode("words").alias("w")).join(counts, ["block", "w"])
-    ranked = ranked.groupBy("id", "block", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    first = F.slice("ws", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int"))
-    index = ranked.select("id", "block", F.col("size").alias("n"), F.explode(first.getField("w")).alias("w"))
+    index = rare_twos(sets, least)
     a, b = index.alias("a"), index.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least))
     pairs = pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
     left = sets.select(F.col("id").alias("left_id"), F.col("words").alias("lw"), F.col("url").alias("lu"))
     right = sets.select(F.col("id").alias("right_id"), F.col("words").alias("rw"), F.col("url").alias("ru"))

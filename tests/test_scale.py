@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.functions import constraints, text
-from leadloom.operators import pages
+from leadloom.operators import joins, pages
 from leadloom.plans import landing, reviewing
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_size int"
@@ -95,3 +95,20 @@ def test_queue_estimate_computes_families_once(spark, tmp_path):
     assert optimized(found).count("Filter") == 0
     scored = reviewing.scored(spark, str(tmp_path)).collect()
     assert found.first()[0] == sum(bool(x["tags"]) and x["total"] > 0 and not any(y.startswith("exclude:") for y in x["reasons"]) for x in scored)
+
+
+def test_near_titles_by_two_rare_words(spark):
+    r = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(r.sample(vocabulary, r.choice((1, 2, 3, 9, 10, 11, 12))))) for i in range(250)]
+    for i in range(250, 400):  # near copies: words left out, put in or replaced
+        words = rows[r.randrange(250)][1].split()
+        words[r.randrange(len(words))] = r.choice(vocabulary)
+        rows.append((i, " ".join(words[: len(words) - r.randint(0, 1) or 1] + r.sample(vocabulary, r.randint(0, 2)))))
+    df = spark.createDataFrame([(i, "b", t) for i, t in rows], "id long, block string, title string")
+    sets = {i: set(t.split()) for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i]) >= 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12}
+    assert {tuple(x) for x in joins.near_titles(df, "block", "id", F.col("title")).collect()} == want and len(want) > 20
+    index = joins.rare_twos(df.select("id", "block", F.split("title", " ").alias("words")), 0.8)
+    # of 60 words, one is in a tenth of the titles or more; two together are in few
+    assert index.groupBy("key").count().agg(F.max("count")).first()[0] < 40
