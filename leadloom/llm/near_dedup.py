@@ -1,7 +1,9 @@
 """SimHash's byte-position index for wider links: texts whose sets of five-word shingles overlap by 0.8 or more (Jaccard).
 
-Two of 64 bits are too strict for such pairs (README), so the signature is
-longer and verified on the texts: 128 positional bytes, each the low byte of a
+SimHash comes first: fingerprints of the shingles through op4's index, with its
+tally and two bits; what they link is verified and is one group from the start.
+Two of 64 bits are too strict for the other pairs (README), so for those the same
+index runs over a longer signature: 128 positional bytes, each the low byte of a
 MinHash value, which two texts share with the probability of their overlap.
 Postings are keyed by four positional bytes at once, in 32 blocks; shared
 blocks are tallied for each pair, and pairs under ``LEAST_BLOCKS`` are dropped.
@@ -79,27 +81,38 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _arrow(docs: DataFrame, text: str, doc_id: str, words: int, bands: bool) -> DataFrame:
-    """(doc_id, class, n, hashes): of each text the number of shingles, and its band keys or its shingles."""
+    """(doc_id, class, n, fp, hashes): of each text the number of shingles, its SimHash fingerprint and its band keys, or null and its shingles."""
     ship(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                found = [shingle_set(raw, words) for raw in part.column(1).cast(pa.binary()).to_pylist()]
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                found = [shingle_set(raw, words) for raw in texts]
+                prints = pa.array(simhash.fingerprint_batch(texts, words).view(np.int64)) if bands else pa.nulls(len(texts), pa.int64())
                 hashes = [band_keys(x) if bands else x for _, x in found]
                 ends = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.int64)))
                 whole = np.array([x for x, _ in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole), pa.array([len(x) for _, x in found], pa.int32()), lists], ["doc_id", "class", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole), pa.array([len(x) for _, x in found], pa.int32()), prints, lists], ["doc_id", "class", "n", "fp", "hashes"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(of, f"doc_id {kind}, class long, n int, hashes array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(of, f"doc_id {kind}, class long, n int, fp long, hashes array<long>")
 
 
 def _alike(x: Column, y: Column, shared: Column, least: float) -> Column:
     return shared * (1 + least) >= (x + y) * least - 1e-9
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(src, dst) of classes that SimHash brings together: each with the first class of its fingerprint, and these where op4's index links their fingerprints."""
+    prints = scratch(rows.groupBy("fp").agg(F.min("class").alias("head")), "prints")
+    same = rows.select("class", "fp").distinct().join(prints, "fp").select(F.col("head").alias("x"), F.col("class").alias("y"))
+    a, b = (prints.select(F.col("fp").alias(end), F.col("head").alias(name)) for end, name in (("src", "x"), ("dst", "y")))
+    linked = simhash.links(prints.select("fp")).join(a, "src").join(b, "dst").select("x", "y")
+    return same.unionByName(linked).where("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id.
 
@@ -114,7 +127,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     postings = rows.select("class", "n", F.explode("hashes").alias("key")).distinct()
     met = scratch(postings.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key"), "postings")
     held = scratch(postings.join(met, "key"), "held")
-    members, links, tested = None, None, None
+    members, links = None, None
 
     def verified(pairs: DataFrame) -> DataFrame:
         nodes = scratch(pairs.select(F.explode(F.array("src", "dst")).alias("class")).distinct(), "nodes")
@@ -126,6 +139,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
         both = pairs.join(a, "src").join(b, "dst")
         return both.where(_alike(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")), least)).select("src", "dst")
 
+    tested = scratch(simhash_pairs(rows), "pairs")
+    if not tested.isEmpty():
+        links = scratch(verified(tested), "links")
+        members = scratch(connected_components(links), "members")
+
     for at in range(ROUNDS + 1):
         own = held.withColumn("component", F.col("class"))
         if members is not None:
@@ -142,10 +160,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
         pairs = own.join(other, "key").where((F.col("component") != F.col("component2")) & close)
         bit = F.expr("shiftleft(1, cast(shiftright(key, 32) as int))")
         pairs = simhash.tallied(pairs.select(F.least("class", "class2").alias("src"), F.greatest("class", "class2").alias("dst"), bit.alias("bit")), LEAST_BLOCKS)
-        if tested is not None:
-            pairs = pairs.join(tested, ["src", "dst"], "left_anti")
-        pairs = scratch(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = scratch(pairs.join(tested, ["src", "dst"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
         if pairs.isEmpty():
             continue
         found = scratch(verified(pairs), "links")

@@ -70,3 +70,16 @@ def test_stage_keeps_one_of_near_copies(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA)
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect())
     assert got == sorted(set(components(texts).values()))
+
+
+def test_simhash_comes_first(spark):
+    texts = near_copies()
+    rows = near_dedup._arrow(spark.createDataFrame(texts, "doc_id long, text string"), "text", "doc_id", 5, True).collect()
+    by = {r["class"]: r["fp"] for r in rows}
+    assert len({r["class"] for r in rows}) == len(by) and {r["fp"] for r in rows if r["n"] == 0} == {0}
+    got = {tuple(x) for x in near_dedup.simhash_pairs(spark.createDataFrame(rows)).collect()}
+    assert got and all(a < b and ((by[a] ^ by[b]) & (1 << 64) - 1).bit_count() <= 2 for a, b in got)
+    # each two fingerprints within two bits are joined, and so is each class with another one of its fingerprint
+    heads = {fp: min(c for c in by if by[c] == fp) for fp in by.values()}
+    want = {(heads[fp], c) for c, fp in by.items()} | {tuple(sorted((heads[f], heads[g]))) for f in heads for g in heads if f < g and ((f ^ g) & (1 << 64) - 1).bit_count() <= 2}
+    assert got == {(a, b) for a, b in want if a != b}
