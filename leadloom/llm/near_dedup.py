@@ -11,12 +11,19 @@ A pair at 0.8 shares 13 of 32 blocks on average and fewer than three with a
 probability of 1.2e-5. What is left is verified on the two whole sets of
 shingles, so no pair below the threshold is linked.
 
+Pairs just under 0.8 share many lists too, so a swarm of near copies would pay
+for each two of them. Before a pair becomes a row it must pass an exact test: a
+class carries the parities of its shingles in ``PARITIES`` cells, and in a cell
+where two classes differ at least one shingle is in one of them alone. So their
+sets differ by at least as many shingles as there are such cells, which bounds
+the similarity from above: no link is lost.
+
 Texts of equal words are one class and are never paired. In a posting list
-every class is first held against one of its classes, in two rounds with
-different ones, the same for lists that share it; classes that a verified link
-has brought into one group need no further test, and only those of different
-groups are paired up after that, in all lists that they share. So a swarm of
-near copies costs a few pairs for each of them.
+every class is first held against ``PIVOTS`` of its classes, others in each list
+and in each of two rounds, and one shared list is enough; classes that a
+verified link has brought into one group need no further test, and only those
+of different groups are paired up after that, in all lists that they share. So
+a swarm of near copies costs a few pairs for each of them.
 """
 
 from __future__ import annotations
@@ -37,10 +44,12 @@ from leadloom.llm.media import _parts
 BANDS, BAND = 32, 4
 #: Blocks that a pair must share.
 LEAST_BLOCKS = 3
-#: Rounds in which a list is held against one of its classes.
-ROUNDS = 2
+#: Rounds in which a list is held against some of its classes, and how many.
+ROUNDS, PIVOTS = 2, 8
 #: Shingles that are permuted at once.
 STEP = 512
+#: Cells of a class's parities, 64 in a long.
+PARITIES = 1024
 
 _random = np.random.default_rng(42)
 _A = _random.integers(1, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,8 +89,14 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.arange(BANDS, dtype=np.uint64) << np.uint64(32) | signature.view("<u4").astype(np.uint64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each cell is odd, one bit for each cell."""
+    odd = np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _arrow(docs: DataFrame, text: str, doc_id: str, words: int, bands: bool) -> DataFrame:
-    """(doc_id, class, n, fp, hashes): of each text the number of shingles, its SimHash fingerprint and its band keys, or null and its shingles."""
+    """(doc_id, class, n, fp, bits, hashes): of each text the number of shingles, its SimHash fingerprint, parities and band keys, or nulls and its shingles."""
     ship(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,20 +105,27 @@ def _arrow(docs: DataFrame, text: str, doc_id: str, words: int, bands: bool) ->
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 found = [shingle_set(raw, words) for raw in texts]
                 prints = pa.array(simhash.fingerprint_batch(texts, words).view(np.int64)) if bands else pa.nulls(len(texts), pa.int64())
+                bits = pa.array([parities(x) if bands else None for _, x in found], pa.list_(pa.int64()))
                 hashes = [band_keys(x) if bands else x for _, x in found]
                 ends = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.int64)))
                 whole = np.array([x for x, _ in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole), pa.array([len(x) for _, x in found], pa.int32()), prints, lists], ["doc_id", "class", "n", "fp", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole), pa.array([len(x) for _, x in found], pa.int32()), prints, bits, lists], ["doc_id", "class", "n", "fp", "bits", "hashes"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(of, f"doc_id {kind}, class long, n int, fp long, hashes array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(of, f"doc_id {kind}, class long, n int, fp long, bits array<long>, hashes array<long>")
 
 
 def _alike(x: Column, y: Column, shared: Column, least: float) -> Column:
     return shared * (1 + least) >= (x + y) * least - 1e-9
 
 
+def _at_most(n: Column, n2: Column, bits: Column, bits2: Column) -> Column:
+    """Shingles that two sets can share: no more than the smaller one has, and of both those that no differing cell takes."""
+    apart = sum((F.bit_count(bits[k].bitwiseXOR(bits2[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return F.least(n, n2, (n + n2 - apart) / 2)
+
+
 def simhash_pairs(rows: DataFrame) -> DataFrame:
     """(src, dst) of classes that SimHash brings together: each with the first class of its fingerprint, and these where op4's index links their fingerprints."""
     prints = scratch(rows.groupBy("fp").agg(F.min("class").alias("head")), "prints")
@@ -126,7 +148,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     classes = scratch(rows.groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
     postings = rows.select("class", "n", F.explode("hashes").alias("key")).distinct()
     met = scratch(postings.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key"), "postings")
-    held = scratch(postings.join(met, "key"), "held")
+    held = scratch(postings.join(met, "key").join(rows.select("class", "bits").dropDuplicates(["class"]), "class"), "held")
     members, links = None, None
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -148,18 +170,20 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
         own = held.withColumn("component", F.col("class"))
         if members is not None:
             own = held.join(members.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        me = F.struct("class", "n", "component")
-        live = own.groupBy("key").agg(F.min_by(me, F.xxhash64("class", F.lit(at))).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        me = F.struct("class", "n", "bits", "component")
+        some = [F.min_by(me, F.xxhash64("class", "key", F.lit(at * PIVOTS + k))) for k in range(PIVOTS if at < ROUNDS else 1)]
+        live = own.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("pivots"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         if at < ROUNDS:
-            other = live.select("key", F.col("pivot.class").alias("class2"), F.col("pivot.n").alias("n2"), F.col("pivot.component").alias("component2"))
+            other = live.select("key", F.explode("pivots").alias("pivot")).select("key", F.col("pivot.class").alias("class2"), F.col("pivot.n").alias("n2"), F.col("pivot.bits").alias("bits2"), F.col("pivot.component").alias("component2"))
         else:
             own = scratch(own.join(live.select("key"), "key", "left_semi"), "open")
-            other = own.select("key", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        # sets of such different sizes can't overlap enough
-        close = _alike(F.col("n"), F.col("n2"), F.least("n", "n2"), least)
+            other = own.select("key", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("component").alias("component2"))
+        # sets of such different sizes can't overlap enough, nor can sets that differ in so many cells
+        n, n2 = F.col("n"), F.col("n2")
+        close = _alike(n, n2, F.least(n, n2), least) & _alike(n, n2, _at_most(n, n2, F.col("bits"), F.col("bits2")), least)
         pairs = own.join(other, "key").where((F.col("component") != F.col("component2")) & close)
         bit = F.expr("shiftleft(1, cast(shiftright(key, 32) as int))")
-        pairs = simhash.tallied(pairs.select(F.least("class", "class2").alias("src"), F.greatest("class", "class2").alias("dst"), bit.alias("bit")), LEAST_BLOCKS)
+        pairs = simhash.tallied(pairs.select(F.least("class", "class2").alias("src"), F.greatest("class", "class2").alias("dst"), bit.alias("bit")), LEAST_BLOCKS if at == ROUNDS else 1)
         pairs = scratch(pairs.join(tested, ["src", "dst"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         if pairs.isEmpty():

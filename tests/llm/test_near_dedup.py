@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from leadloom.llm import near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,3 +84,34 @@ def test_simhash_comes_first(spark):
     heads = {fp: min(c for c in by if by[c] == fp) for fp in by.values()}
     want = {(heads[fp], c) for c, fp in by.items()} | {tuple(sorted((heads[f], heads[g]))) for f in heads for g in heads if f < g and ((f ^ g) & (1 << 64) - 1).bit_count() <= 2}
     assert got == {(a, b) for a, b in want if a != b}
+
+
+def test_a_swarm_just_under_the_threshold_costs_few_pairs(spark, monkeypatch):
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(150), 2 + (i % 3 > 0)):
+            words[at] = f"x{r.randrange(10**9)}"
+        texts.append((i, " ".join(words)))
+    want = components(texts)
+    sets = {i: shingles(t) for i, t in texts}
+    under = sum(0.6 <= jaccard(sets[i], sets[j]) < 0.8 for i in sets for j in sets if i < j)
+    assert under > 40_000 and 10 < len(set(want.values())) < 290
+    made, write = [], near_dedup.scratch
+    monkeypatch.setattr(near_dedup, "scratch", lambda df, name: (out := write(df, name), made.append(out.count()) if name == "pairs" else None)[0])
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {g["doc_id"]: g["component_id"] for g in near_dedup.near_groups(df).collect()} == want
+    assert sum(made) < 20 * len(texts)
+
+
+def test_parities_bound_the_difference():
+    r = random.Random(8)
+    for n in (0, 1, 30, 700, 5000):
+        a = {r.getrandbits(64) for _ in range(n)}
+        b = set(r.sample(sorted(a), n * 3 // 4)) | {r.getrandbits(64) for _ in range(n // 8 + 1)}
+        x, y = (near_dedup.parities(np.array(sorted(s), np.uint64)) for s in (a, b))
+        apart = sum((int(p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))
+        assert len(x) * 64 == near_dedup.PARITIES and apart <= len(a ^ b)
+        assert n != 700 or apart > 0.8 * len(a ^ b)
