@@ -19,11 +19,11 @@ sets differ by at least as many shingles as there are such cells, which bounds
 the similarity from above: no link is lost.
 
 Texts of equal words are one class and are never paired. In a posting list
-every class is first held against ``PIVOTS`` of its classes, others in each list
-and in each of two rounds, and one shared list is enough; classes that a
-verified link has brought into one group need no further test, and only those
-of different groups are paired up after that, in all lists that they share. So
-a swarm of near copies costs a few pairs for each of them.
+every class is first held against ``PIVOTS`` of its classes, others in each list,
+and one shared list is enough; classes that a verified link has brought into one
+group need no further test, and only those of different groups are paired up
+after that, in all lists that they share. So a swarm of near copies costs a few
+pairs for each of them.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ from leadloom.llm.media import _parts
 BANDS, BAND = 32, 4
 #: Blocks that a pair must share.
 LEAST_BLOCKS = 3
-#: Rounds in which a list is held against some of its classes, and how many.
-ROUNDS, PIVOTS = 2, 8
+#: Rounds in which a list is held against some of its classes, and how many; each round adds jobs, so one with more classes is enough.
+ROUNDS, PIVOTS = 1, 16
 #: Shingles that are permuted at once.
 STEP = 512
 #: Cells of a class's parities, 64 in a long.
@@ -170,14 +170,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
         own = held.withColumn("component", F.col("class"))
         if members is not None:
             own = held.join(members.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        me = F.struct("class", "n", "bits", "component")
-        some = [F.min_by(me, F.xxhash64("class", "key", F.lit(at * PIVOTS + k))) for k in range(PIVOTS if at < ROUNDS else 1)]
+        some = [F.min_by("class", F.xxhash64("class", "key", F.lit(at * PIVOTS + k))) for k in range(PIVOTS if at < ROUNDS else 1)]
         live = own.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("pivots"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        if at < ROUNDS:
-            other = live.select("key", F.explode("pivots").alias("pivot")).select("key", F.col("pivot.class").alias("class2"), F.col("pivot.n").alias("n2"), F.col("pivot.bits").alias("bits2"), F.col("pivot.component").alias("component2"))
-        else:
-            own = scratch(own.join(live.select("key"), "key", "left_semi"), "open")
-            other = own.select("key", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("component").alias("component2"))
+        own = scratch(own.join(live.select("key"), "key", "left_semi"), "open") if at == ROUNDS else own
+        other = own.join(live.select("key", F.explode("pivots").alias("class")), ["key", "class"]) if at < ROUNDS else own
+        other = other.select("key", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("component").alias("component2"))
         # sets of such different sizes can't overlap enough, nor can sets that differ in so many cells
         n, n2 = F.col("n"), F.col("n2")
         close = _alike(n, n2, F.least(n, n2), least) & _alike(n, n2, _at_most(n, n2, F.col("bits"), F.col("bits2")), least)
