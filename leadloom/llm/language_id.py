@@ -95,10 +95,11 @@ def margins(column: pa.Array, weights: np.ndarray, bias: np.ndarray, s: Settings
     out = np.repeat(bias[None], len(at) - 1, axis=0)
     for order in s.orders:
         bucket, count = _grams(raw, at, order, s.bits)
+        ends = np.minimum(np.stack([at[:-1], at[:-1] + count], axis=1).ravel(), len(bucket))
         for k in range(weights.shape[1]):
-            run = np.zeros(len(bucket) + 1)
-            np.cumsum(weights[bucket, k], out=run[1:])
-            out[:, k] += (run[np.minimum(at[:-1] + count, len(bucket))] - run[np.minimum(at[:-1], len(bucket))]) / (count + s.soften)
+            # each text is summed by itself: in running sums its rounding would depend on the texts before it
+            sums = np.add.reduceat(np.append(weights[bucket, k], 0.0), ends)[::2]
+            out[:, k] += np.where(count > 0, sums, 0.0) / (count + s.soften)
     return out
 
 

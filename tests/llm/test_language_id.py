@@ -86,3 +86,12 @@ def test_accuracy_on_the_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = li.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
     assert len(got) > 30 and np.mean([g["lang"] == g["lang_pred"] for g in got]) >= 0.95
+
+
+def test_a_text_scores_the_same_wherever_it_lies():
+    r = random.Random(9)
+    s = li.Settings()
+    weights = np.random.default_rng(9).normal(size=(1 << s.bits, 3))
+    texts = [text_of(lang, r, r.randint(0, 60)) for lang in sorted(PARTS) * 40] + ["", "a", "ab"]
+    alone = np.concatenate([li.margins(pa.array([t]), weights, np.ones(3), s) for t in texts])
+    assert (li.margins(pa.array(texts), weights, np.ones(3), s) == alone).all()
